@@ -5,7 +5,7 @@ alike in size. Every vector goes to the list of its nearest centroid and, if it
 lists of the next nearest centroids within ``spread`` times that distance, up to COPIES lists in all.
 Centroids are searched by a best-first walk over an in-memory neighbour graph. A query probes all lists
 whose centroid is within ``probe`` times the distance of its nearest one: the ratio alone decides, there is
-no cap. Lists longer than ``list_rows`` are dealt into parts by a hash of the id, and a query visits all
+no cap. Lists longer than ``part_rows`` are dealt into parts by a hash of the id, and a query visits all
 parts. Scores of the best are computed again in double precision from the original vectors.
 
 Inner products are turned into distances by one more component, sqrt(longest^2 - |x|^2), with the longest
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.base import bound_batches, cut, uniform
 
-SAMPLE, LIST_ROWS, MAX_LISTS, SPREAD, COPIES, PROBE, LEAST_LISTS = 20_000, 200, 4096, 1.05, 3, 1.15, 8
+SAMPLE, LIST_ROWS, PART_ROWS, MAX_LISTS, SPREAD, COPIES, PROBE, LEAST_LISTS = 20_000, 200, 20_000, 4096, 1.05, 3, 1.15, 8
 SLACK = 1e-6
 
 
@@ -171,7 +171,7 @@ def best_of(q: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, rough: np.n
     return [(float(s[i]), int(ids[at[i]])) for i in order[:k]]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, spread: float = SPREAD, probe: float = PROBE, least: int = LEAST_LISTS, list_rows: int = LIST_ROWS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, spread: float = SPREAD, probe: float = PROBE, least: int = LEAST_LISTS, list_rows: int = LIST_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (a condition on vec_id), among all others."""
     spark = vectors.sparkSession
     bound_batches(spark)
@@ -179,7 +179,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, spread: float = SP
     index = fit(rows, list_rows=list_rows)
     shared = spark.sparkContext.broadcast(index)
     stored = cut(assign(rows, shared, spread, None, 1))
-    sizes = stored.groupBy("list").count().select("list", F.ceil(F.col("count") / (2 * list_rows)).cast("int").alias("parts"))
+    sizes = stored.groupBy("list").count().select("list", F.ceil(F.col("count") / part_rows).cast("int").alias("parts"))
     probes = assign(rows.filter(is_query).dropDuplicates(["vec_id", "v"]), shared, None, probe, least)
     left = stored.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
     right = probes.join(sizes, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
