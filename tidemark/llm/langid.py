@@ -1,7 +1,8 @@
 """Language identification by word-first backoff.
 
 Known words score by their log frequency in each language. An unseen word falls back to its character
-n-grams, the longest length first, until one of them is known.
+n-grams, the longest length first, until one of them is known. Words and n-grams are looked up by 64-bit
+hashes, all distinct words of a batch together.
 
 Edge cases: a null text, or one without any letter, is ``und`` with score 0. Repeated rows are scored
 alike. Without a single training row every text is ``und``. Ties go to the language that sorts first.
@@ -9,92 +10,86 @@ alike. Without a single training row every text is ``und``. Ties go to the langu
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import LETTERS, WordRows, bound_batches, held_out, labelled_sample
+from tidemark.llm.base import bound_batches, held_out, labelled_sample
+from tidemark.llm.words import LETTERS, Shapes, find, numbered, summed
 
 LONGEST = 5
 
 
-def grams(word: str, n: int) -> list[str]:
-    marked = f"<{word}>"
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
-
-
 class BackoffModel:
-    """Per-language log frequencies of words and of character n-grams."""
+    """Per-language log frequencies, by hash: of words (table 0) and of n-grams (table n)."""
 
-    def __init__(self, langs: list[str], words: dict, gram_tables: dict):
-        self.langs, self.words, self.gram_tables = langs, words, gram_tables
-        self.flat = np.zeros(len(langs), np.float32)
+    def __init__(self, langs: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.langs, self.tables = langs, tables
 
     @classmethod
     def fit(cls, rows, min_count: int = 2) -> BackoffModel:
         """rows: (text, language). Words and n-grams seen ``min_count`` times or more are kept."""
-        counts: dict[str, Counter] = {}
-        for text, lang in rows:
-            counts.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-        langs = sorted(counts)
-
-        def logs(by_lang: list[Counter]) -> dict:
-            total = Counter()
-            for c in by_lang:
-                total.update(c)
-            kept = [k for k, v in total.items() if v >= min_count]
-            table = np.array([[c[k] for c in by_lang] for k in kept], np.float64).reshape(len(kept), len(langs))
-            sums = np.array([sum(c.values()) for c in by_lang], np.float64)
-            made = np.log((table + 0.5) / (sums + 0.5 * len(total) + 1)).astype(np.float32)
-            return dict(zip(kept, made - made.max(axis=1, keepdims=True), strict=True))
-
-        words = logs([counts[x] for x in langs])
-        gram_tables = {}
+        rows = list(rows)
+        langs = sorted({r[1] for r in rows})
+        if not langs:
+            return cls([], {})
+        ids, ends, words = numbered(pa.array([r[0] for r in rows], pa.string()), LETTERS)
+        lang = np.repeat(np.searchsorted(langs, [r[1] for r in rows]), np.diff(ends))
+        counts = np.zeros((len(words), len(langs)))
+        np.add.at(counts, (ids, lang), 1)
+        counts[0] = 0
+        shapes = Shapes(words)
+
+        def logs(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            keys, place = np.unique(hashes, return_inverse=True)
+            table = np.stack([np.bincount(place, counts[owner, k], len(keys)) for k in range(len(langs))], axis=1)
+            kept = table.sum(axis=1) >= min_count
+            made = np.log((table[kept] + 0.5) / (table.sum(axis=0) + 0.5 * len(keys) + 1))
+            return keys[kept], (made - made.max(axis=1, keepdims=True)).astype(np.float32)
+
+        tables = {0: logs(np.arange(len(words)), shapes.whole())}
         for n in range(LONGEST, 0, -1):
-            by_lang = []
-            for x in langs:
-                c: Counter = Counter()
-                for word, k in counts[x].items():
-                    for g in grams(word, n):
-                        c[g] += k
-                by_lang.append(c)
-            gram_tables[n] = logs(by_lang)
-        return cls(langs, words, gram_tables)
-
-    def word(self, word: str) -> np.ndarray:
-        """Log frequency in each language, less that of the likeliest one."""
-        if (found := self.words.get(word)) is not None:
-            return found
-        for n in range(LONGEST, 0, -1):
-            known = [v for g in grams(word, n) if (v := self.gram_tables[n].get(g)) is not None]
-            if known:
-                return np.mean(known, axis=0)
-        return self.flat
+            tables[n] = logs(*shapes.grams(n))
+        return cls(langs, tables)
 
     def rows(self, words: list[str]) -> np.ndarray:
-        return np.array([self.word(w) for w in words], np.float32).reshape(len(words), len(self.langs))
-
-    def answer(self, total: np.ndarray) -> tuple[str, float]:
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0.0)).sum())
-
-
-def predict_texts(model: BackoffModel, cache: WordRows, texts: list) -> list[tuple[str, float]]:
-    out = []
-    for text in texts:
-        found = LETTERS.findall(text.lower()) if text else []
-        if not found or not model.langs:
-            out.append(("und", 0.0))
-            continue
-        ids = cache.ids(found)
-        total = np.zeros(len(model.langs))
-        for at in range(0, len(ids), 100_000):
-            total += cache.rows[ids[at : at + 100_000]].sum(axis=0, dtype=np.float64)
-        out.append(model.answer(total))
-    return out
+        """For each word its log frequency in each language, less that of the likeliest one. An empty word has zeros."""
+        shapes = Shapes(words)
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        keys, logs = self.tables[0]
+        at = find(keys, shapes.whole())
+        known = at >= 0
+        out[known] = logs[at[known]]
+        done = known | (shapes.sizes == 2)
+        for n in range(LONGEST, 0, -1):
+            if done.all():
+                break
+            owner, hashes = shapes.grams(n)
+            todo = ~done[owner]
+            owner, hashes = owner[todo], hashes[todo]
+            at = find(self.tables[n][0], hashes)
+            hit = at >= 0
+            owner, at = owner[hit], at[hit]
+            if len(owner):
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1))
+                many = np.diff(np.append(cuts, len(owner)))
+                out[owner[cuts]] = np.add.reduceat(self.tables[n][1][at], cuts, axis=0) / many[:, None]
+                done[owner[cuts]] = True
+        return out
+
+    def answers(self, totals: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """The likeliest language of each text and its share; ``letters`` says whether a text has any."""
+        if not self.langs:
+            return ["und"] * len(totals), np.zeros(len(totals))
+        best = totals.argmax(axis=1)
+        share = 1 / np.exp(totals - totals[np.arange(len(totals)), best][:, None]).sum(axis=1)
+        return [self.langs[i] if ok else "und" for i, ok in zip(best.tolist(), letters.tolist(), strict=True)], np.where(letters, share, 0.0)
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        ids, ends, words = numbered(texts, LETTERS)
+        totals = summed(self.rows(words), ids, ends) if self.langs else np.zeros((len(ends) - 1, 0))
+        return self.answers(totals, summed((np.arange(len(words)) > 0)[:, None], ids, ends)[:, 0] > 0)
 
 
 def fit(docs: DataFrame, per_lang: int = 1000, max_chars: int = 20_000) -> BackoffModel:
@@ -110,14 +105,9 @@ def identify(docs: DataFrame, model: BackoffModel, keep: list[str]) -> DataFrame
     slim = docs.select(*keep, F.col("text").alias("_text"))
 
     def run(batches):
-        m = shared.value
-        cache = WordRows(m.rows)
         for b in batches:
-            pred = predict_texts(m, cache, b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([p[0] for p in pred], pa.string()), pa.array([p[1] for p in pred], pa.float64())],
-                names=[*keep, "lang_pred", "score"],
-            )
+            langs, share = shared.value.predict(b.column(b.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(share)], names=[*keep, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return slim.mapInArrow(run, f"{kinds}, lang_pred string, score double")
@@ -127,7 +117,5 @@ def language_id(docs: DataFrame, per_lang: int = 1000) -> DataFrame:
     """Fit on rows that aren't held out, then predict every row: doc_id, held_out, lang_pred, score."""
     train = docs.filter(~held_out() & F.col("doc_id").isNotNull())
     model = fit(train, per_lang)
-    return identify(docs.withColumn("held_out", held_out()), model, ["doc_id", "held_out"])
-
-
-__all__ = ["BackoffModel", "fit", "identify", "language_id", "predict_texts", "grams"]
+    slim = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
+    return identify(slim, model, ["doc_id", "held_out"])

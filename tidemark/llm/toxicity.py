@@ -1,6 +1,6 @@
 """Toxicity: a convolutional text classifier, trained in numpy.
 
-Words become means of hashed embeddings (the word and its character n-grams); filters of one, two and
+Words (runs of letters) become means of hashed embeddings (the word and its character n-grams); filters of one, two and
 three words slide over them, the largest answer of each filter goes to a logistic output. A word's
 part of each filter is computed once for each distinct word, so a text costs a few gathered additions
 a word. The first embedding dimension starts as the smoothed log ratio of a bucket's documents in the two
@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import LETTERS, WORDS, WordRows, bound_batches, held_out, labelled_texts
+from tidemark.llm.base import bound_batches, held_out, labelled_texts
 from tidemark.llm.langid import BackoffModel
+from tidemark.llm.words import LETTERS, Shapes, numbered, summed
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 12, 8, (1, 2, 3)
 BLOCK = 100_000
@@ -30,21 +31,30 @@ TAPS = [(w, k) for w in WIDTHS for k in range(w)]
 THRESHOLD = 0.3
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word and of its n-grams of 4 and 5 characters."""
-    marked = f"<{word}>"
-    parts = {marked, *(marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1))}
-    return sorted({crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts})
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, starts): the buckets of each word and of its n-grams of 4 and 5 characters, words in order."""
+    shapes = Shapes(words)
+    owner, hashes = np.arange(len(words)), shapes.whole()
+    for n in (4, 5):
+        more, h = shapes.grams(n)
+        owner, hashes = np.concatenate((owner, more)), np.concatenate((hashes, h))
+    order = np.argsort(owner, kind="stable")
+    starts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])).astype(np.int64)
+    return (hashes[order] % np.uint64(BUCKETS)).astype(np.int64), starts
 
 
 def pooled(taps: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The largest answer of each filter within each segment; ids hold two zero rows after each text."""
+    """The largest answer of each filter within each segment; ids hold two zero rows after each text.
+
+    A filter is worked off at a time, on plain vectors. ``taps`` has a row for each tap and filter.
+    """
     out, col = np.empty((len(starts), FILTERS * len(WIDTHS)), np.float32), 0
     for j, w in enumerate(WIDTHS):
-        h = taps[ids, col : col + FILTERS]
-        for k in range(1, w):
-            h[:-k] += taps[ids[k:], col + k * FILTERS : col + (k + 1) * FILTERS]
-        out[:, j * FILTERS : (j + 1) * FILTERS] = np.maximum.reduceat(h, starts, axis=0)
+        for f in range(FILTERS):
+            h = taps[col + f][ids]
+            for k in range(1, w):
+                h[:-k] += taps[col + k * FILTERS + f][ids[k:]]
+            out[:, j * FILTERS + f] = np.maximum.reduceat(h, starts)
         col += w * FILTERS
     return out
 
@@ -63,47 +73,40 @@ class ConvNet:
         self.slope, self.fitted = 1.0, False
         self.langs: BackoffModel | None = None
 
-    def vectors(self, words: list[str]) -> tuple[np.ndarray, list[list[int]]]:
-        found = [features(w) for w in words]
-        sizes = np.array([len(f) for f in found])
-        flat = np.concatenate([np.array(f) for f in found]) if found else np.zeros(0, int)
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int)
-        return np.add.reduceat(self.embed[flat], starts, axis=0) / sizes[:, None], found
-
     def rows(self, words: list[str]) -> np.ndarray:
-        """What a word adds to each filter at each tap."""
-        v = self.vectors(words)[0]
-        return np.concatenate([v @ f for f in self.filters], axis=1).astype(np.float32)
-
-    def logits(self, cache: WordRows, texts: list) -> np.ndarray:
-        words = [WORDS.findall(t.lower()) if t else [] for t in texts]
-        ids = cache.ids([w for ws in words for w in ws])
-        pieces, owner, at = [], [], 0
-        for i, ws in enumerate(words):
-            mine = ids[at : at + len(ws)]
-            at += len(ws)
-            for b in range(0, max(1, len(mine)), BLOCK):
-                pieces.append(np.concatenate((mine[b : b + BLOCK + max(WIDTHS) - 1], [0, 0])))
+        """What each word adds to each filter at each tap (words in columns); the first word is the empty one and adds nothing."""
+        flat, starts = features(words)
+        sizes = np.diff(np.append(starts, len(flat)))
+        means = np.stack([np.add.reduceat(np.ascontiguousarray(self.embed[:, d])[flat], starts) for d in range(DIM)]) / sizes
+        out = np.concatenate(list(self.filters), axis=1).T.astype(np.float32) @ means.astype(np.float32)
+        out[:, 0] = 0
+        return np.ascontiguousarray(out)
+
+    def logits(self, ids: np.ndarray, ends: np.ndarray, words: list[str]) -> np.ndarray:
+        """The output of each text before the logistic function; texts as numbered() gives them."""
+        taps = self.rows(words)
+        pieces, owner = [], []
+        for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)):
+            for at in range(a, max(b, a + 1), BLOCK):
+                pieces.append(np.concatenate((ids[at : min(b, at + BLOCK + max(WIDTHS) - 1)], [0, 0])))
                 owner.append(i)
-        best = np.full((len(texts), len(self.bias)), -np.inf, np.float32)
+        best = np.full((len(ends) - 1, len(self.bias)), -np.inf, np.float32)
         todo, size = [], 0
         for i, p in enumerate(pieces):
             todo.append(i)
             size += len(p)
             if size >= BLOCK or i == len(pieces) - 1:
                 starts = np.concatenate(([0], np.cumsum([len(pieces[j]) for j in todo])[:-1])).astype(int)
-                got = pooled(cache.rows, np.concatenate([pieces[j] for j in todo]), starts)
-                np.maximum.at(best, [owner[j] for j in todo], got)
+                np.maximum.at(best, [owner[j] for j in todo], pooled(taps, np.concatenate([pieces[j] for j in todo]), starts))
                 todo, size = [], 0
         return np.maximum(best + self.bias, 0) @ self.out + self.prior[0]
 
-    def train(self, texts: list[str], labels: np.ndarray, epochs: int = 5, size: int = 32, rate: float = 0.05, seed: int = 7) -> None:
+    def train(self, texts: list[str], labels: np.ndarray, epochs: int = 3, size: int = 32, rate: float = 0.05, seed: int = 7) -> None:
         """Adagrad on the logistic loss; only the positions that win the pooling have gradients."""
-        words = [WORDS.findall(t.lower()) for t in texts]
-        names = sorted({w for ws in words for w in ws})
-        index = {w: i + 1 for i, w in enumerate(names)}
-        docs = [np.array([*(index[w] for w in ws), 0, 0]) for ws in words]
-        feats = [np.array(f) for f in self.vectors(names)[1]]
+        ids, ends, names = numbered(pa.array(texts, pa.string()), LETTERS)
+        docs = [np.concatenate((ids[a:b], [0, 0])) for a, b in zip(ends, ends[1:], strict=False)]
+        flat, starts = features(names)
+        feats = np.split(flat, starts[1:])
         params = [self.embed, self.filters, self.bias, self.out, self.prior]
         self.start(docs, feats, labels)
         past = [np.full_like(p, 1e-2) for p in params]
@@ -114,7 +117,7 @@ class ConvNet:
                 chosen = order[at : at + size]
                 ids = np.concatenate([docs[i] for i in chosen])
                 used, local = np.unique(ids, return_inverse=True)
-                mine = [feats[u - 1] for u in used if u]
+                mine = [feats[u] for u in used if u]
                 counts = np.array([len(f) for f in mine])
                 zero = int(used[0] == 0)
                 if not mine:
@@ -166,7 +169,7 @@ class ConvNet:
         """Set the first dimension from counts and let the first filter of each width read it at its first tap."""
         counts = np.zeros((2, BUCKETS))
         for ids, y in zip(docs, labels, strict=True):
-            used = [feats[i - 1] for i in np.unique(ids) if i]
+            used = [feats[i] for i in np.unique(ids) if i]
             if used:
                 counts[int(y), np.unique(np.concatenate(used))] += 1
         n = np.maximum(np.bincount(labels.astype(int), minlength=2), 1)
@@ -182,9 +185,8 @@ class ConvNet:
 
     def calibrate(self, texts: list[str], labels: np.ndarray, share: float, least: int = 30) -> None:
         """For each recognised language the logit that parts the classes best, by F1 at the true share of label 1."""
-        z = self.logits(WordRows(self.rows), texts)
-        cache = WordRows(self.langs.rows)
-        seen = np.array([language(self.langs, cache, t) for t in texts])
+        z, langs = self.answers(pa.array(texts, pa.string()))
+        seen = np.array(langs)
         weight = np.where(labels == 1, share / max(labels.mean(), 1e-9), (1 - share) / max(1 - labels.mean(), 1e-9))
 
         def parting(rows: np.ndarray) -> float:
@@ -203,6 +205,12 @@ class ConvNet:
                 self.shift[str(name)] = parting(rows)
         self.fitted = True
 
+    def answers(self, texts: pa.Array) -> tuple[np.ndarray, list[str]]:
+        """(logit, recognised language) of each text."""
+        ids, ends, words = numbered(texts, LETTERS)
+        totals = summed(self.langs.rows(words), ids, ends) if self.langs.langs else np.zeros((len(ends) - 1, 0))
+        return self.logits(ids, ends, words), self.langs.answers(totals, np.ones(len(totals), bool))[0]
+
     def probability(self, z: np.ndarray, langs: list[str]) -> np.ndarray:
         """Scores in which a language's own threshold stands at THRESHOLD."""
         part = np.array([self.shift.get(x, self.shift.get("", 0.0)) for x in langs])
@@ -210,15 +218,6 @@ class ConvNet:
         return 1 / (1 + np.exp(-np.clip(y, -60, 60)))
 
 
-def language(model: BackoffModel, cache: WordRows, text: str | None) -> str:
-    found = LETTERS.findall(text.lower()) if text else []
-    if not found or not model.langs:
-        return "und"
-    ids = cache.ids(found)
-    total = sum(cache.rows[ids[at : at + BLOCK]].sum(axis=0, dtype=np.float64) for at in range(0, len(ids), BLOCK))
-    return model.langs[int(np.argmax(total))]
-
-
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1600, max_chars: int = 20_000) -> ConvNet:
     """Train on at most about ``per_class`` documents of each label (a documented, hash-drawn bound).
 
@@ -242,20 +241,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1600, max_chars: in
 def score(docs: DataFrame, net: ConvNet) -> DataFrame:
     """doc_id, held_out, score, predicted, lang_seen of every row, from its whole text."""
     spark = docs.sparkSession
-    bound_batches(spark, rows=500)
+    bound_batches(spark, rows=1000)
     shared = spark.sparkContext.broadcast(net)
 
     def run(batches):
         m = shared.value
-        taps = WordRows(m.rows, 120_000)
-        langs = WordRows(m.langs.rows) if m.langs else None
         for b in batches:
-            texts = b.column(2).to_pylist()
             if m.fitted:
-                seen = [language(m.langs, langs, t) for t in texts]
-                p = m.probability(m.logits(taps, texts), seen)
+                z, seen = m.answers(b.column(2))
+                p = m.probability(z, seen)
             else:
-                seen, p = ["und"] * len(texts), np.zeros(len(texts))
+                seen, p = ["und"] * b.num_rows, np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(p.astype(np.float64)), pa.array((p >= THRESHOLD).astype(np.int32)), pa.array(seen, pa.string())],
                 names=["doc_id", "held_out", "score", "predicted", "lang_seen"],
