@@ -2,7 +2,8 @@
 
 Without the bounded window of out-of-order settlements the offsets of a queue are independent, so the
 state of an offset is a fold over its own few events; all windows here are partitioned by (topic, part, off)
-and share one exchange, whatever the size of a queue. Only frontiers look across offsets, and they do so
+and share one exchange, whatever the size of a queue. The join with the last resets has a row for each queue on its
+other side; adaptive execution broadcasts that or splits a large queue. Only frontiers look across offsets, and they do so
 in buckets of BUCKET offsets.
 """
 
@@ -22,7 +23,9 @@ def since_reset(events: DataFrame) -> DataFrame:
     """Events with an offset that come after the last reset of their queue."""
     resets = events.filter("event_type = 'ResetQueue'").groupBy(*QUEUE).agg(F.max("seq").alias("_reset"))
     kept = events.filter("off is not null and event_type <> 'ResetQueue'").join(resets, QUEUE, "left")
-    return kept.filter("_reset is null or seq > _reset").drop("_reset")
+    # dealt by offset from here on: the join's partitioning by queue would do for the windows, but puts a
+    # queue with a large share of all events into one task
+    return kept.filter("_reset is null or seq > _reset").drop("_reset").repartition(*OFFSET)
 
 
 def after_settlement(value: Column, nacks: Column) -> Column:
