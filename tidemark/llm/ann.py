@@ -19,8 +19,6 @@ candidates than ``k`` give them all; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.base import bound_batches, cut, uniform
 
 SAMPLE, LIST_ROWS, PART_ROWS, MAX_LISTS, SPREAD, COPIES, PROBE, LEAST_LISTS = 20_000, 200, 20_000, 4096, 1.05, 3, 1.15, 8
+WIDE, FIRST = 16, 2
 SLACK = 1e-6
 
 
@@ -58,12 +57,9 @@ class CentroidIndex:
         near = []
         for at in range(0, k, 512):
             d = self.sq[None] - 2 * centroids[at : at + 512] @ centroids.T
-            near.append(np.argsort(d, axis=1)[:, 1 : degree + 1])
-        self.graph = [set(r.tolist()) for r in np.concatenate(near)] if k else []
-        for i, r in enumerate(list(map(list, self.graph))):
-            for j in r:
-                self.graph[j].add(i)
-        self.graph = [np.array(sorted(r), np.int64) for r in self.graph]
+            near.append(np.argsort(d, axis=1)[:, : degree + 1])
+        # the nearest neighbours of each centroid, itself among them
+        self.graph = np.concatenate(near) if k else np.zeros((0, 1), np.int64)
         # a walk starts from spread-out entries, so that groups the graph doesn't connect are reached
         self.entries = np.unique(np.linspace(0, k - 1, min(k, max(16, int(4 * k**0.5)))).astype(int)) if k else np.zeros(0, int)
 
@@ -92,35 +88,47 @@ class CentroidIndex:
             c[full] = total[full] / size[full, None]
         return cls(c, longest)
 
-    def near(self, y: np.ndarray, ratio: float, least: int = 1) -> list[tuple[float, int]]:
-        """(distance, centroid) within ``ratio`` of the nearest, and the nearest ``least``, by best-first search."""
-        def distances(ids: np.ndarray) -> np.ndarray:
-            return np.sqrt(np.maximum(self.sq[ids] - 2 * (self.c[ids] @ y) + y @ y, 0))
-
-        seen = set(self.entries.tolist())
-        d = distances(self.entries)
-        found = sorted(zip(d.tolist(), self.entries.tolist(), strict=True))
-        queue = list(found)
-        heapq.heapify(queue)
-        best = sorted(d.tolist())[: max(least, 16)]
-        while queue:
-            at, i = heapq.heappop(queue)
-            if at > max(ratio * best[0], best[-1]) and len(best) >= max(least, 16):
-                break
-            new = np.array([j for j in self.graph[i].tolist() if j not in seen], np.int64)
-            if len(new):
-                seen.update(new.tolist())
-                for dj, j in zip(distances(new).tolist(), new.tolist(), strict=True):
-                    found.append((dj, j))
-                    heapq.heappush(queue, (dj, j))
-                    best.append(dj)
-                best = sorted(best)[: max(least, 16)]
-        found.sort()
-        return [x for n, x in enumerate(found) if x[0] <= ratio * found[0][0] or n < least]
-
-    def lists_of(self, y: np.ndarray, spread: float) -> list[int]:
-        """The nearest list, and those within ``spread`` times its distance, COPIES in all at most."""
-        return [i for _, i in self.near(y, spread)[:COPIES]]
+    def walk(self, y: np.ndarray, ratio: float, wide: int = WIDE) -> np.ndarray:
+        """Distances of each vector to the centroids that its best-first walk over the graph has seen (else infinite).
+
+        Each round expands the nearest unexpanded centroid of every vector that is not done: one is done when that
+        centroid is farther than the ``wide``-th best seen and than ``ratio`` times the best.
+        """
+        n, k = len(y), len(self.c)
+        own = (y * y).sum(axis=1)
+        d = np.full((n, k), np.inf)
+        d[:, self.entries] = np.sqrt(np.maximum(own[:, None] + self.sq[self.entries] - 2 * y @ self.c[self.entries].T, 0))
+        todo = d.copy()
+        live, wide = np.arange(n), min(wide, k) - 1
+        while len(live):
+            at = todo[live].argmin(axis=1)
+            nearest = todo[live, at]
+            seen = d[live]
+            bound = np.maximum(np.partition(seen, wide, axis=1)[:, wide], ratio * seen.min(axis=1))
+            go = (nearest <= bound) & np.isfinite(nearest)
+            live, at = live[go], at[go]
+            todo[live, at] = np.inf
+            near = self.graph[at]
+            new = np.isinf(d[live[:, None], near])
+            row, col = np.broadcast_to(live[:, None], near.shape)[new], near[new]
+            far = np.sqrt(np.maximum(own[row] + self.sq[col] - 2 * (y[row] * self.c[col]).sum(axis=1), 0))
+            d[row, col] = far
+            todo[row, col] = far
+        return d
+
+    def lists(self, y: np.ndarray, ratio: float, least: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vector, list, place): the lists within ``ratio`` of the nearest and the nearest ``least``, up to ``most``, nearest first."""
+        out = []
+        for a in range(0, len(y), 512):
+            # a vector that is to be stored needs its nearest few only; a query all within the ratio
+            d = self.walk(y[a : a + 512], 1.0 if most else ratio)
+            order = np.argsort(d, axis=1, kind="stable")
+            d = np.take_along_axis(d, order, axis=1)
+            place = np.arange(d.shape[1])[None]
+            chosen = np.isfinite(d) & ((d <= ratio * d[:, :1]) | (place < least)) & (place < (most or d.shape[1]))
+            row, col = np.nonzero(chosen)
+            out.append((row + a, order[row, col], col))
+        return tuple(np.concatenate([o[i] for o in out]) for i in range(3)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def fit(rows: DataFrame, sample: int = SAMPLE, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS) -> CentroidIndex:
@@ -136,22 +144,22 @@ def fit(rows: DataFrame, sample: int = SAMPLE, list_rows: int = LIST_ROWS, max_l
     return CentroidIndex.fit(x, max(lists, min(LEAST_LISTS, len(x))), float(longest))
 
 
-def assign(rows: DataFrame, shared, spread: float | None, probe: float | None, least: int) -> DataFrame:
-    """(list, vec_id, v): a row for each list that a vector is stored in (spread), or a query visits (probe)."""
+def assign(rows: DataFrame, shared, probe: float | None = None, spread: float = SPREAD, least: int = 1) -> DataFrame:
+    """(list, vec_id, v, place): a row for each list that a vector is stored in, or that a query visits if ``probe`` is given."""
     def run(batches):
         index = shared.value
         for b in batches:
-            v = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
             if not b.num_rows or not len(index.c):
                 continue
-            y = lift(v, index.longest) if probe is None else np.concatenate((v, np.zeros((len(v), 1))), axis=1)
-            if probe is not None:  # only a query's direction matters
-                y *= index.longest / np.sqrt((v * v).sum(axis=1))[:, None]
-            got = [index.lists_of(q, spread) if probe is None else [i for _, i in index.near(q, probe, least)] for q in y]
-            at = np.repeat(np.arange(len(got)), [len(g) for g in got])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(g, np.int32) for g in got])), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["list", "vec_id", "v"])
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            if probe is None:
+                at, found, place = index.lists(lift(v, index.longest), spread, 1, COPIES)
+            else:  # only a query's direction matters
+                y = np.concatenate((v, np.zeros((len(v), 1))), axis=1) * (index.longest / np.sqrt((v * v).sum(axis=1)))[:, None]
+                at, found, place = index.lists(y, probe, least, None)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(place.astype(np.int32))], names=["list", "vec_id", "v", "place"])
 
-    return rows.mapInArrow(run, "list int, vec_id long, v array<double>")
+    return rows.mapInArrow(run, "list int, vec_id long, v array<double>, place int")
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -171,34 +179,62 @@ def best_of(q: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, rough: np.n
     return [(float(s[i]), int(ids[at[i]])) for i in order[:k]]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, spread: float = SPREAD, probe: float = PROBE, least: int = LEAST_LISTS, list_rows: int = LIST_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query (a condition on vec_id), among all others."""
-    spark = vectors.sparkSession
-    bound_batches(spark)
-    rows = valid(vectors)
-    index = fit(rows, list_rows=list_rows)
-    shared = spark.sparkContext.broadcast(index)
-    stored = cut(assign(rows, shared, spread, None, 1))
-    sizes = stored.groupBy("list").count().select("list", F.ceil(F.col("count") / part_rows).cast("int").alias("parts"))
-    probes = assign(rows.filter(is_query).dropDuplicates(["vec_id", "v"]), shared, None, probe, least)
-    left = stored.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
-    right = probes.join(sizes, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    both = left.withColumn("asks", F.lit(False)).unionByName(right.withColumn("asks", F.lit(True)))
+def visit(stored: DataFrame, asked: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the lists that are asked for: of each list part, what reaches the query's bound, the k best at most.
+
+    ``asked`` is (list, vec_id, v, bound). Lists meet their queries by (list, part).
+    """
+    left = stored.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    right = asked.join(sizes, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cols = ["list", "part", "vec_id", "v", "bound"]
+    both = left.withColumn("bound", F.lit(None).cast("double")).select(*cols).union(right.select(*cols))
 
     def run(table):
-        asks = table.column("asks").to_numpy()
+        bound = table.column("bound").to_numpy()
+        asks = ~np.isnan(bound)
         ids = table.column("vec_id").to_numpy()
         x = np.array(table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(len(ids), -1)
-        cand, cand_ids, qs, q_ids = x[~asks], ids[~asks], x[asks], ids[asks]
-        out = []
+        cand, cand_ids, qs, q_ids, low = x[~asks], ids[~asks], x[asks], ids[asks], bound[asks]
+        out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(cand):
             for at in range(0, len(qs), 256):
-                rough = qs[at : at + 256] @ cand.T
-                for q, own, line in zip(qs[at : at + 256], q_ids[at : at + 256], rough, strict=True):
-                    out.extend((int(own), i, s) for s, i in best_of(q, own, cand_ids, cand, line, k))
-        return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
-
-    found = both.groupBy("list", "part").applyInArrow(run, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                q, own = qs[at : at + 256], q_ids[at : at + 256]
+                rough = q @ cand.T
+                hit = (rough >= (low[at : at + 256] - SLACK * (1 + np.abs(low[at : at + 256])))[:, None]) & (cand_ids[None] != own[:, None])
+                many = hit.sum(axis=1) > k
+                for i in np.flatnonzero(many).tolist():
+                    best = best_of(q[i], own[i], cand_ids, cand, rough[i], k)
+                    out.append((np.full(len(best), own[i]), np.array([b for _, b in best], np.int64), np.array([b for b, _ in best])))
+                hit[many] = False
+                r, c = np.nonzero(hit)
+                out.append((own[r], cand_ids[c], (cand[c] * q[r]).sum(axis=1)))
+        return pa.table({name: np.concatenate([o[i] for o in out]) for i, name in enumerate(("query_id", "vec_id", "score"))})
+
+    return both.groupBy("list", "part").applyInArrow(run, "query_id long, vec_id long, score double")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return best.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, spread: float = SPREAD, probe: float = PROBE, least: int = LEAST_LISTS, list_rows: int = LIST_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query (a condition on vec_id), among all others.
+
+    A query's FIRST nearest lists are searched first. The k-th score found there is a bound that lets the
+    other lists answer with what can still matter only.
+    """
+    spark = vectors.sparkSession
+    bound_batches(spark)
+    rows = valid(vectors)
+    shared = spark.sparkContext.broadcast(fit(rows, list_rows=list_rows))
+    stored = cut(assign(rows, shared, spread=spread).select("list", "vec_id", "v"))
+    sizes = stored.groupBy("list").count().select("list", F.ceil(F.col("count") / part_rows).cast("int").alias("parts"))
+    probes = cut(assign(rows.filter(is_query).dropDuplicates(["vec_id", "v"]), shared, probe=probe, least=least))
+    none = F.lit(float("-inf"))
+    first = cut(ranked(visit(stored, probes.filter(F.col("place") < FIRST).withColumn("bound", none), sizes, k), k))
+    bounds = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(none).alias("bound")).withColumnRenamed("query_id", "vec_id")
+    rest = probes.filter(F.col("place") >= FIRST).join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", none))
+    found = first.select("query_id", "vec_id", "score").union(visit(stored, rest, sizes, k))
+    return ranked(found, k).select("query_id", "rank", "vec_id", "score")
