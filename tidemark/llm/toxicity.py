@@ -44,7 +44,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pooled(taps: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The largest answer of each filter within each segment; ids hold two zero rows after each text.
+    """The largest answer of each filter from each start to the next.
 
     A filter is worked off at a time, on plain vectors. ``taps`` has a row for each tap and filter.
     """
@@ -85,23 +85,26 @@ class ConvNet:
     def logits(self, ids: np.ndarray, ends: np.ndarray, words: list[str]) -> np.ndarray:
         """The output of each text before the logistic function; texts as numbered() gives them."""
         taps = self.rows(words)
-        pieces, owner = [], []
+        pieces, owner = [], []  # (ids, positions that count): a block reads on into the next for its last positions
         for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)):
             for at in range(a, max(b, a + 1), BLOCK):
-                pieces.append(np.concatenate((ids[at : min(b, at + BLOCK + max(WIDTHS) - 1)], [0, 0])))
+                last = at + BLOCK >= b
+                pieces.append((np.concatenate((ids[at:b], [0, 0])), b - at + 2) if last else (ids[at : at + BLOCK + max(WIDTHS) - 1], BLOCK))
                 owner.append(i)
         best = np.full((len(ends) - 1, len(self.bias)), -np.inf, np.float32)
         todo, size = [], 0
-        for i, p in enumerate(pieces):
+        for i, (p, _) in enumerate(pieces):
             todo.append(i)
             size += len(p)
             if size >= BLOCK or i == len(pieces) - 1:
-                starts = np.concatenate(([0], np.cumsum([len(pieces[j]) for j in todo])[:-1])).astype(int)
-                np.maximum.at(best, [owner[j] for j in todo], pooled(taps, np.concatenate([pieces[j] for j in todo]), starts))
+                starts = np.concatenate(([0], np.cumsum([len(pieces[j][0]) for j in todo])[:-1])).astype(int)
+                cuts = np.stack((starts, starts + [pieces[j][1] for j in todo]), axis=1).ravel()
+                got = pooled(taps, np.concatenate([*(pieces[j][0] for j in todo), [0]]), cuts)
+                np.maximum.at(best, [owner[j] for j in todo], got[::2])
                 todo, size = [], 0
         return np.maximum(best + self.bias, 0) @ self.out + self.prior[0]
 
-    def train(self, texts: list[str], labels: np.ndarray, epochs: int = 3, size: int = 32, rate: float = 0.05, seed: int = 7) -> None:
+    def train(self, texts: list[str], labels: np.ndarray, epochs: int = 3, steps: int = 300, size: int = 32, rate: float = 0.05, seed: int = 7) -> None:
         """Adagrad on the logistic loss; only the positions that win the pooling have gradients."""
         ids, ends, names = numbered(pa.array(texts, pa.string()), LETTERS)
         docs = [np.concatenate((ids[a:b], [0, 0])) for a, b in zip(ends, ends[1:], strict=False)]
@@ -111,7 +114,7 @@ class ConvNet:
         self.start(docs, feats, labels)
         past = [np.full_like(p, 1e-2) for p in params]
         r, nf = np.random.default_rng(seed), FILTERS
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-steps * size // max(len(docs), 1)))):  # few texts are gone through more often
             order = r.permutation(len(docs))
             for at in range(0, len(order), size):
                 chosen = order[at : at + size]
@@ -183,7 +186,7 @@ class ConvNet:
         self.out[:: FILTERS] = 1.0
         self.prior[0] = -2.0
 
-    def calibrate(self, texts: list[str], labels: np.ndarray, share: float, least: int = 30) -> None:
+    def calibrate(self, texts: list[str], labels: np.ndarray, share: float, least: int = 4) -> None:
         """For each recognised language the logit that parts the classes best, by F1 at the true share of label 1."""
         z, langs = self.answers(pa.array(texts, pa.string()))
         seen = np.array(langs)
@@ -227,14 +230,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1600, max_chars: in
     net = ConvNet()
     if len({r[1] for r in rows}) < 2:
         return net
-    texts, y = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
-    net.langs = BackoffModel.fit([(r[0], r[2]) for r in rows if r[2] is not None])
+    return learn([r[0] for r in rows], np.array([r[1] for r in rows], np.float64), [r[2] for r in rows], sizes[1] / (sizes[0] + sizes[1]))
+
+
+def learn(texts: list[str], y: np.ndarray, langs: list, share: float) -> ConvNet:
+    """Train on three quarters of the texts and calibrate on the others; ``share`` is the true share of label 1."""
+    net = ConvNet()
+    net.langs = BackoffModel.fit([(t, x) for t, x in zip(texts, langs, strict=True) if x is not None])
     aside = np.array([crc32(t.encode("utf-8", "surrogatepass")) % 4 == 0 for t in texts])
     if min(y[~aside].sum(), (1 - y[~aside]).sum(), y[aside].sum(), (1 - y[aside]).sum()) < 1:
         aside[:] = False
     pick = lambda keep: ([t for t, k in zip(texts, keep, strict=True) if k], y[keep])
     net.train(*pick(~aside))
-    net.calibrate(*(pick(aside) if aside.any() else (texts, y)), share=sizes[1] / (sizes[0] + sizes[1]))
+    net.calibrate(*(pick(aside) if aside.any() else (texts, y)), share=share)
     return net
 
 
