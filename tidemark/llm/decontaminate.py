@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import WORDS, bound_batches
+from tidemark.llm.base import bound_batches
+from tidemark.llm.words import LETTERS_DIGITS, split_words
 
 N, LEAST, ENOUGH, COVERED, SCORE, RAW = 3, 8, 6.0, 0.5, 0.4, 6.0
 MATCH, MISMATCH, GAP = 1.0, -1.0, -1.0
@@ -35,11 +37,14 @@ class ItemIndex:
     """Words of the items by number, and where each n-gram occurs in which item."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = N, least: int = LEAST):
-        found = [(i, WORDS.findall(t.lower())) for i, t in items if t]
+        texts = split_words(pa.array([t for _, t in items], pa.string()), LETTERS_DIGITS).to_pylist()
+        found = [(i, ws or []) for (i, _), ws in zip(items, texts, strict=True)]
         self.items = [(i, w) for i, w in found if len(w) >= least]
         self.number = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
         self.n, self.base = n, len(self.number) + 1
         self.texts = [np.array([self.number[w] for w in ws]) for _, ws in self.items]
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.shortest = int(self.sizes.min()) if len(self.sizes) else 0
         keys = [self.keys(t) for t in self.texts]
         self.seeds, place = np.unique(np.concatenate(keys) if keys else np.zeros(0, object), return_inverse=True)
         item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
@@ -71,49 +76,55 @@ class ItemIndex:
         same = self.seeds[seed] == keys[at]
         return at[same], seed[same]
 
-    def numbers(self, text: str | None) -> np.ndarray:
-        words = WORDS.findall(text.lower()) if text else []
-        get = self.number.get
-        return np.array([get(w, 0) for w in words], np.int64)
+    def numbers(self, texts: pa.Array) -> list[np.ndarray]:
+        """The item number of each word of each text, or 0."""
+        split = split_words(texts, LETTERS_DIGITS)
+        codes = pc.fill_null(pc.index_in(split.values, value_set=pa.array(list(self.number), pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        ends = split.offsets.to_pylist()
+        return [codes[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
-    """Smith-Waterman: the best local score, and the first and last word of the text in it.
+def local(item: np.ndarray, words: np.ndarray) -> tuple[float, int]:
+    """The best local score of Smith-Waterman, and the text's word at which it is first reached.
 
     A row is computed at once: a run of gaps along the row is a running maximum.
     """
     m = len(words)
     steps = GAP * np.arange(m + 1)
-    row, began = np.zeros(m + 1), np.arange(m + 1)
-    best = (0.0, 0, 0)
+    row, best = np.zeros(m + 1), (0.0, 0)
+    now = np.zeros(m + 1)
     for w in item:
-        diag = row[:-1] + np.where(words == w, MATCH, MISMATCH)
-        up = row[1:] + GAP
-        now = np.zeros(m + 1)
-        since = np.arange(m + 1)
-        now[1:] = np.maximum(diag, up)
-        since[1:] = np.where(diag >= up, began[:-1], began[1:])
-        since[now <= 0] = np.flatnonzero(now <= 0)
-        now = np.maximum(now, 0)
-        lifted = now - steps
-        top = np.maximum.accumulate(lifted)
-        source = np.maximum.accumulate(np.where(lifted >= top, np.arange(m + 1), 0))
-        row, began = top + steps, since[source]
+        np.maximum(row[:-1] + np.where(words == w, MATCH, MISMATCH), row[1:] + GAP, out=now[1:])
+        row = np.maximum.accumulate(np.maximum(now, 0) - steps) + steps
         j = int(row.argmax())
         if row[j] > best[0]:
-            best = (float(row[j]), int(began[j]), j - 1)
+            best = (float(row[j]), j - 1)
     return best
 
 
+def align(item: np.ndarray, words: np.ndarray, least: float = 0.0) -> tuple[float, int, int]:
+    """The best local score, and the first and last word of the text in it.
+
+    The beginning is the end of the alignment read backwards; it isn't looked for below ``least``.
+    """
+    score, last = local(item, words)
+    if score <= 0 or score < least:
+        return score, 0, 0
+    return score, last - local(item[::-1], words[last::-1])[1], last
+
+
 def candidates(index: ItemIndex, weights: np.ndarray, numbers: np.ndarray, enough: float, covered: float):
     """(item, from, to): stretches of a text that hold enough seeds of an item within its reach."""
     at, seed = index.hits(numbers)
     if not len(at):
         return
+    once = np.unique(seed)
+    if weights[once].sum() < enough and len(once) < covered * (index.shortest - index.n + 1):
+        return
     many = index.bounds[seed + 1] - index.bounds[seed]
     flat = np.repeat(index.bounds[seed] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
     at, seed, item, start = np.repeat(at, many), np.repeat(seed, many), index.item[flat], index.start[flat]
-    sizes = np.array([len(t) for t in index.texts])
+    sizes = index.sizes
     first = at - start  # where the item would begin without insertions and deletions
     order = np.lexsort((first, item))
     at, seed, item, first = at[order], seed[order], item[order], first[order]
@@ -138,7 +149,7 @@ def best_alignments(index: ItemIndex, weights: np.ndarray, numbers: np.ndarray,
     reach = 4 * max(map(len, index.texts), default=0) + 64
     for offset, part in blocks(numbers, reach):
         for i, a, b in candidates(index, weights, part, enough, covered):
-            raw, s, e = align(index.texts[i], part[a:b])
+            raw, s, e = align(index.texts[i], part[a:b], max(RAW, least * MATCH * len(index.texts[i])))
             score = raw / (MATCH * len(index.texts[i]))
             if score >= least and raw >= RAW and score > best.get(i, (0, 0.0))[1]:
                 best[i] = (i, score, offset + a + s, offset + a + e)
@@ -165,8 +176,8 @@ def seed_counts(docs: DataFrame, shared, seeds: int) -> np.ndarray:
         index = shared.value
         counts = np.zeros(len(index.seeds), np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                counts[np.unique(index.hits(index.numbers(t))[1])] += 1
+            for t in index.numbers(b.column(0)):
+                counts[np.unique(index.hits(t)[1])] += 1
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["seed", "n"])
 
@@ -196,7 +207,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int =
         def run(batches, shared=shared, weights=weights):
             index = shared.value
             for b in batches:
-                rows = [(d, index.items[i][0], s, x, y) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, s, x, y in best_alignments(index, weights, index.numbers(t), enough, covered, score)]
+                rows = [(d, index.items[i][0], s, x, y) for d, t in zip(b.column(0).to_pylist(), index.numbers(b.column(1)), strict=True) for i, s, x, y in best_alignments(index, weights, t, enough, covered, score)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "first_word", "last_word"])
 
         pairs = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, score double, first_word long, last_word long")
