@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LETTERS = re.compile(r"[^\W\d_]+")
-WORDS = re.compile(r"[^\W_]+")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
