@@ -52,8 +52,9 @@ def test_frontier_equals_the_fold_for_any_bucket(spark):
         assert got == {p: f for p, f in want.items() if f is not None}
 
 
-def test_queue_state_counts(events):
-    rows = {r["part"]: r for r in replay.queue_state(events).collect()}
+@pytest.mark.parametrize("bucket", [3, 65_536])
+def test_queue_state_counts(events, bucket):
+    rows = {r["part"]: r for r in replay.queue_state(events, bucket=bucket).collect()}
     for p in range(12):
         q = QueueFold()
         for _, _, _, kind, off, retries, deadline, requeue, _ in history(p, 600, 3 + 5 * p):

@@ -86,19 +86,28 @@ def frontier(settled: DataFrame, bucket: int = BUCKET) -> DataFrame:
     rows = settled.select(*OFFSET).distinct().withColumn("_b", F.floor(F.col("off") / bucket))
     rn = F.row_number().over(Window.partitionBy(*QUEUE, "_b").orderBy("off")) - 1
     per_bucket = rows.withColumn("_hit", F.col("off") - F.col("_b") * bucket == rn).groupBy(*QUEUE, "_b").agg(F.count_if("_hit").alias("_n"))
-    by_bucket = Window.partitionBy(*QUEUE).orderBy("_b")
-    full = F.coalesce(F.sum(F.when(F.col("_n") == bucket, 1).otherwise(0)).over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    reached = F.when(full == F.col("_b"), F.col("_b") * bucket + F.col("_n"))
-    return per_bucket.withColumn("_r", reached).groupBy(*QUEUE).agg(F.coalesce(F.max("_r"), F.lit(0)).cast("long").alias("acked_until"))
+    return reached(per_bucket, bucket).groupBy(*QUEUE).agg(F.coalesce(F.max("_r"), F.lit(0)).cast("long").alias("acked_until"))
 
 
-def queue_state(events: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """One row for each queue that has any event."""
+def reached(per_bucket: DataFrame, bucket: int) -> DataFrame:
+    """``per_bucket`` (_b, _n: the settled prefix within it) with _r, where the queue's prefix gets to if it reaches the bucket."""
+    by_bucket = Window.partitionBy(*QUEUE).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    full = F.coalesce(F.sum(F.when(F.col("_n") == bucket, 1).otherwise(0)).over(by_bucket), F.lit(0))
+    return per_bucket.withColumn("_r", F.when(full == F.col("_b"), F.col("_b") * bucket + F.col("_n")))
+
+
+def queue_state(events: DataFrame, state: DataFrame | None = None, bucket: int = BUCKET) -> DataFrame:
+    """One row for each queue that has any event. The state is gone through once, for counts and frontier together."""
     state = offset_state(events) if state is None else state
+    rows = state.withColumn("_b", F.floor(F.col("off") / bucket))
+    rn = F.row_number().over(Window.partitionBy(*QUEUE, "_b", "settled").orderBy("off")) - 1
+    rows = rows.withColumn("_hit", F.col("settled") & (F.col("off") - F.col("_b") * bucket == rn))
+    counts = [F.count_if(c).alias(f"n_{c}") for c in ("settled", "inflight", "enqueued")]
+    per_bucket = rows.groupBy(*QUEUE, "_b").agg(F.count_if("_hit").alias("_n"), *counts, F.min("deadline").alias("min_deadline"))
+    total = [F.sum(f"n_{c}").alias(f"n_{c}") for c in ("settled", "inflight", "enqueued")]
+    sums = reached(per_bucket, bucket).groupBy(*QUEUE).agg(F.coalesce(F.max("_r"), F.lit(0)).cast("long").alias("acked_until"), *total, F.min("min_deadline").alias("min_deadline"))
     upto = events.groupBy(*QUEUE).agg((F.max("seq") + 1).alias("applied_upto"))
-    sums = state.groupBy(*QUEUE).agg(F.count_if("settled").alias("n_settled"), F.count_if("inflight").alias("n_inflight"), F.count_if("enqueued").alias("n_enqueued"), F.min("deadline").alias("min_deadline"))
-    zero = {"acked_until": 0, "n_settled": 0, "n_inflight": 0, "n_enqueued": 0}
-    joined = upto.join(sums, QUEUE, "left").join(frontier(state.filter("settled")), QUEUE, "left").fillna(zero)
+    joined = upto.join(sums, QUEUE, "left").fillna({"acked_until": 0, "n_settled": 0, "n_inflight": 0, "n_enqueued": 0})
     return joined.select(*QUEUE, "acked_until", "n_settled", "n_inflight", "n_enqueued", "min_deadline", "applied_upto")
 
 
