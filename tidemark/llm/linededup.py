@@ -7,7 +7,7 @@ all its pages.
 Only 128-bit line hashes are shuffled for counting, once for each page and line, and counted on the
 map side first. The boilerplate of a host is a short list (at most lines-per-page / ratio entries), so
 it is kept as one array for a host; pages meet it in a join on host and salt, so that a host with a third
-of all pages is dealt to many tasks.
+of all pages is dealt to many tasks; what is still uneven beyond that, adaptive execution splits, as it is a plain left join.
 
 Edge cases: lines are compared without surrounding spaces; blank lines are never dropped for their
 frequency. A null text stays null; a text whose lines all go becomes empty; its row stays. A null
