@@ -29,7 +29,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near-duplicates."""
+    """The document with the least doc_id of each group of near copies (Jaccard similarity 0.8 over five-word shingles)."""
     return simhash.keep_one(docs)
 
 

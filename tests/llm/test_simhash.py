@@ -90,3 +90,43 @@ def test_one_large_group_makes_few_links(spark):
     links = simhash.links(df)
     assert links.count() < 25 * len(near)
     assert simhash.components(links).select(F.countDistinct("root")).first()[0] == 1
+
+
+def jaccard_roots(texts):
+    """The least id of each component of texts whose five-word shingle sets reach a Jaccard similarity of 0.8."""
+    split = {i: (t or "").lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in split.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {find(i) for i in texts}
+
+
+def test_keep_one_drops_edited_copies_and_no_others(spark):
+    r = random.Random(8)
+    texts = {}
+    for i in range(0, 600, 4):
+        words = [f"w{r.randrange(3000)}" for _ in range(r.randrange(60, 400))]
+        texts[i] = " ".join(words)
+        for k, edits in ((1, 1), (2, len(words) // 50), (3, len(words) // 12)):
+            copy = list(words)
+            for at in r.sample(range(len(words)), edits):
+                copy[at] = "edited"
+            texts[i + k] = " ".join(copy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = jaccard_roots(texts)
+    assert {x[0] for x in simhash.keep_one(docs).collect()} == want and 150 < len(want) < 450
+
+
+def test_keep_one_against_all_pairs(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    assert {x[0] for x in simhash.keep_one(docs).collect()} == jaccard_roots({x[0]: x[1] for x in docs.collect()})

@@ -7,6 +7,10 @@ that near; all other tile pairs are skipped, which loses nothing. Within a pair
 compares all fingerprints with exclusive-or and bit counts. A tile pair returns a spanning forest of
 its links, never all pairs; the forests are joined into components by distributed star contraction.
 
+The pipeline's stage (keep_one) does not use fingerprints: near copies with a Jaccard similarity of 0.8 over
+five-word shingles lie up to some 17 bits apart, where counts skip no tiles. Bands of minimum hashes find its
+candidates (a pair at 0.8 shares none of them with probability 7e-6), and exact counts of shared shingles decide.
+
 Edge cases: a null or wordless text has fingerprint zero and is linked like any other. A null doc_id
 gets a fingerprint and the component of the documents near it. Repeated rows each get their row back.
 A text of fewer words than a shingle is one shingle. An empty table gives an empty result.
@@ -23,8 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import bound_batches, cut
+from tidemark.llm.words import BASE
 
 WORDS_IN_SHINGLE, RADIUS, PARTS, SEED = 3, 2, 4, 42
+STAGE_WORDS, SIMILARITY, BANDS, ROWS, HUBS = 5, 0.8, 30, 5, 100
 CELLS = 1 << 21  # comparisons held at a time
 
 
@@ -168,12 +174,93 @@ def near_duplicates(docs: DataFrame, size: int = WORDS_IN_SHINGLE, radius: int =
     return fps.join(moved, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingles(text: bytes | None, size: int = STAGE_WORDS) -> np.ndarray:
+    """The distinct hashes, sorted, of a text's shingles; words are those of fingerprint(). A wordless text has none."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+    n = max(1, len(words) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(size, len(words))):
+        out = out * BASE + hashes[i : i + n]
+    return np.unique((out ^ (out >> np.uint64(32))) * BASE)
+
+
+def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A key for each band of minimum hashes: sets of Jaccard similarity s share a given one with probability s ** rows."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    r = np.random.default_rng(SEED)
+    turn = r.integers(0, 1 << 63, bands * rows, np.uint64)
+    times = r.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, ((hashes[at : at + 4096, None] ^ turn) * times).min(axis=0), out=least)
+    key = np.arange(bands, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
+        key = (key ^ (key >> np.uint64(29))) * BASE + column
+    return key.view(np.int64)
+
+
+def shingled(docs: DataFrame, size: int = STAGE_WORDS) -> DataFrame:
+    """doc_id, node (a hash of the shingle set), n (its size), keys (its bands) and shingles of each row."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t, size) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            columns = [b.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64())]
+            columns += [pa.array(x, pa.list_(pa.int64())) for x in ([band_keys(s) for s in sets], [s.view(np.int64) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "keys", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n long, keys array<long>, shingles array<long>")
+
+
+def candidates(distinct: DataFrame, similarity: float = SIMILARITY, hubs: int = HUBS) -> DataFrame:
+    """Pairs (a, b) of nodes that share a band and whose sizes allow ``similarity``. ``distinct`` is (node, n, keys).
+
+    Up to ``hubs`` + 1 nodes of a band all meet each other; in a larger group each meets ``hubs`` of them, others in each band.
+    """
+    dealt = distinct.select("node", "n", F.explode("keys").alias("key")).select("key", F.xxhash64("key", "node").alias("o"), "node", "n")
+
+    def run(batches):
+        for _, _, node, n in grouped(batches, 4):
+            for i in range(min(hubs, len(node) - 1)):
+                fit = np.minimum(n[i], n[i + 1 :]) >= similarity * np.maximum(n[i], n[i + 1 :]) - 1e-9
+                other = node[i + 1 :][fit]
+                if len(other):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(other, node[i])), pa.array(np.minimum(other, node[i]))], names=["a", "b"])
+
+    return dealt.repartition("key").sortWithinPartitions("key", "o").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(docs: DataFrame, size: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id of every row: texts whose shingle sets reach a Jaccard ``similarity`` are linked, by exact count."""
+    made = cut(shingled(docs, size))
+    distinct = cut(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    pairs = cut(candidates(distinct, similarity))
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = cut(made.select("node", "n", "shingles").join(met, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    edges = both.filter(shared >= similarity * (F.col("na") + F.col("nb") - shared) - 1e-9).select("a", "b")
+    found = cut(components(edges))
+    found = found.union(found.select("root", "root").distinct())
+    linked = cut(distinct.select("node", "least").join(found, "node"))
+    moved = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    moved = moved.union(distinct.select("node", "least").join(linked, "node", "left_anti"))
+    return made.select("doc_id", "node").join(moved, "node").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the least doc_id of each component, one row of it; a null doc_id stays.
+    """The document with the least doc_id of each component of similar(), one row of it; a null doc_id stays.
 
     Of rows that repeat a kept doc_id the least by its columns stays.
     """
-    kept = near_duplicates(docs.filter("doc_id is not null")).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = similar(docs.filter("doc_id is not null")).filter("doc_id = component_id").select("doc_id").distinct()
     rest = [c for c in docs.columns if c != "doc_id"]
     named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r"))
     return named.select(*[F.col("doc_id") if c == "doc_id" else F.col("r")[c].alias(c) for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
