@@ -73,6 +73,24 @@ def test_a_passage_in_every_document_is_found(spark):
     assert dec.contaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 50
 
 
+def test_edited_copies_of_a_frequent_passage_are_all_found(spark):
+    r = random.Random(9)
+    items = {i: words(r, n) for i, n in enumerate((15, 16, 18, 20, 25, 40))}
+    docs, want = [], set()
+    for d in range(600):
+        i = d % 6
+        change = r.choice((0.15, 0.2, 0.25, 0.3))
+        # substitutions in one half, in the other words put in between, left out and substituted
+        edit = (lambda x: ["zz"]) if d % 12 < 6 else (lambda x: r.choice(([x, "yy"], [], ["zz"])))
+        t = [y for x in items[i] for y in (edit(x) if r.random() < change else [x])]
+        if smith_waterman(items[i], t) >= max(6, 0.4 * len(items[i])):
+            want.add((d, i))
+        docs.append((d, " ".join(["before"] * 30 + t + ["after"] * 30)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    assert {(x[0], x[1]) for x in dec.contaminated(df, bench).collect()} == want and len(want) > 300
+
+
 def test_decontamination_edge_cases(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "a b c d e f g h i", 3), (4, "a b c d e f g h i", 4), (4, "a b c d e f g h i", 4)], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (4, "a b c d e f g h i")], "item_id long, text string")

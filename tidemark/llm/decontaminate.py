@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment decides.
+"""Benchmark decontamination: word pairs find candidates, Smith-Waterman alignment decides.
 
-Test items are cut into word n-grams. A first pass counts over the whole corpus in how many documents
-each n-gram occurs; its weight is the logarithm of the documents' number over that count. A second
-pass lines a text's n-grams up with the items': seeds of one item that lie within reach of each other are
-a candidate when their weights reach ``enough`` (one rare n-gram, or several that aren't), or when they
-are ``covered`` or more of the item's n-grams, however frequent. The words around a candidate are aligned
-with the item by Smith-Waterman with affine-free gaps, so substitutions, insertions and deletions in
-edited copies are scored; a pair counts from a score of SCORE of the item's best and RAW points. Both passes only read the documents: no text is shuffled.
+A pair of text and item counts from an alignment of SCORE of the item's best and RAW points. With M words
+matched and E substituted, inserted or left out, an alignment has M - E points and at most E + 1 runs of
+matches, so at least M - E - 1 neighbouring words of the item stand side by side in the text as well. A
+stretch of a text is a candidate when it holds that many of an item's word pairs within the length such an
+alignment can have: a necessary condition, whatever else occurs in the corpus, so no alignment that counts
+is missed. The words around a candidate are aligned with the item by Smith-Waterman with affine-free gaps.
+The documents are read once: no text is shuffled.
 
 The item index is sent to all executors; its size is checked against ``max_words`` first, and a larger
 benchmark is worked off in parts, each of them below that bound.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.base import bound_batches
 from tidemark.llm.words import LETTERS_DIGITS, split_words
 
-N, LEAST, ENOUGH, COVERED, SCORE, RAW = 3, 8, 6.0, 0.5, 0.4, 6.0
+N, LEAST, SCORE, RAW = 2, 8, 0.4, 6.0
 MATCH, MISMATCH, GAP = 1.0, -1.0, -1.0
 MAX_WORDS = 2_000_000
 BLOCK = 200_000
@@ -44,7 +44,6 @@ class ItemIndex:
         self.n, self.base = n, len(self.number) + 1
         self.texts = [np.array([self.number[w] for w in ws]) for _, ws in self.items]
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
-        self.shortest = int(self.sizes.min()) if len(self.sizes) else 0
         keys = [self.keys(t) for t in self.texts]
         self.seeds, place = np.unique(np.concatenate(keys) if keys else np.zeros(0, object), return_inverse=True)
         item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
@@ -53,6 +52,10 @@ class ItemIndex:
         self.item, self.start = item[order], start[order]
         self.bounds = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(self.seeds))))).astype(int)
 
+    def needs(self, score: float) -> np.ndarray:
+        """The points from which an alignment with each item counts."""
+        return np.maximum(RAW, score * MATCH * self.sizes)
+
     def keys(self, numbers: np.ndarray) -> np.ndarray:
         """One integer for each n-gram, or -1 where a word is in no item. Exact: base ** n stays below 2 ** 63."""
         m = len(numbers) - self.n + 1
@@ -113,28 +116,30 @@ def align(item: np.ndarray, words: np.ndarray, least: float = 0.0) -> tuple[floa
     return score, last - local(item[::-1], words[last::-1])[1], last
 
 
-def candidates(index: ItemIndex, weights: np.ndarray, numbers: np.ndarray, enough: float, covered: float):
-    """(item, from, to): stretches of a text that hold enough seeds of an item within its reach."""
+def candidates(index: ItemIndex, numbers: np.ndarray, needs: np.ndarray):
+    """(item, from, to): stretches of a text that may hold an alignment of ``needs`` points; all such alignments lie in one."""
     at, seed = index.hits(numbers)
-    if not len(at):
-        return
-    once = np.unique(seed)
-    if weights[once].sum() < enough and len(once) < covered * (index.shortest - index.n + 1):
+    pairs = np.maximum(1, np.ceil(needs - 1e-9).astype(np.int64) - 1)
+    if not len(at) or len(at) < pairs.min():
         return
     many = index.bounds[seed + 1] - index.bounds[seed]
     flat = np.repeat(index.bounds[seed] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-    at, seed, item, start = np.repeat(at, many), np.repeat(seed, many), index.item[flat], index.start[flat]
-    sizes = index.sizes
-    first = at - start  # where the item would begin without insertions and deletions
-    order = np.lexsort((first, item))
-    at, seed, item, first = at[order], seed[order], item[order], first[order]
-    cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(first) > np.maximum(8, sizes[item[1:]] // 2))) + 1
-    for part in np.split(np.arange(len(at)), cut):
-        i = int(item[part[0]])
-        own = np.unique(seed[part])
-        if weights[own].sum() >= enough or len(own) >= covered * (sizes[i] - index.n + 1):
-            slack = int(sizes[i]) // 2 + 8
-            yield i, max(0, int(min(first[part].min(), at[part].min())) - slack), int(max(first[part].max() + sizes[i], at[part].max() + index.n)) + slack
+    at, item = np.repeat(at, many), index.item[flat]
+    order = np.lexsort((at, item))
+    at, item = at[order], item[order]
+    once = np.concatenate(([True], (np.diff(item) != 0) | (np.diff(at) != 0)))
+    at, item = at[once], item[once]
+    last = np.arange(len(at)) + pairs[item] - 1
+    begin = np.flatnonzero(last < len(at))
+    last = last[begin]
+    # insertions cost a point each, so no more words of a text than this are in an alignment that counts
+    span = (2 * index.sizes - needs).astype(np.int64)[item[begin]]
+    near = (item[last] == item[begin]) & (at[last] - at[begin] <= span - index.n)
+    begin, last, span = begin[near], last[near], span[near]
+    low, high = at[last] + index.n - span, at[begin] + span
+    cut = np.flatnonzero((np.diff(item[begin]) != 0) | (low[1:] > high[:-1])) + 1 if len(begin) else []
+    for part in np.split(np.arange(len(begin)), cut) if len(begin) else ():
+        yield int(item[begin[part[0]]]), max(0, int(low[part[0]])), int(high[part[-1]])
 
 
 def blocks(numbers: np.ndarray, reach: int):
@@ -143,15 +148,19 @@ def blocks(numbers: np.ndarray, reach: int):
         yield b, numbers[b : b + BLOCK + reach]
 
 
-def best_alignments(index: ItemIndex, weights: np.ndarray, numbers: np.ndarray, enough: float, covered: float, least: float) -> list[tuple]:
-    """(item, score, first word, last word) of the best alignment with each item that reaches ``least``."""
+def best_alignments(index: ItemIndex, weights: np.ndarray | None, numbers: np.ndarray, enough: float | None, covered: float | None, least: float) -> list[tuple]:
+    """(item, score, first word, last word) of the best alignment with each item that reaches ``least``.
+
+    ``weights``, ``enough`` and ``covered`` belonged to the seeds' rarity and no longer take part.
+    """
+    needs = index.needs(least)
     best: dict[int, tuple] = {}
     reach = 4 * max(map(len, index.texts), default=0) + 64
     for offset, part in blocks(numbers, reach):
-        for i, a, b in candidates(index, weights, part, enough, covered):
-            raw, s, e = align(index.texts[i], part[a:b], max(RAW, least * MATCH * len(index.texts[i])))
+        for i, a, b in candidates(index, part, needs):
+            raw, s, e = align(index.texts[i], part[a:b], needs[i])
             score = raw / (MATCH * len(index.texts[i]))
-            if score >= least and raw >= RAW and score > best.get(i, (0, 0.0))[1]:
+            if raw >= needs[i] and score > best.get(i, (0, 0.0))[1]:
                 best[i] = (i, score, offset + a + s, offset + a + e)
     return sorted(best.values())
 
@@ -170,24 +179,7 @@ def item_parts(benchmark: DataFrame, max_words: int = MAX_WORDS):
         yield part
 
 
-def seed_counts(docs: DataFrame, shared, seeds: int) -> np.ndarray:
-    """In how many documents each seed occurs; partial counts are made in each task."""
-    def run(batches):
-        index = shared.value
-        counts = np.zeros(len(index.seeds), np.int64)
-        for b in batches:
-            for t in index.numbers(b.column(0)):
-                counts[np.unique(index.hits(t)[1])] += 1
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["seed", "n"])
-
-    out = np.zeros(seeds, np.int64)
-    for r in docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-        out[r[0]] = r[1]
-    return out
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int = LEAST, enough: float = ENOUGH, covered: float = COVERED, score: float = SCORE, max_words: int = MAX_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, score: float = SCORE, max_words: int = MAX_WORDS) -> DataFrame:
     """doc_id, item_id, score (share of the item's best score), first_word, last_word of each aligned pair.
 
     A row with a null doc_id has its pairs with a null doc_id.
@@ -195,19 +187,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, least: int =
     spark = docs.sparkSession
     bound_batches(spark)
     found = None
-    total = None
     for items in item_parts(benchmark, max_words):
-        index = ItemIndex(items, n, least)
+        index = ItemIndex(items, least=least)
         if not index.items:
             continue
         shared = spark.sparkContext.broadcast(index)
-        total = docs.count() if total is None else total
-        weights = np.log(max(total, 1) / np.maximum(seed_counts(docs, shared, len(index.seeds)), 1))
 
-        def run(batches, shared=shared, weights=weights):
+        def run(batches, shared=shared):
             index = shared.value
             for b in batches:
-                rows = [(d, index.items[i][0], s, x, y) for d, t in zip(b.column(0).to_pylist(), index.numbers(b.column(1)), strict=True) for i, s, x, y in best_alignments(index, weights, t, enough, covered, score)]
+                rows = [(d, index.items[i][0], s, x, y) for d, t in zip(b.column(0).to_pylist(), index.numbers(b.column(1)), strict=True) for i, s, x, y in best_alignments(index, None, t, None, None, score)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "first_word", "last_word"])
 
         pairs = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, score double, first_word long, last_word long")
