@@ -194,6 +194,20 @@ def test_mix_places_every_row_once_and_holds_the_targets(spark):
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
+def test_a_long_phase_stays_within_a_block_of_the_exact_weights():
+    sizes = {"big": 10_000_000} | {f"s{i}": 263_158 + i for i in range(18)} | {"rare": 3}
+    weights = {s: n**0.5 for s, n in sizes.items()}
+    total = sum(weights.values())
+    per_source, cells = mixing.phases({s: -(-n // 64) if s != "rare" else 10**6 for s, n in sizes.items()}, weights)
+    assert sum(n for *_, n in per_source) == len(cells)
+    seen, slots = Counter(), sorted((slot, s) for phase, s, _, slot in cells if phase == 0)
+    assert len(slots) > 50_000 and [t for t, _ in slots] == list(range(len(slots)))
+    for t, s in slots:
+        seen[s] += 1
+        if t % 500 == 499 or t == len(slots) - 1:
+            assert all(abs(seen[x] - w / total * (t + 1)) < 1.1 for x, w in weights.items())
+
+
 def test_mix_edge_cases(spark):
     df = spark.createDataFrame([(1, "a", "x", 1), (1, "a", "x", 1), (None, "a", None, 2)], "doc_id long, source string, text string, mix int")
     assert mixing.mix(df).count() == 3

@@ -5,9 +5,10 @@ floor(i / w) and due at ceil((i + 1) / w), in slots of one block; the earliest d
 released blocks goes first (ties: the earlier release, then the source's name). So after any number
 of slots t a source has had less than one block more or less than w * t.
 
-Weights are rounded to shares of ``period`` slots, which makes the schedule periodic: one period is
-scheduled on the driver (``period`` steps whatever the input) and every block's slot follows by
-arithmetic in a join with that table. When a source runs out, the others go on with their weights
+Weights are rounded to shares of a period of whole slots. The period is chosen for each phase, FINE times as
+long as the phase for each of its sources at least, so the rounding comes to a small part of a block by the
+phase's end. As many slots as the phase has are scheduled on the driver (a step for each block of documents)
+and every row finds its block's slot in a join with that table. When a source runs out, the others go on with their weights
 scaled up to one: a new phase. No document is dropped or repeated; phase 0 is the part in which all
 target weights hold.
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, PERIOD, BUCKET_ROWS, MAX_SOURCES = 64, 10_000, 20_000, 500
+FINE, BROADCAST_ROWS = 16, 1_000_000
 NONE = "\u0000"
 
 
@@ -46,53 +48,52 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def pfair(slots: dict[str, int]) -> list[str]:
-    """The source of each slot of one period: earliest deadline first among the released blocks."""
+def schedule(slots: dict[str, int]):
+    """The source of each slot of one period, one after the other: earliest deadline first among the released blocks."""
     period = sum(slots.values())
     waiting = [(0, s, 0) for s in sorted(slots)]
     heapq.heapify(waiting)
     ready: list[tuple] = []
-    out = []
     for t in range(period):
         while waiting and waiting[0][0] <= t:
             release, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(i + 1) * period // slots[s]), release, s, i))
         _, _, s, i = heapq.heappop(ready)
-        out.append(s)
+        yield s
         if i + 1 < slots[s]:
             heapq.heappush(waiting, ((i + 1) * period // slots[s], s, i + 1))
-    return out
+
+
+def pfair(slots: dict[str, int]) -> list[str]:
+    """The whole period of schedule()."""
+    return list(schedule(slots))
 
 
 def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> tuple[list[tuple], list[tuple]]:
-    """Phases (phase, first slot, slots) and, for each phase and source, (phase, source, first block, slots of a period).
+    """(phase, source, first block, blocks) for each phase and source, and (phase, source, block of the phase, slot) for each block.
 
-    A phase ends with the slot in which a source's last block stands.
+    A phase ends with the slot in which a source's last block stands. Its period is a multiple of ``period``.
     """
     left = {s: n for s, n in blocks.items() if n > 0}
     done = dict.fromkeys(left, 0)
-    made, per_source, tables, first, number = [], [], [], 0, 0
+    per_source, tables, first, number = [], [], 0, 0
     while left:
         live = {s: weights.get(s, 0.0) for s in left if weights.get(s, 0.0) > 0} or dict.fromkeys(left, 1.0)
-        slots = shares(live, max(period, len(live)))
-        order = pfair(slots)
-        size = len(order)
-        place: dict[str, list[int]] = {s: [] for s in slots}
-        for t, s in enumerate(order):
-            place[s].append(t)
-        ends = {s: (left[s] - 1) // slots[s] * size + place[s][(left[s] - 1) % slots[s]] + 1 for s in slots}
-        length = min(ends.values())
-        made.append((number, first, length))
-        for s in slots:
-            whole, rest = divmod(length, size)
-            used = whole * slots[s] + sum(t < rest for t in place[s])
-            if used:
-                per_source.append((number, s, done[s], used, slots[s], size, first))
-                tables.extend((number, s, j, t) for j, t in enumerate(place[s][:used]))
-            done[s] += used
-            left[s] -= used
+        # each source's share is off by fewer slots of the period than there are sources
+        fine = FINE * len(live) * sum(left[s] for s in live)
+        used = dict.fromkeys(live, 0)
+        for t, s in enumerate(schedule(shares(live, period * -(-fine // period)))):
+            tables.append((number, s, used[s], first + t))
+            used[s] += 1
+            if used[s] == left[s]:
+                break
+        for s, n in used.items():
+            if n:
+                per_source.append((number, s, done[s], n))
+                done[s] += n
+                left[s] -= n
         left = {s: n for s, n in left.items() if n}
-        first += length
+        first += t + 1
         number += 1
     return per_source, tables
 
@@ -132,12 +133,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     numbered = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", "doc_id")) - 1)
     numbered = numbered.join(offsets, ["_s", "_b"]).withColumn("_i", F.col("_o") + F.col("_r"))
     numbered = numbered.withColumn("_block", F.floor(F.col("_i") / block).cast("long"))
-    # both tables have a bound: MAX_SOURCES ** 2 rows, and MAX_SOURCES * period at most
-    plan = spark.createDataFrame(per_source or [(0, NONE, 0, 0, 1, 1, 0)], "mix_phase int, _s string, _first long, _used long, _slots long, _size long, _at long")
-    cells = spark.createDataFrame(tables or [(0, NONE, 0, 0)], "mix_phase int, _s string, _j long, _t long")
+    # the first table has MAX_SOURCES ** 2 rows at most, the other one for each block
+    plan = spark.createDataFrame(per_source or [(0, NONE, 0, 0)], "mix_phase int, _s string, _first long, _used long")
+    cells = spark.createDataFrame(tables or [(0, NONE, 0, 0)], "mix_phase int, _s string, _k long, mix_slot long")
     placed = numbered.join(F.broadcast(plan), (numbered["_s"] == plan["_s"]) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_first") + F.col("_used"))).drop(plan["_s"])
-    placed = placed.withColumn("_k", F.col("_block") - F.col("_first")).withColumn("_j", F.col("_k") % F.col("_slots"))
-    placed = placed.join(F.broadcast(cells), ["mix_phase", "_s", "_j"])
-    slot = F.col("_at") + F.floor(F.col("_k") / F.col("_slots")).cast("long") * F.col("_size") + F.col("_t")
-    placed = placed.withColumn("mix_slot", slot)
+    placed = placed.withColumn("_k", F.col("_block") - F.col("_first"))
+    placed = placed.join(F.broadcast(cells) if len(tables) <= BROADCAST_ROWS else cells, ["mix_phase", "_s", "_k"])
     return placed.withColumn("mix_position", F.col("mix_slot") * block + F.col("_i") % block).select(*docs.columns, "mix_phase", "mix_slot", "mix_position")
