@@ -110,6 +110,27 @@ def test_lengths_differ_and_copies_tie(spark):
     assert [a for a, _ in got[60]] == [a for a, _ in want[60]]
 
 
+def test_a_repeated_id_takes_one_place_of_a_list_part(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(41, 6)) * 0.05 + np.array([1.0, 0, 0, 0, 0, 0])
+    x[1:3] *= 1.5  # the nearest of all
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(1, x[1].tolist())] * 50 + [(2, (x[2] * (1 - n / 1000)).tolist()) for n in range(50)]
+    stored = spark.createDataFrame([(0, i, v) for i, v in rows], "list int, vec_id long, v array<double>")
+    asked = spark.createDataFrame([(0, q, x[q].tolist(), float("-inf")) for q in (0, 1, 20)], "list int, vec_id long, v array<double>, bound double")
+    got = {}
+    for row in ann.ranked(ann.visit(stored, asked, spark.createDataFrame([(0, 1)], "list int, parts int"), 20), 20).orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append((row["vec_id"], row["score"]))
+    assert sorted(got) == [0, 1, 20]
+    for q, found in got.items():
+        score = {}
+        for i, v in rows:
+            if i != q:
+                score[i] = max(score.get(i, -np.inf), float((np.array(v) * x[q]).sum()))
+        want = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert [i for i, _ in found] == want and all(abs(s - score[i]) < 1e-9 for i, s in found)
+
+
 def test_ann_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 1.0], 1), (1, [1.0, 1.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [inf, 1.0], 1), (6, [None, 1.0], 1), (7, [1.0], 1), (None, [1.0, 1.0], 1), (8, [], 1)]

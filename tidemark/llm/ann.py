@@ -167,20 +167,38 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q[None]).sum(axis=1)
 
 
-def best_of(q: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, rough: np.ndarray, k: int) -> list[tuple[float, int]]:
-    """The k best of a block, by score and then id."""
+def by_id(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors in the order of their ids, repeated (id, vector) rows once, and where each id begins."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    again = np.flatnonzero(ids[1:] == ids[:-1])
+    if len(again):
+        seen, fresh = set(), np.ones(len(ids), bool)
+        for i in np.union1d(again, again + 1).tolist():
+            row = (int(ids[i]), (x[i] + 0.0).tobytes())
+            fresh[i] = row not in seen
+            seen.add(row)
+        ids, x = ids[fresh], x[fresh]
+    return ids, x, np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+
+
+def best_of(q: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, rough: np.ndarray, k: int, starts: np.ndarray) -> list[tuple[float, int]]:
+    """The k best ids of a block, each with its best score, by score and then id. Ids are in order; ``starts`` is where each begins."""
+    best = np.maximum.reduceat(rough, starts) if len(starts) < len(ids) else rough
+    best = best[ids[starts] != own]
     keep = ids != own
-    if keep.sum() > k:
-        least = np.partition(rough[keep], -k)[-k]
+    if len(best) > k:
+        least = np.partition(best, -k)[-k]
         keep &= rough >= least - SLACK * (1 + abs(least))
     at = np.flatnonzero(keep)
     s = exact(q, x[at])
     order = np.lexsort((ids[at], -s))
-    return [(float(s[i]), int(ids[at[i]])) for i in order[:k]]
+    _, first = np.unique(ids[at][order], return_index=True)
+    return [(float(s[i]), int(ids[at[i]])) for i in order[np.sort(first)[:k]]]
 
 
 def visit(stored: DataFrame, asked: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of the lists that are asked for: of each list part, what reaches the query's bound, the k best at most.
+    """(query_id, vec_id, score) of the lists that are asked for: of each list part, what reaches the query's bound, the k best ids at most.
 
     ``asked`` is (list, vec_id, v, bound). Lists meet their queries by (list, part).
     """
@@ -197,13 +215,14 @@ def visit(stored: DataFrame, asked: DataFrame, sizes: DataFrame, k: int) -> Data
         cand, cand_ids, qs, q_ids, low = x[~asks], ids[~asks], x[asks], ids[asks], bound[asks]
         out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(cand):
+            cand_ids, cand, starts = by_id(cand_ids, cand)
             for at in range(0, len(qs), 256):
                 q, own = qs[at : at + 256], q_ids[at : at + 256]
                 rough = q @ cand.T
                 hit = (rough >= (low[at : at + 256] - SLACK * (1 + np.abs(low[at : at + 256])))[:, None]) & (cand_ids[None] != own[:, None])
                 many = hit.sum(axis=1) > k
                 for i in np.flatnonzero(many).tolist():
-                    best = best_of(q[i], own[i], cand_ids, cand, rough[i], k)
+                    best = best_of(q[i], own[i], cand_ids, cand, rough[i], k, starts)
                     out.append((np.full(len(best), own[i]), np.array([b for _, b in best], np.int64), np.array([b for b, _ in best])))
                 hit[many] = False
                 r, c = np.nonzero(hit)
