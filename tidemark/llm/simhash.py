@@ -224,26 +224,31 @@ def candidates(distinct: DataFrame, similarity: float = SIMILARITY, hubs: int =
 
     Up to ``hubs`` + 1 nodes of a band all meet each other; in a larger group each meets ``hubs`` of them, others in each band.
     """
-    dealt = distinct.select("node", "n", F.explode("keys").alias("key")).select("key", F.xxhash64("key", "node").alias("o"), "node", "n")
+    dealt = distinct.select(F.explode("keys").alias("key"), "node", F.col("n").cast("int").alias("n"))
 
     def run(batches):
-        for _, _, node, n in grouped(batches, 4):
+        for _, node, n in grouped(batches, 3):
             for i in range(min(hubs, len(node) - 1)):
                 fit = np.minimum(n[i], n[i + 1 :]) >= similarity * np.maximum(n[i], n[i + 1 :]) - 1e-9
                 other = node[i + 1 :][fit]
                 if len(other):
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(other, node[i])), pa.array(np.minimum(other, node[i]))], names=["a", "b"])
 
-    return dealt.repartition("key").sortWithinPartitions("key", "o").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node")).mapInArrow(run, "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, size: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id of every row: texts whose shingle sets reach a Jaccard ``similarity`` are linked, by exact count."""
-    made = cut(shingled(docs, size))
+    """doc_id and component_id of every row: texts whose shingle sets reach a Jaccard ``similarity`` are linked, by exact count.
+
+    Shingles are made again for the few texts that are candidates instead of being kept for all. No doc_id may be null.
+    """
+    made = cut(shingled(docs, size).select("doc_id", "node", "n", "keys"))
     distinct = cut(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     pairs = cut(candidates(distinct, similarity))
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = cut(made.select("node", "n", "shingles").join(met, "node", "left_semi").dropDuplicates(["node"]))
+    met = cut(distinct.select("node", "least").join(met, "node"))
+    again = docs.select(F.col("doc_id").cast("long"), "text").join(met.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = cut(shingled(again, size).select("node", "n", "shingles").join(met, "node", "left_semi").dropDuplicates(["node"]))
     both = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     edges = both.filter(shared >= similarity * (F.col("na") + F.col("nb") - shared) - 1e-9).select("a", "b")
