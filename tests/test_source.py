@@ -139,7 +139,7 @@ def test_discovery_and_options(source, tmp_path):
         with pytest.raises(ValueError):
             log.Options(bad)
     with pytest.raises(codec.CodecError):
-        codec.check_segment(b"KLOG\0\0\0\0" + struct.pack(">H", 9) + bytes(58))
+        codec.check_segment(codec.SEGMENT_MAGIC + struct.pack(">H", 9) + bytes(58))
 
 
 def event_rows(spark, sf_dir):

@@ -80,6 +80,31 @@ SIZE = "36 + strlen(headers) + strlen(props)"
 STATE_COLUMNS = "topic, part, off, settled, inflight, deadline, enqueued, retries"
 SETTLED = A + ", ended AS (SELECT topic, part, off, seq, CASE WHEN event_type = 'Ack' THEN 'ack' WHEN event_type = 'DeadLetter' THEN 'dead_letter' WHEN spent THEN 'retries_exhausted' ELSE 'nack' END AS reason FROM marked WHERE ends AND seq = s) "
 
+#: Where a writer would put each record, one record after the other: rolls by whole batches of 16, an index entry each 2048 bytes.
+PLACED = f"""WITH RECURSIVE {MSGS}, r AS (
+  SELECT topic, part, off, {SIZE} AS size, sum({SIZE}) OVER (PARTITION BY topic, part, off // 16) AS together FROM msgs
+), walk AS (
+  SELECT topic, part, off, off AS segment_base, cast(68 AS BIGINT) AS file_pos, size, cast(68 AS BIGINT) AS mark, false AS indexed FROM r WHERE off = 0
+  UNION ALL
+  SELECT topic, part, off, segment_base, file_pos, size, CASE WHEN file_pos - mark >= 2048 THEN file_pos ELSE mark END, file_pos - mark >= 2048 FROM (
+    SELECT n.topic, n.part, n.off, n.size, CASE WHEN rolls THEN n.off ELSE segment_base END AS segment_base,
+      CASE WHEN rolls THEN 68 ELSE reached END AS file_pos, CASE WHEN rolls THEN 68 ELSE mark END AS mark FROM (
+      SELECT r.topic, r.part, r.off, r.size, w.segment_base, w.mark, w.file_pos + w.size AS reached,
+        r.off % 16 = 0 AND w.file_pos + w.size + r.together > 16384 AS rolls
+      FROM walk w JOIN r ON r.topic = w.topic AND r.part = w.part AND r.off = w.off + 1) n)
+), placed AS (SELECT topic, part, off, segment_base, cast(file_pos AS BIGINT) AS file_pos, indexed FROM walk) """
+#: The batch of each record: it leaves when it has 16 records or 1200 bytes, or when the next arrival comes an hour or more after its last.
+BATCHED = f"""WITH RECURSIVE {MSGS}, r AS (SELECT topic, part, off, ts_ms, {SIZE} AS size FROM msgs
+), walk AS (
+  SELECT topic, part, off, ts_ms, size, cast(0 AS BIGINT) AS batch, cast(1 AS BIGINT) AS held, cast(size AS BIGINT) AS bytes FROM r WHERE off = 0
+  UNION ALL
+  SELECT topic, part, off, ts_ms, size, CASE WHEN fresh THEN batch + 1 ELSE batch END, CASE WHEN fresh THEN 1 ELSE held + 1 END, CASE WHEN fresh THEN size ELSE bytes + size END FROM (
+    SELECT r.topic, r.part, r.off, r.ts_ms, r.size, w.batch, w.held, w.bytes, w.held >= 16 OR w.bytes >= 1200 OR r.ts_ms >= w.ts_ms + 3600000 AS fresh
+    FROM walk w JOIN r ON r.topic = w.topic AND r.part = w.part AND r.off = w.off + 1)
+), batches AS (
+  SELECT topic, part, batch, max(held) AS n, max(bytes) AS bytes, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM walk GROUP BY ALL
+) """
+
 ORACLE_SQL = {
     "queue_summary": A + """SELECT q.topic, q.part, coalesce(acked_until, 0) AS acked_until, coalesce(n_settled, 0) AS n_settled, coalesce(n_inflight, 0) AS n_inflight,
       coalesce(n_enqueued, 0) AS n_enqueued, min_deadline, applied_upto FROM (SELECT topic, part, max(seq) + 1 AS applied_upto FROM ev GROUP BY ALL) q
@@ -128,7 +153,13 @@ ORACLE_SQL = {
     "fetch_by_offset": M + "SELECT topic, part, off, ts_ms, cast(flags AS INTEGER) AS flags, props AS payload FROM msgs WHERE topic = 'view' AND part = 2 AND off = 7",
     "head_tail_watermarks": LOG + "SELECT topic, part, min(off) AS head, max(off) + 1 AS tail, max(off) AS durable, count(*) AS n_records FROM log GROUP BY ALL",
     "segment_list": SEGS + "SELECT * FROM segs",
-    "segment_floor_lookup": SEGS + "SELECT l.topic, l.part, l.off, base FROM log l ASOF LEFT JOIN segs s ON l.topic = s.topic AND l.part = s.part AND l.off >= s.base WHERE event_id % 7 = 0",
+    "segment_floor_lookup": SEGS + "SELECT l.topic, l.part, l.off, base FROM log l ASOF LEFT JOIN segs s ON l.topic = s.topic AND l.part = s.part AND l.off >= s.base",
+    "segment_assignment": PLACED + "SELECT * FROM placed",
+    "sparse_index_entries": PLACED + "SELECT topic, part, off, segment_base, file_pos FROM placed WHERE indexed",
+    "index_seek": PLACED + """SELECT p.topic, p.part, p.off, p.segment_base, coalesce(e.file_pos, 68) AS start_pos FROM placed p
+      ASOF LEFT JOIN (SELECT * FROM placed WHERE indexed) e ON p.topic = e.topic AND p.part = e.part AND p.segment_base = e.segment_base AND p.off >= e.off""",
+    "batch_flush_reasons": BATCHED + """SELECT topic, part, batch, CASE WHEN n >= 16 THEN 'MaxRecords' WHEN bytes >= 1200 THEN 'MaxBytes'
+      WHEN batch < max(batch) OVER (PARTITION BY topic, part) THEN 'Timeout' ELSE 'Shutdown' END AS flush_reason, n, bytes, first_ms, last_ms FROM batches""",
     "record_positions": LOG + f"SELECT topic, part, off, segment_base, {SIZE} AS size, cast(sum({SIZE}) OVER (PARTITION BY topic, part, segment_base ORDER BY off) - ({SIZE}) + 68 AS BIGINT) AS file_pos FROM log",
     "record_bytes_len": M + f"SELECT topic, part, cast(sum({SIZE}) AS BIGINT) AS bytes, count(*) AS records FROM msgs GROUP BY ALL",
     "retention_deletable_segments": CUT + "SELECT * FROM gone",
@@ -142,7 +173,7 @@ ORACLE_SQL = {
     "topic_error_class": NAMES + r"""SELECT name, CASE WHEN strlen(name) NOT BETWEEN 1 AND 128 THEN 'InvalidLength' WHEN starts_with(name, '.') OR ends_with(name, '.') THEN 'DotEdge'
       WHEN odd > 0 AND (dots = 0 OR odd < dots + 1) THEN 'InvalidChar' WHEN dots > 0 THEN 'DoubleDot' END AS error FROM (
       SELECT name, instr(name, '..') AS dots, CASE WHEN regexp_matches(name, '[^a-z0-9._-]') THEN length(regexp_extract(name, '^([a-z0-9._-]*)', 1)) + 1 ELSE 0 END AS odd FROM names)""",
-    "path_encode": "SELECT doc_id, replace(url_encode(substr(text, 1, 80) || '*~+/ %'), '~', '%7E') AS component FROM documents",
+    "path_encode": "SELECT doc_id, replace(url_encode(text || '*~+/ %'), '~', '%7E') AS component FROM documents",
     "segment_file_names": LOG + "SELECT DISTINCT topic, part, printf('%020d.log', segment_base) AS log_name, printf('%020d.idx', segment_base) AS idx_name, printf('%010d', part) AS part_dir FROM log",
     "durability_levels": M + "SELECT CASE WHEN event_id % 3 = 0 THEN 'AfterWrite' ELSE 'AfterFsync' END AS effective, count(*) AS n FROM msgs GROUP BY ALL",
     "codec_roundtrip": M + f"SELECT topic, part, off, ts_ms, cast(flags AS INTEGER) AS flags, md5(props) AS payload_md5, {SIZE} AS size FROM msgs",
