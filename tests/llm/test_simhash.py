@@ -2,6 +2,8 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -56,8 +58,8 @@ def test_links_are_exact_for_planted_neighbours(spark):
         fps += [fp, fp ^ (1 << r.randrange(64)), fp ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)), fp ^ 0b111 << r.randrange(60)]
     fps = sorted(set(fps))
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-    for parts in (2, 4, 8):
-        got = {x[0]: x[1] for x in simhash.components(simhash.links(df, 2, parts)).collect()}
+    for parts, cell_rows in ((2, 10**6), (4, 10**6), (8, 10**6), (4, 25), (2, 100)):
+        got = {x[0]: x[1] for x in simhash.components(simhash.links(df, 2, parts, cell_rows)).collect()}
         want = components([int(np.uint64(f).view(np.int64)) for f in fps], fps)
         same = {}
         for i, root in want.items():
@@ -71,6 +73,13 @@ def test_a_chain_of_components(spark):
     assert got == {i: 0 for i in range(1, 61)} | {101: 100}
 
 
+def test_an_unfinished_contraction_is_an_error(spark):
+    edges = spark.createDataFrame([(i * 7919 % 3000, (i + 1) * 7919 % 3000) for i in range(2999)], "a long, b long")
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        simhash.components(edges, rounds=2)
+    assert simhash.components(edges).select(F.countDistinct("root")).first()[0] == 1
+
+
 def test_edge_cases(spark):
     same = "one two three four five"
     rows = [(5, same, 1), (3, same, 2), (3, same, 2), (9, None, 3), (8, "", 4), (None, same, 5), (None, "quite another text altogether", 6)]
@@ -130,3 +139,39 @@ def test_keep_one_drops_edited_copies_and_no_others(spark):
 def test_keep_one_against_all_pairs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     assert {x[0] for x in simhash.keep_one(docs).collect()} == jaccard_roots({x[0]: x[1] for x in docs.collect()})
+
+
+def test_shingle_sets_match_the_plain_form():
+    texts = [None, "", " \t", "One", "a b c d", "a b c d e", "A B c D e", "x\ny  z é É w v u", "a b c d e f g a b c d e f g"]
+    sets = simhash.shingle_sets(pa.array(["cut off", *texts]).slice(1))
+    assert [len(x) for x in sets] == [0, 0, 0, 1, 1, 1, 1, 4, 7]
+    assert sets[5].tolist() == sets[6].tolist()
+    for s in sets:
+        if len(s):
+            (keys,) = simhash.band_keys([s])
+            assert keys.tolist() == simhash.band_keys([sets[3], s])[1].tolist() and len(set(keys.tolist())) == simhash.BANDS
+
+
+def test_small_pieces_find_the_same_copies(spark):
+    r = random.Random(12)
+    base = [f"w{r.randrange(3000)}" for _ in range(120)]
+    texts = {}
+    for i in range(90):  # some within reach of each other, some just out of it
+        copy = list(base)
+        for at in r.sample(range(120), 1 + i % 9):
+            copy[at] = f"e{i}"
+        texts[i] = " ".join(copy)
+    for i in range(90, 99):
+        texts[i] = " ".join([*base[:100], *(f"z{i}{k}" for k in range(20))]) if i % 2 else " ".join(f"q{i}{k}" for k in range(9))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = jaccard_roots(texts)
+    for options in ({}, {"piece": 7}):
+        assert {x[0] for x in simhash.keep_one(docs, **options).collect()} == want
+
+
+def test_keep_one_keeps_columns_of_any_name_and_kind(spark):
+    rows = [(1, "a b c d e f", 1, {"x": 1}), (2, "a b c d e f", 2, None), (2, "a b c d e f", 3, None), (7, "u v w x y z", 4, {}), (7, "u v w x y z", 4, {}), (None, "u v w x y z", 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _own int, node map<string,int>")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r[0], r[2]) for r in got.collect()), key=str) == [(1, 1), (7, 4), (None, 5)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 import numpy as np
@@ -9,26 +11,67 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, shared by driver and executors.
 
-    A folder of our own is set only where none is configured, as in local tests.
+    Where it is unset a temporary folder serves a local master; on a cluster that would be a folder of one
+    machine, so an error names the setting instead.
     """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    made = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    sc.setCheckpointDir(made)
+    return made
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of our own from the shared store."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder."""
     sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000, mb: int = 32) -> None:
-    """Limit an Arrow batch by rows and bytes, so that long texts don't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
+def free(columns, *names: str) -> list[str]:
+    """``names``, each lengthened until no column is called so: for columns that a step adds for its own use."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_hash(df: DataFrame, seed: str = "row") -> Column:
+    """A hash of all columns of a row; rows that are alike in all columns have the same."""
+    plain = lambda t: "map<" not in t and "variant" not in t
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") if plain(t) else F.to_json(F.struct(F.col(f"`{c}`"))) for c, t in df.dtypes])
+
+
+def slices(batches, rows: int = 2000, mb: int = 32):
+    """Arrow batches of at most ``rows`` rows and about ``mb`` MB each, so that long texts don't fill a worker."""
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * (mb << 20) // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -63,8 +106,10 @@ def labelled_sample(docs: DataFrame, label: str, per_class: int, max_chars: int,
 def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, per_class: int, max_chars: int, max_classes: int = 100) -> tuple[list[tuple], dict]:
     """Rows (text, label, lang) for fitting on the driver, and the number of labels of each class.
 
-    Ids are drawn by hash, about ``per_class`` of each of the ``max_classes`` most frequent classes, so
-    what is sent to all executors and collected has a bound. Equal rows count once.
+    Ids are drawn by hash, about ``per_class`` of each of the ``max_classes`` most frequent classes, and an id
+    gives one of its rows (the least by a hash of the text), so what is sent to all executors and collected has a
+    bound even if one id holds a third of all rows. Texts longer than ``max_chars`` and classes beyond
+    ``max_classes`` don't take part in fitting; the class sizes count all labels.
     """
     labels = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).alias("_label")).distinct()
     sizes = {r[0]: r[1] for r in labels.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(max_classes).collect()}
@@ -76,8 +121,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, per_class: i
     ids = labels.filter(uniform("doc_id") < share)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", "text", lang.alias("lang")).filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    rows = rows.join(F.broadcast(ids), "doc_id").select("text", "_label", "lang").distinct().collect()
-    return sorted(map(tuple, rows), key=lambda r: (r[0], r[1], str(r[2]))), sizes
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("r")
+    rows = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "_label").agg(one).select("r.text", "_label", "r.lang").collect()
+    return sorted(set(map(tuple, rows)), key=lambda r: (r[0], r[1], str(r[2]))), sizes
 
 
 class WordRows:
