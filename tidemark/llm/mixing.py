@@ -1,106 +1,79 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents are cut into blocks. With weight w a source's block i (from 0) is released at
-floor(i / w) and due at ceil((i + 1) / w), in slots of one block; the earliest deadline among the
-released blocks goes first (ties: the earlier release, then the source's name). So after any number
-of slots t a source has had less than one block more or less than w * t.
-
-Weights are rounded to shares of a period of whole slots. The period is chosen for each phase, FINE times as
-long as the phase for each of its sources at least, so the rounding comes to a small part of a block by the
-phase's end. As many slots as the phase has are scheduled on the driver (a step for each block of documents)
-and every row finds its block's slot in a join with that table. When a source runs out, the others go on with their weights
-scaled up to one: a new phase. No document is dropped or repeated; phase 0 is the part in which all
-target weights hold.
+Each source's documents are cut into blocks. With weight w (of a total of one) a source's block i (from 0) is
+released at floor(i / w) and due at ceil((i + 1) / w), in slots of one block; the earliest deadline among the
+released blocks goes first (ties: the earlier release, then the source's name). Releases and deadlines are
+worked out in whole numbers from the exact weights, so after any number t of slots, however large, a source has had
+less than one block more or less than w * t.
+
+The schedule has a slot for each block and is made on the driver. A block is ``block`` documents, or as many more as
+keep the slots at MAX_SLOTS, so the driver's work has a bound whatever the corpus; it reaches the executors as two
+numbers a slot. When a source runs out, the others go on with their weights scaled up to one: a new phase. No
+document is dropped or repeated; phase 0 is the part in which all target weights hold.
 
 Documents are ordered within a source by a hash. Their numbers come from counts of (source, bucket) and a
-row number within a bucket, so a source of any size is dealt to many tasks.
+row number within a bucket, so a source of any size is dealt to many tasks. The slots of a bucket's blocks
+are joined to it as one array, on the buckets by which the documents were dealt already: documents are shuffled once.
 
 Edge cases: a null source is a source of its own. A source without a target weight (or of weight zero)
-comes after all others, in phases of its own. Repeated rows are documents of their own. The last block
-of a source may be short. An empty table gives an empty result.
+comes after all others, in phases of its own. Repeated rows are documents of their own; rows alike in all columns lie in
+one bucket. The last block of a source may be short. An empty table gives an empty result. Columns of the input
+that are called mix_phase, mix_slot or mix_position are replaced; all others pass through, whatever they are called.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, PERIOD, BUCKET_ROWS, MAX_SOURCES = 64, 10_000, 20_000, 500
-FINE, BROADCAST_ROWS = 16, 1_000_000
+from tidemark.llm.base import free, row_hash
+
+BLOCK, BUCKET_ROWS, MAX_SLOTS, MAX_SOURCES = 64, 20_000, 1_000_000, 5000
 NONE = "\u0000"
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots of a period for each source, by largest remainders; each gets one at least."""
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights, which count at their full binary value."""
+    parts = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(p.denominator for p in parts.values()))
+    return {s: int(p * scale) for s, p in parts.items()}
+
+
+def schedule(weights: dict[str, int]):
+    """The source of each slot, without end: earliest deadline first among the released blocks."""
     total = sum(weights.values())
-    exact = {s: w / total * period for s, w in sorted(weights.items())}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (-(exact[s] - math.floor(exact[s])), s))
-    while (left := period - sum(out.values())) > 0:
-        for s in order[:left]:
-            out[s] += 1
-    while (over := sum(out.values()) - period) > 0:
-        for s in sorted(out, key=lambda s: (-out[s], s))[:over]:
-            out[s] -= out[s] > 1
-    return out
-
-
-def schedule(slots: dict[str, int]):
-    """The source of each slot of one period, one after the other: earliest deadline first among the released blocks."""
-    period = sum(slots.values())
-    waiting = [(0, s, 0) for s in sorted(slots)]
+    waiting = [(0, s, 0) for s in weights]
     heapq.heapify(waiting)
     ready: list[tuple] = []
-    for t in range(period):
+    for t in itertools.count():
         while waiting and waiting[0][0] <= t:
             release, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // slots[s]), release, s, i))
+            heapq.heappush(ready, (-(-(i + 1) * total // weights[s]), release, s, i))
         _, _, s, i = heapq.heappop(ready)
         yield s
-        if i + 1 < slots[s]:
-            heapq.heappush(waiting, ((i + 1) * period // slots[s], s, i + 1))
-
-
-def pfair(slots: dict[str, int]) -> list[str]:
-    """The whole period of schedule()."""
-    return list(schedule(slots))
-
+        heapq.heappush(waiting, ((i + 1) * total // weights[s], s, i + 1))
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> tuple[list[tuple], list[tuple]]:
-    """(phase, source, first block, blocks) for each phase and source, and (phase, source, block of the phase, slot) for each block.
 
-    A phase ends with the slot in which a source's last block stands. Its period is a multiple of ``period``.
-    """
+def phases(blocks: dict[str, int], weights: dict[str, float]):
+    """(phase, source) of each slot, until every source's blocks are placed. A phase ends with the slot in which a source's last block stands."""
     left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    per_source, tables, first, number = [], [], 0, 0
+    number = 0
     while left:
-        live = {s: weights.get(s, 0.0) for s in left if weights.get(s, 0.0) > 0} or dict.fromkeys(left, 1.0)
-        # each source's share is off by fewer slots of the period than there are sources
-        fine = FINE * len(live) * sum(left[s] for s in live)
-        used = dict.fromkeys(live, 0)
-        for t, s in enumerate(schedule(shares(live, period * -(-fine // period)))):
-            tables.append((number, s, used[s], first + t))
-            used[s] += 1
-            if used[s] == left[s]:
+        live = exact({s: weights.get(s, 0.0) for s in left if weights.get(s, 0.0) > 0} or dict.fromkeys(left, 1.0))
+        for s in schedule(live):
+            yield number, s
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
                 break
-        for s, n in used.items():
-            if n:
-                per_source.append((number, s, done[s], n))
-                done[s] += n
-                left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-        first += t + 1
         number += 1
-    return per_source, tables
-
-
-def target_weights(docs: DataFrame, temperature: float = 0.5) -> dict[str, float]:
-    """Weights in proportion to a source's documents to the power ``temperature``, counted over all rows."""
-    return {s: n**temperature for s, n in source_sizes(docs).items()}
 
 
 def source_sizes(docs: DataFrame, source: str = "source") -> dict[str, int]:
@@ -108,35 +81,56 @@ def source_sizes(docs: DataFrame, source: str = "source") -> dict[str, int]:
     rows = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit(NONE)).alias("s")).count().limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; give the column of a coarser grouping")
-    return {r[0]: r[1] for r in rows}
+    return {r[0]: r[1] for r in sorted(rows)}
+
+
+def slot_table(spark, blocks: dict[str, int], weights: dict[str, float]) -> DataFrame:
+    """(s, block, phase, slot) of every block of every source."""
+    names = sorted(blocks)
+    number = {s: i for i, s in enumerate(names)}
+    n = sum(blocks.values())
+    made = np.fromiter((x for phase, s in phases(blocks, weights) for x in (phase, number[s])), np.int32, 2 * n).reshape(-1, 2)
+    # the how-many-eth slot of its source each one is
+    order = np.argsort(made[:, 1], kind="stable")
+    starts = np.searchsorted(made[order, 1], np.arange(len(names)))
+    own = np.empty(n, np.int32)
+    own[order] = np.arange(n) - starts[made[order, 1]]
+    shared = spark.sparkContext.broadcast((names, np.ascontiguousarray(made[:, 0]), np.ascontiguousarray(made[:, 1]), own))
+
+    def run(batches):
+        names, phase, source, block = shared.value
+        texts = pa.array(names, pa.string())
+        for b in batches:
+            at = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([texts.take(pa.array(source[at])), pa.array(block[at].astype(np.int64)), pa.array(phase[at]), b.column(0)], names=["s", "block", "phase", "slot"])
+
+    return spark.range(n, numPartitions=max(1, min(64, n // 50_000))).mapInArrow(run, "s string, block long, phase int, slot long")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", block: int = BLOCK, max_slots: int = MAX_SLOTS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All rows of ``docs`` with mix_phase, mix_slot (the block's place) and mix_position (the row's place).
 
     Order by mix_position to read the mixture. ``weights`` maps sources to target weights; without it they
-    follow target_weights().
+    are the square roots of the sources' documents, counted over all rows.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*({"mix_phase", "mix_slot", "mix_position"} - {source}))
     sizes = source_sizes(docs, source)
     weights = {s: n**0.5 for s, n in sizes.items()} if weights is None else weights
-    per_source, tables = phases({s: -(-n // block) for s, n in sizes.items()}, weights, period)
     total = sum(sizes.values())
-    # numbers within a source: an offset for each (source, bucket), and a row number within it
-    buckets = max(64, total // BUCKET_ROWS)
-    rest = sorted(c for c in docs.columns if c not in ("doc_id", source))
-    keyed = docs.withColumn("_s", F.coalesce(F.col(source).cast("string"), F.lit(NONE))).withColumn("_h", F.xxhash64(F.lit("mix"), "doc_id", *(["text"] if "text" in rest else [])))
-    keyed = keyed.withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    counts = keyed.groupBy("_s", "_b").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_s", "_b", before.alias("_o"))
-    numbered = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", "doc_id")) - 1)
-    numbered = numbered.join(offsets, ["_s", "_b"]).withColumn("_i", F.col("_o") + F.col("_r"))
-    numbered = numbered.withColumn("_block", F.floor(F.col("_i") / block).cast("long"))
-    # the first table has MAX_SOURCES ** 2 rows at most, the other one for each block
-    plan = spark.createDataFrame(per_source or [(0, NONE, 0, 0)], "mix_phase int, _s string, _first long, _used long")
-    cells = spark.createDataFrame(tables or [(0, NONE, 0, 0)], "mix_phase int, _s string, _k long, mix_slot long")
-    placed = numbered.join(F.broadcast(plan), (numbered["_s"] == plan["_s"]) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_first") + F.col("_used"))).drop(plan["_s"])
-    placed = placed.withColumn("_k", F.col("_block") - F.col("_first"))
-    placed = placed.join(F.broadcast(cells) if len(tables) <= BROADCAST_ROWS else cells, ["mix_phase", "_s", "_k"])
-    return placed.withColumn("mix_position", F.col("mix_slot") * block + F.col("_i") % block).select(*docs.columns, "mix_phase", "mix_slot", "mix_position")
+    block = max(block, -(-total // max_slots))
+    slots = slot_table(spark, {s: -(-n // block) for s, n in sizes.items()}, weights)
+    buckets = max(64, total // bucket_rows)
+    s, b, h, r, o, at, found = free(docs.columns, "_s", "_b", "_h", "_r", "_o", "_at", "_found")
+    keyed = docs.withColumn(s, F.coalesce(F.col(source).cast("string"), F.lit(NONE))).withColumn(h, row_hash(docs, "mix")).withColumn(b, F.pmod(h, F.lit(buckets)))
+    counts = keyed.groupBy(s, b).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(s).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = counts.select(F.col(s).alias("s"), b, "n", before.alias(o))
+    spans = spans.select("s", b, o, F.explode(F.sequence(F.floor(F.col(o) / block), F.floor((F.col(o) + F.col("n") - 1) / block))).alias("block"))
+    placed = spans.join(slots, ["s", "block"]).groupBy("s", b, o).agg(F.array_sort(F.collect_list(F.struct("block", "slot", "phase"))).alias(at)).withColumnRenamed("s", s)
+    numbered = keyed.withColumn(r, F.row_number().over(Window.partitionBy(s, b).orderBy(h)) - 1).join(placed, [s, b])
+    number = F.col(o) + F.col(r)
+    mine = F.element_at(at, (F.floor(number / block) - F.floor(F.col(o) / block) + 1).cast("int"))
+    done = numbered.withColumn(found, mine)
+    position = F.col(found)["slot"] * block + number % block
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(found)["phase"].alias("mix_phase"), F.col(found)["slot"].alias("mix_slot"), position.alias("mix_position"))
