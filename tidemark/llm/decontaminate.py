@@ -8,12 +8,16 @@ alignment can have: a necessary condition, whatever else occurs in the corpus, s
 is missed. The words around a candidate are aligned with the item by Smith-Waterman with affine-free gaps.
 The documents are read once: no text is shuffled.
 
+An item of fewer than LEAST words, down to SHORTEST, has no room for such a condition: it counts where all its
+words stand side by side in the text.
+
 The item index is sent to all executors; its size is checked against ``max_words`` first, and a larger
-benchmark is worked off in parts, each of them below that bound.
+benchmark is worked off in parts, each of them below that bound and one pass over the documents. A stretch of text whose seeds occur in
+so many items that they would fill the memory is halved until they don't.
 
-Edge cases: null and empty texts and items match nothing; an item of fewer words than ``least`` carries no
-evidence and is not searched for. Repeated documents and items each get their rows. An empty benchmark
-or corpus gives no rows. Text of any length is worked off in overlapping blocks.
+Edge cases: null and empty texts and items match nothing; an item of fewer words than ``shortest`` carries no
+evidence (its words stand in most texts by chance) and is not searched for. Repeated documents and items each get
+their rows. An empty benchmark or corpus gives no rows. Text of any length is worked off in overlapping blocks.
 """
 
 from __future__ import annotations
@@ -24,25 +28,37 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import bound_batches
+from tidemark.llm.base import slices
 from tidemark.llm.words import LETTERS_DIGITS, split_words
 
-N, LEAST, SCORE, RAW = 2, 8, 0.4, 6.0
+N, LEAST, SHORTEST, SCORE, RAW = 2, 8, 3, 0.4, 6.0
 MATCH, MISMATCH, GAP = 1.0, -1.0, -1.0
 MAX_WORDS = 2_000_000
-BLOCK = 200_000
+BLOCK, EXPANDED = 200_000, 2_000_000  # words of a text, and occurrences of its seeds in items, held at a time
 
 
 class ItemIndex:
     """Words of the items by number, and where each n-gram occurs in which item."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int = N, least: int = LEAST):
+    def __init__(self, items: list[tuple[int, str]], n: int = N, least: int = LEAST, shortest: int = SHORTEST):
         texts = split_words(pa.array([t for _, t in items], pa.string()), LETTERS_DIGITS).to_pylist()
         found = [(i, ws or []) for (i, _), ws in zip(items, texts, strict=True)]
+        found = [(i, [w for w in ws if w]) for i, ws in found]
         self.items = [(i, w) for i, w in found if len(w) >= least]
+        whole = [(i, w) for i, w in found if shortest <= len(w) < least]
+        first = len(self.items)
+        self.items += whole
         self.number = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}))}
         self.n, self.base = n, len(self.number) + 1
-        self.texts = [np.array([self.number[w] for w in ws]) for _, ws in self.items]
+        if self.base**n >= 1 << 63:
+            raise ValueError(f"runs of {n} of {self.base} words have no 63-bit numbers; give a smaller max_words")
+        texts = [np.array([self.number[w] for w in ws], np.int64) for _, ws in self.items]
+        self.texts, self.all_texts = texts[:first], texts
+        #: items that count as a whole only, by their first word
+        self.whole: dict[int, list[int]] = {}
+        for i in range(first, len(texts)):
+            self.whole.setdefault(int(texts[i][0]), []).append(i)
+        self.openings = np.array(sorted(self.whole), np.int64)
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         keys = [self.keys(t) for t in self.texts]
         self.seeds, place = np.unique(np.concatenate(keys) if keys else np.zeros(0, object), return_inverse=True)
@@ -79,6 +95,22 @@ class ItemIndex:
         same = self.seeds[seed] == keys[at]
         return at[same], seed[same]
 
+    def exact(self, numbers: np.ndarray) -> list[tuple]:
+        """(item, 1.0, first word, last word) of the first place of each short item that stands in the text as a whole."""
+        out = []
+        if not len(self.openings):
+            return out
+        at = np.flatnonzero(np.isin(numbers, self.openings))
+        for w in np.unique(numbers[at]).tolist():
+            here = at[numbers[at] == w]
+            for i in self.whole[w]:
+                item, left = self.all_texts[i], here[here <= len(numbers) - len(self.all_texts[i])]
+                for k in range(1, len(item)):
+                    left = left[numbers[left + k] == item[k]]
+                if len(left):
+                    out.append((i, 1.0, int(left[0]), int(left[0]) + len(item) - 1))
+        return out
+
     def numbers(self, texts: pa.Array) -> list[np.ndarray]:
         """The item number of each word of each text, or 0."""
         split = split_words(texts, LETTERS_DIGITS)
@@ -142,27 +174,33 @@ def candidates(index: ItemIndex, numbers: np.ndarray, needs: np.ndarray):
         yield int(item[begin[part[0]]]), max(0, int(low[part[0]])), int(high[part[-1]])
 
 
-def blocks(numbers: np.ndarray, reach: int):
-    """Overlapping blocks of a text: (offset, numbers)."""
-    for b in range(0, max(1, len(numbers) - reach), BLOCK):
-        yield b, numbers[b : b + BLOCK + reach]
-
+def blocks(index: ItemIndex, numbers: np.ndarray, reach: int, at: int = 0):
+    """Overlapping blocks of a text: (offset, numbers). A block whose seeds occur more than EXPANDED times in items is halved."""
+    if len(numbers) > BLOCK + reach:
+        for b in range(0, len(numbers) - reach, BLOCK):
+            yield from blocks(index, numbers[b : b + BLOCK + reach], reach, at + b)
+        return
+    _, seed = index.hits(numbers)
+    if len(numbers) > 4 * reach and len(seed) and int((index.bounds[seed + 1] - index.bounds[seed]).sum()) > EXPANDED:
+        half = (len(numbers) - reach) // 2
+        yield from blocks(index, numbers[: half + reach], reach, at)
+        yield from blocks(index, numbers[half:], reach, at + half)
+        return
+    yield at, numbers
 
-def best_alignments(index: ItemIndex, weights: np.ndarray | None, numbers: np.ndarray, enough: float | None, covered: float | None, least: float) -> list[tuple]:
-    """(item, score, first word, last word) of the best alignment with each item that reaches ``least``.
 
-    ``weights``, ``enough`` and ``covered`` belonged to the seeds' rarity and no longer take part.
-    """
-    needs = index.needs(least)
+def best_alignments(index: ItemIndex, numbers: np.ndarray, score: float = SCORE) -> list[tuple]:
+    """(item, score, first word, last word) of the best alignment with each item that reaches ``score``."""
+    needs = index.needs(score)
     best: dict[int, tuple] = {}
     reach = 4 * max(map(len, index.texts), default=0) + 64
-    for offset, part in blocks(numbers, reach):
+    for offset, part in blocks(index, numbers, reach) if len(index.texts) else ():
         for i, a, b in candidates(index, part, needs):
             raw, s, e = align(index.texts[i], part[a:b], needs[i])
-            score = raw / (MATCH * len(index.texts[i]))
-            if raw >= needs[i] and score > best.get(i, (0, 0.0))[1]:
-                best[i] = (i, score, offset + a + s, offset + a + e)
-    return sorted(best.values())
+            got = raw / (MATCH * len(index.texts[i]))
+            if raw >= needs[i] and got > best.get(i, (0, 0.0))[1]:
+                best[i] = (i, got, offset + a + s, offset + a + e)
+    return sorted([*best.values(), *index.exact(numbers)])
 
 
 def item_parts(benchmark: DataFrame, max_words: int = MAX_WORDS):
@@ -179,35 +217,50 @@ def item_parts(benchmark: DataFrame, max_words: int = MAX_WORDS):
         yield part
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, score: float = SCORE, max_words: int = MAX_WORDS) -> DataFrame:
+def indexes(benchmark: DataFrame, least: int, shortest: int, max_words: int):
+    """A broadcast index of each part of the benchmark that has items to search for."""
+    sc = benchmark.sparkSession.sparkContext
+    for items in item_parts(benchmark, max_words):
+        index = ItemIndex(items, least=least, shortest=shortest)
+        if index.items:
+            yield sc.broadcast(index)
+
+
+KINDS = {"doc_id": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "first_word": pa.int64(), "last_word": pa.int64()}
+SCHEMA = "doc_id long, item_id long, score double, first_word long, last_word long"
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, score: float = SCORE, max_words: int = MAX_WORDS, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, item_id, score (share of the item's best score), first_word, last_word of each aligned pair.
 
     A row with a null doc_id has its pairs with a null doc_id.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
     found = None
-    for items in item_parts(benchmark, max_words):
-        index = ItemIndex(items, least=least)
-        if not index.items:
-            continue
-        shared = spark.sparkContext.broadcast(index)
+    for shared in indexes(benchmark, least, shortest, max_words):
 
         def run(batches, shared=shared):
             index = shared.value
-            for b in batches:
-                rows = [(d, index.items[i][0], s, x, y) for d, t in zip(b.column(0).to_pylist(), index.numbers(b.column(1)), strict=True) for i, s, x, y in best_alignments(index, None, t, None, None, score)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "first_word", "last_word"])
+            for b in slices(batches):
+                rows = [(d, index.items[i][0], s, x, y) for d, t in zip(b.column(0).to_pylist(), index.numbers(b.column(1)), strict=True) for i, s, x, y in best_alignments(index, t, score)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(KINDS.values())], names=list(KINDS))
 
-        pairs = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, score double, first_word long, last_word long")
+        pairs = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
         found = pairs if found is None else found.union(pairs)
-    return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, last_word long") if found is None else found
+    return docs.sparkSession.createDataFrame([], SCHEMA) if found is None else found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no test item. A null doc_id stays."""
-    bad = contaminated(docs.filter("doc_id is not null"), benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, score: float = SCORE, max_words: int = MAX_WORDS, shortest: int = SHORTEST) -> DataFrame:
+    """The rows whose text holds no test item, with all their columns, in one pass and without a shuffle. Each row is judged by its own text."""
+    at = docs.columns.index("text")
+    for shared in indexes(benchmark, least, shortest, max_words):
+
+        def run(batches, shared=shared):
+            index = shared.value
+            for b in slices(batches):
+                yield b.filter(pa.array([not best_alignments(index, t, score) for t in index.numbers(b.column(at))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
-__all__ = ["ItemIndex", "align", "clean", "contaminated"]
+__all__ = ["ItemIndex", "align", "best_alignments", "clean", "contaminated"]
