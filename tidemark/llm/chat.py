@@ -1,17 +1,20 @@
 """Chat formatting by schema fingerprints, with DataFrame functions only.
 
-The nested field paths of a record, sorted and hashed, are its fingerprint. Each known fingerprint has a
-declarative mapping (SQL expressions) to canonical turns: an array of (role, text). JSON records of mixed
-layouts are fingerprinted row by row; tables of turn rows by their schema.
+The nested field paths of a record, of any depth and with the kinds of their leaves, sorted and hashed, are its
+fingerprint. A declarative mapping (SQL expressions) to canonical turns, an array of (role, text), is selected by
+the paths that it needs: the mapping with the most of them, if the record has them all; other fields may stand beside them.
+JSON records of mixed layouts are read as variants and fingerprinted row by row; tables of turn rows by their schema.
 
 Canonical turns are written as ``<|im_start|>role LF text <|im_end|> LF``. Inside roles and texts a backslash
 becomes ``\\s``, ``<|`` becomes ``\\m`` and, in roles, a line feed becomes ``\\n``; so no text can form a mark and
-unescaping gives back the text exactly. loss_spans are the (begin, end) code points of the assistant texts.
+unescaping gives back the text exactly. loss_spans are the (begin, end) code points of the assistant texts. Places are
+summed up in blocks, and read back in one sorted pass, so long conversations cost little more than their length.
 
 Edge cases: null roles and texts are empty; an empty or null array of turns is an empty output with no
-spans; a null conversation id is a conversation of its own; turns that tie are ordered by role, then
+spans; rows with a null conversation id are one conversation; turns that tie are ordered by role, then
 text; repeated rows are turns of their own; a null turn number comes first. A JSON record that can't be
-parsed, or whose fingerprint is unknown, has layout ``unknown`` and null turns.
+parsed (or names a field twice), or that no mapping fits, has layout ``unknown`` and null turns. Extra columns pass through;
+those called like an output are replaced.
 """
 
 from __future__ import annotations
@@ -23,13 +26,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.base import free
+
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
+BLOCK = 256
 
 
 @dataclass(frozen=True)
 class Layout:
-    """A record layout: its field paths, the schema to read it with, and SQL for its turns from column r."""
+    """A record layout: the paths it needs, the schema to read it with, and SQL for its turns from r.
+
+    A path ends in its leaf's kind unless that is text or null: ``a.b:NUMBER``, ``a[]:EMPTY`` (no elements), ``a[].b:VARIANT`` (mixed).
+    """
 
     name: str
     paths: tuple[str, ...]
@@ -48,26 +57,30 @@ def optional(role: str, text: str) -> str:
 
 def listed(field: str, role: str, text: str, names: str = "") -> str:
     who = f"case m.{role} {names} else m.{role} end" if names else f"m.{role}"
-    return f"transform(r.{field}, m -> named_struct('role', {who}, 'text', m.{text}))"
+    return f"transform(r.{field}, m -> named_struct('role', {who}, 'text', {text}))"
 
 
 NAMES = "when 'human' then 'user' when 'gpt' then 'assistant' when 'bot' then 'assistant'"
-PLAIN = (turn("user", "r.prompt"), turn("assistant", "r.response"), turn("assistant", "r.completion"))
+USER, ANSWER = turn("user", "r.prompt"), turn("assistant", "r.response")
+#: a message's content: a text, or the texts of its parts one after the other
+PARTS = "coalesce(array_join(transform(try_variant_get(m.content, '$', 'array<struct<text:string>>'), p -> p.text), ''), try_variant_get(m.content, '$', 'string'))"
+MESSAGES, MIXED = "messages:array<struct<role:string,content:string>>", "messages:array<struct<role:string,content:variant>>"
+ASKED = "concat(coalesce(r.instruction, ''), if(coalesce(r.input, '') = '', '', concat('\\n\\n', r.input)))"
 LAYOUTS = (
-    Layout("messages", ("messages[].content", "messages[].role"), "struct<messages:array<struct<role:string,content:string>>>", listed("messages", "role", "content")),
-    Layout("messages_text", ("messages[].role", "messages[].text"), "struct<messages:array<struct<role:string,text:string>>>", listed("messages", "role", "text")),
-    Layout("conversations", ("conversations[].from", "conversations[].value"), "struct<conversations:array<struct<`from`:string,value:string>>>", listed("conversations", "`from`", "value", NAMES)),
-    Layout("system_messages", ("messages[].content", "messages[].role", "system"), "struct<system:string,messages:array<struct<role:string,content:string>>>", f"concat({optional('system', 'r.system')}, {listed('messages', 'role', 'content')})"),
-    Layout("prompt_response", ("prompt", "response"), "struct<prompt:string,response:string>", f"array({PLAIN[0]}, {PLAIN[1]})"),
-    Layout("prompt_completion", ("completion", "prompt"), "struct<prompt:string,completion:string>", f"array({PLAIN[0]}, {PLAIN[2]})"),
-    Layout("system_prompt_response", ("prompt", "response", "system"), "struct<system:string,prompt:string,response:string>", f"concat({optional('system', 'r.system')}, array({PLAIN[0]}, {PLAIN[1]}))"),
+    Layout("messages", ("messages[].content", "messages[].role"), f"struct<{MESSAGES}>", listed("messages", "role", "m.content")),
+    Layout("messages_parts", ("messages[].content[].text", "messages[].role"), f"struct<{MIXED}>", listed("messages", "role", PARTS)),
+    Layout("messages_mixed", ("messages[].content:VARIANT", "messages[].role"), f"struct<{MIXED}>", listed("messages", "role", PARTS)),
+    Layout("messages_text", ("messages[].role", "messages[].text"), "struct<messages:array<struct<role:string,text:string>>>", listed("messages", "role", "m.text")),
+    Layout("messages_empty", ("messages[]:EMPTY",), "struct<messages:array<string>>", f"cast(array() as {TURNS})"),
+    Layout("turns", ("turns[].role", "turns[].text"), "struct<turns:array<struct<role:string,text:string>>>", listed("turns", "role", "m.text")),
+    Layout("conversations", ("conversations[].from", "conversations[].value"), "struct<conversations:array<struct<`from`:string,value:string>>>", listed("conversations", "`from`", "m.value", NAMES)),
+    Layout("conversations_empty", ("conversations[]:EMPTY",), "struct<conversations:array<string>>", f"cast(array() as {TURNS})"),
+    Layout("system_messages", ("messages[].content", "messages[].role", "system"), f"struct<system:string,{MESSAGES}>", f"concat({optional('system', 'r.system')}, {listed('messages', 'role', 'm.content')})"),
+    Layout("prompt_response", ("prompt", "response"), "struct<prompt:string,response:string>", f"array({USER}, {ANSWER})"),
+    Layout("prompt_completion", ("completion", "prompt"), "struct<prompt:string,completion:string>", f"array({USER}, {turn('assistant', 'r.completion')})"),
+    Layout("system_prompt_response", ("prompt", "response", "system"), "struct<system:string,prompt:string,response:string>", f"concat({optional('system', 'r.system')}, array({USER}, {ANSWER}))"),
     Layout("instruction_output", ("instruction", "output"), "struct<instruction:string,output:string>", f"array({turn('user', 'r.instruction')}, {turn('assistant', 'r.output')})"),
-    Layout(
-        "instruction_input_output",
-        ("input", "instruction", "output"),
-        "struct<instruction:string,input:string,output:string>",
-        "array(" + turn("user", "concat(coalesce(r.instruction, ''), if(coalesce(r.input, '') = '', '', concat('\\n\\n', r.input)))") + f", {turn('assistant', 'r.output')})",
-    ),
+    Layout("instruction_input_output", ("input", "instruction", "output"), "struct<instruction:string,input:string,output:string>", f"array({turn('user', ASKED)}, {turn('assistant', 'r.output')})"),
     Layout("question_answer", ("answer", "question"), "struct<question:string,answer:string>", f"array({turn('user', 'r.question')}, {turn('assistant', 'r.answer')})"),
 )
 
@@ -86,23 +99,42 @@ def fingerprint(paths: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"), 256)
 
 
-def record_paths(record: Column) -> Column:
-    """The field paths of a JSON text, two levels deep: those of objects inside arrays are named by their union."""
-    kinds = F.from_json(record, "map<string,string>")
-    inner = lambda k, v: F.array_distinct(F.flatten(F.transform(F.from_json(v, "array<map<string,string>>"), F.map_keys)))
-    paths = lambda e: F.when(F.trim(e["value"]).startswith("[{"), F.transform(inner(e["key"], e["value"]), lambda x: F.concat(e["key"], F.lit("[]."), x))).otherwise(F.array(e["key"]))
-    return F.flatten(F.transform(F.map_entries(kinds), paths))
+#: What the schema of a variant is made of: a field's name, the beginning or end of an object or array, a kind.
+TOKENS = r"(?:`(?:[^`]|``)*`|[^<>,:`\s]+):(?= )|OBJECT<|ARRAY<|>|[A-Z_]+(?:\([^)]*\))?"
+NUMBERS = r"^(BIGINT|INT|SMALLINT|TINYINT|FLOAT|DOUBLE|DECIMAL.*)$"
+
+
+def variant_paths(schema: Column) -> Column:
+    """The leaves of a variant's schema (as schema_of_variant gives it), whatever its depth."""
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit("").alias("at"), F.array().cast("array<string>").alias("paths"))
+
+    def step(acc: Column, t: Column) -> Column:
+        above = F.coalesce(F.element_at(acc["stack"], -1), F.lit(""))
+        named, array, opens, ends = t.endswith(":"), t == "ARRAY<", t.endswith("<"), t == ">"
+        inside = F.concat(acc["at"], F.lit("[]"))
+        at = F.when(named, F.concat_ws(".", F.nullif(above, F.lit("")), F.rtrim(t, F.lit(":")))).when(array, inside).otherwise(acc["at"])
+        stack = F.when(opens, F.concat(acc["stack"], F.array(at))).when(ends, F.slice(acc["stack"], 1, F.size(acc["stack"]) - 1)).otherwise(acc["stack"])
+        kind = F.when(t == "STRING", "").when(t == "VOID", F.when(acc["at"].endswith("[]"), ":EMPTY").otherwise("")).when(t.rlike(NUMBERS), ":NUMBER").otherwise(F.concat(F.lit(":"), t))
+        leaf = ~named & ~opens & ~ends
+        return F.struct(stack.alias("stack"), at.alias("at"), F.when(leaf, F.concat(acc["paths"], F.array(F.concat(acc["at"], kind)))).otherwise(acc["paths"]).alias("paths"))
+
+    return F.aggregate(F.regexp_extract_all(schema, F.lit(TOKENS), F.lit(0)), start, step)["paths"]
 
 
 def from_records(df: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """``df`` with fingerprint, layout and turns of the JSON texts in ``record``."""
-    found = df.withColumn("fingerprint", fingerprint(record_paths(F.col(record))))
-    name, turns = F.lit("unknown"), F.lit(None).cast(TURNS)
+    df = df.drop(*({"fingerprint", "layout", "turns"} - {record}))
+    v, p = free([*df.columns, "fingerprint", "layout", "turns"], "_variant", "_paths")
+    found = df.withColumn(v, F.try_parse_json(F.col(f"`{record}`"))).withColumn(p, variant_paths(F.schema_of_variant(v)))
+    name = F.lit("unknown")
+    for x in sorted(layouts[::-1], key=lambda x: len(x.paths)):  # the last one that fits is the outermost condition
+        name = F.when(F.size(F.array_except(F.array(*map(F.lit, x.paths)), p)) == 0, F.lit(x.name)).otherwise(name)
+    found = found.withColumn("fingerprint", fingerprint(F.col(p))).withColumn("layout", F.when(F.col(p).isNull(), F.lit("unknown")).otherwise(name))
+    turns = F.lit(None).cast(TURNS)
     for x in layouts:
-        own = F.col("fingerprint") == fingerprint(F.array(*map(F.lit, x.paths)))
-        read = F.expr(f"element_at(transform(array(from_json(`{record}`, '{x.schema}')), r -> cast({x.turns} as {TURNS})), 1)")
-        name, turns = F.when(own, F.lit(x.name)).otherwise(name), F.when(own, read).otherwise(turns)
-    return found.withColumn("layout", name).withColumn("turns", turns)
+        read = F.expr(f"element_at(transform(array(try_variant_get({v}, '$', '{x.schema}')), r -> cast({x.turns} as {TURNS})), 1)")
+        turns = F.when(F.col("layout") == x.name, read).otherwise(turns)
+    return found.withColumn("turns", turns).drop(v, p)
 
 
 def from_turn_rows(df: DataFrame, conv: str = "conv_id", number: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -120,21 +152,34 @@ def unescape(x: Column) -> Column:
     return F.replace(F.replace(x, F.lit("\\m"), F.lit("<|")), F.lit("\\s"), F.lit("\\"))
 
 
+def prefix_sums(sizes: Column) -> Column:
+    """For each element the sum of those before it. Sums are gathered in blocks, so that no long array is copied for each element."""
+    longs = "array<bigint>"
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast(longs).alias("block"), F.array().cast(f"array<{longs}>").alias("blocks"))
+
+    def step(acc: Column, x: Column) -> Column:
+        full, own = F.size(acc["block"]) >= BLOCK, F.array(acc["total"])
+        block = F.when(full, own).otherwise(F.concat(acc["block"], own))
+        blocks = F.when(full, F.concat(acc["blocks"], F.array(acc["block"]))).otherwise(acc["blocks"])
+        return F.struct((acc["total"] + x).alias("total"), block.alias("block"), blocks.alias("blocks"))
+
+    return F.aggregate(sizes, start, step, lambda acc: F.flatten(F.concat(acc["blocks"], F.array(acc["block"]))))
+
+
 def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
     """``df`` with formatted (string) and loss_spans (array of begin, end)."""
+    df = df.drop(*({"formatted", "loss_spans"} - {turns}))
+    (made,) = free([*df.columns, "formatted", "loss_spans"], "_made")
     head = lambda t: F.concat(F.lit(START), F.replace(escape(F.coalesce(t["role"], F.lit(""))), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
     body = lambda t: escape(F.coalesce(t["text"], F.lit("")))
-    tail = F.lit(f"{END}\n")
-    piece = F.transform(F.coalesce(F.col(turns), F.array().cast(TURNS)), lambda t: F.struct(F.concat(head(t), body(t), tail).alias("p"), F.char_length(head(t)).alias("h"), F.char_length(body(t)).alias("b"), (t["role"] == "assistant").alias("a")))
-    out = df.withColumn("_p", piece)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["h"]
-        span = F.array(F.struct(begin.alias("begin"), (begin + p["b"]).alias("end")))
-        return F.struct((acc["at"] + p["h"] + p["b"] + len(END) + 1).alias("at"), F.when(p["a"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return out.withColumn("formatted", F.array_join(F.transform("_p", lambda p: p["p"]), "")).withColumn("loss_spans", F.aggregate("_p", start, step)["spans"]).drop("_p")
+    piece = F.transform(F.coalesce(F.col(turns), F.array().cast(TURNS)), lambda t: F.struct(head(t).alias("head"), body(t).alias("body"), F.coalesce(t["role"] == "assistant", F.lit(False)).alias("loss")))
+    out = df.withColumn(made, piece)
+    sizes = F.transform(made, lambda p: (F.char_length(p["head"]) + F.char_length(p["body"]) + len(END) + 1).cast("long"))
+    # arrays of places go into zip_with: named inside a lambda they would be made again for each element
+    begins = F.zip_with(made, prefix_sums(sizes), lambda p, at: F.struct(p.alias("p"), (at + F.char_length(p["head"])).cast("int").alias("begin")))
+    spans = F.transform(F.filter(begins, lambda x: x["p"]["loss"]), lambda x: F.struct(x["begin"].alias("begin"), (x["begin"] + F.char_length(x["p"]["body"])).alias("end")))
+    text = F.array_join(F.transform(made, lambda p: F.concat(p["head"], p["body"], F.lit(f"{END}\n"))), "")
+    return out.withColumn("formatted", text).withColumn("loss_spans", spans).drop(made)
 
 
 def read_turns(formatted: Column) -> Column:
@@ -146,34 +191,48 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(bodies, lambda p: F.struct(role(p).alias("role"), text(p).alias("text")))
 
 
-def read_loss(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["begin"] + 1, s["end"] - s["begin"]))), "")
-
-
 def digest(df: DataFrame, conv: str = "conv_id") -> DataFrame:
     """What the contract asks of each formatted conversation, read back from the output."""
-    turns = read_turns(F.col("formatted"))
-    whole = F.array_join(F.transform("_t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return df.withColumn("_t", turns).withColumn("_l", read_loss(F.col("formatted"), F.col("loss_spans"))).select(
-        conv,
-        F.size("_t").cast("long").alias("n_turns"),
+    t, both, loss = free([*df.columns, "formatted", "loss_spans"], "_turns", "_both", "_loss")
+    whole = F.array_join(F.transform(t, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    # where each piece of the formatted text begins and its text lies; spans and pieces are brought together in order
+    pieces = F.filter(F.split(F.col("formatted"), r"(?<=<\|im_end\|>\n)"), lambda p: p != "")
+    entry = lambda begin, kind, to, text: F.struct(begin.cast("long").alias("at"), to.cast("long").alias("to"), F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    spans = F.transform("loss_spans", lambda s: entry(s["begin"], 0, s["end"], F.lit(None)))
+    size = lambda p: F.char_length(p) - F.locate("\n", p) - len(END) - 1
+    texts = F.zip_with(pieces, prefix_sums(F.transform(pieces, lambda p: F.char_length(p).cast("long"))), lambda p, at: entry(at + F.locate("\n", p), 1, at + F.char_length(p) - len(END) - 1, F.substr(p, F.locate("\n", p) + 1, size(p))))
+    out = df.withColumn(t, read_turns(F.col("formatted"))).withColumn(both, F.array_sort(F.concat(spans, texts)))
+    before = F.slice(F.concat(F.array(entry(F.lit(-1), 1, F.lit(-1), F.lit(None))), F.col(both)), F.lit(1), F.size(both))
+    under = F.zip_with(both, before, lambda x, y: F.when((x["kind"] == 1) & (y["kind"] == 0) & (y["at"] == x["at"]) & (y["to"] == x["to"]), unescape(x["text"])))
+    out = out.withColumn(loss, F.array_join(F.filter(under, lambda x: x.isNotNull()), ""))
+    return out.select(
+        F.col(f"`{conv}`"),
+        F.size(t).cast("long").alias("n_turns"),
         F.sha2(whole, 256).alias("turns_sha256"),
-        F.char_length("_l").cast("long").alias("loss_chars"),
-        F.sha2("_l", 256).alias("loss_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
 
 
-#: Layouts of tables, by the fingerprint of their schema: (paths, how to gather turns).
-TABLES = {
-    ("conv_id", "role", "text", "turn"): lambda df: from_turn_rows(df),
-    ("content", "conv_id", "role", "turn"): lambda df: from_turn_rows(df, text="content"),
-    ("conv_id", "turns[].role", "turns[].text"): lambda df: df,
-    ("conv_id", "messages[].content", "messages[].role"): lambda df: df.select("conv_id", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("text"))).alias("turns")),
-    ("conv_id", "prompt", "response"): lambda df: df.select("conv_id", F.expr(f"cast(array({turn('user', 'prompt')}, {turn('assistant', 'response')}) as {TURNS})").alias("turns")),
-    ("conv_id", "record"): lambda df: from_records(df).select("conv_id", "turns"),
-}
+@dataclass(frozen=True)
+class TableLayout:
+    """A table's layout: its paths, and either the columns (number, role, text) of its turn rows, SQL for its turns, or its column of JSON records."""
+
+    paths: tuple[str, ...]
+    rows: tuple[str, str, str] | None = None
+    turns: str | None = None
+    record: str | None = None
+
+
+TABLES = (
+    TableLayout(("conv_id", "role", "text", "turn"), rows=("turn", "role", "text")),
+    TableLayout(("content", "conv_id", "role", "turn"), rows=("turn", "role", "content")),
+    TableLayout(("conv_id", "turns[].role", "turns[].text"), turns="turns"),
+    TableLayout(("conv_id", "messages[].content", "messages[].role"), turns="transform(messages, m -> named_struct('role', m.role, 'text', m.content))"),
+    TableLayout(("conv_id", "prompt", "response"), turns=f"array({turn('user', 'prompt')}, {turn('assistant', 'response')})"),
+    TableLayout(("conv_id", "record"), record="record"),
+)
 
 
 def schema_fingerprint(paths) -> str:
@@ -185,10 +244,13 @@ def canonical(df: DataFrame) -> DataFrame:
 
     Columns that no layout names are left aside if the rest is a known layout.
     """
-    known = {schema_fingerprint(paths): (paths, made) for paths, made in TABLES.items()}
     own = schema_paths(df.schema)
-    if (found := known.get(schema_fingerprint(own))) is None:
-        found = next((v for v in known.values() if set(v[0]) <= set(own)), None)
+    known = {schema_fingerprint(x.paths): x for x in TABLES}
+    found = known.get(schema_fingerprint(own)) or next((x for x in TABLES if set(x.paths) <= set(own)), None)
     if found is None:
         raise ValueError(f"unknown layout: {own}")
-    return found[1](df)
+    if found.rows:
+        return from_turn_rows(df, "conv_id", *found.rows)
+    if found.record:
+        return from_records(df.select("conv_id", found.record), found.record).select("conv_id", "turns")
+    return df.select("conv_id", F.expr(f"cast({found.turns} as {TURNS})").alias("turns"))
