@@ -6,10 +6,13 @@ lists of the next nearest centroids within ``spread`` times that distance, up to
 Centroids are searched by a best-first walk over an in-memory neighbour graph. A query probes all lists
 whose centroid is within ``probe`` times the distance of its nearest one: the ratio alone decides, there is
 no cap. Lists longer than ``part_rows`` are dealt into parts by a hash of the id, and a query visits all
-parts. Scores of the best are computed again in double precision from the original vectors.
+parts; the queries of a list are dealt into parts of ``query_rows`` in the same way. Scores of the best are computed again in
+double precision from the original vectors.
 
 Inner products are turned into distances by one more component, sqrt(longest^2 - |x|^2), with the longest
-norm taken over all vectors.
+norm taken over all vectors but those of more than FAR times the median norm: beside them all others would look alike. These
+are a list of their own (OUTER), which every query visits. Norms are taken as logarithms, so no finite vector overflows.
+A score that is not a number (infinite parts of both signs) counts as the least.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
 length differs from the most frequent one (the smaller length, on a tie). Rows with a null id are left out.
@@ -24,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import bound_batches, cut, uniform
+from tidemark.llm.base import cut, slices, uniform
 
 SAMPLE, LIST_ROWS, PART_ROWS, MAX_LISTS, SPREAD, COPIES, PROBE, LEAST_LISTS = 20_000, 200, 20_000, 4096, 1.05, 3, 1.15, 8
-WIDE, FIRST = 16, 2
+WIDE, FIRST, QUERY_ROWS, FAR, OUTER = 16, 2, 50_000, 8.0, -1
 SLACK = 1e-6
 
 
@@ -41,6 +44,17 @@ def valid(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding") ->
     return rows.filter(F.size("v") == (usual[0] if usual else 0))
 
 
+def log_norm(v: Column) -> Column:
+    """The logarithm to base 2 of a vector's norm."""
+    most = F.array_max(F.transform(v, F.abs))
+    return F.log2(most) + F.log2(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))) / 2
+
+
+def log_norms(x: np.ndarray) -> np.ndarray:
+    most = np.abs(x).max(axis=1)
+    return np.log2(most) + np.log2(((x / most[:, None]) ** 2).sum(axis=1)) / 2
+
+
 def lift(x: np.ndarray, longest: float) -> np.ndarray:
     """Vectors with the component that turns inner products into distances."""
     extra = np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1), 0))
@@ -48,7 +62,9 @@ def lift(x: np.ndarray, longest: float) -> np.ndarray:
 
 
 class CentroidIndex:
-    """Centroids and the graph over them."""
+    """Centroids and the graph over them. ``median`` and ``limit`` are logarithms: vectors are divided by the median norm; beyond the limit they are outer ones."""
+
+    median, limit = 0.0, np.inf
 
     def __init__(self, centroids: np.ndarray, longest: float, degree: int = 24):
         self.c, self.longest = centroids, longest
@@ -133,30 +149,41 @@ class CentroidIndex:
 
 def fit(rows: DataFrame, sample: int = SAMPLE, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS) -> CentroidIndex:
     """Fit on about ``sample`` vectors drawn by hash (a documented bound); sizes and norms cover all rows."""
-    n, longest = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    drawn = rows.filter(uniform("vec_id") < sample / max(n, 1)).select("v").distinct().limit(2 * sample).collect()
-    if not drawn:
-        drawn = rows.select("v").limit(1).collect()
-    if not drawn:
+    rows = rows.withColumn("r", log_norm(F.col("v")))
+    n, median = rows.agg(F.count("*"), F.percentile_approx("r", 0.5)).first()
+    if not n:
         return CentroidIndex(np.zeros((0, 1)), 1.0)
-    x = np.array(sorted(r[0] for r in drawn))
+    limit = median + float(np.log2(FAR))
+    usual = rows.filter(F.col("r") <= limit)
+    longest = 2.0 ** (usual.agg(F.max("r")).first()[0] - median)
+    drawn = usual.filter(uniform("vec_id") < sample / n).select("v").distinct().limit(2 * sample).collect() or usual.select("v").limit(1).collect()
+    x = np.array(sorted(r[0] for r in drawn)) * 2.0**-median
     lists = min(max_lists, max(1, n // list_rows), max(1, len(x) // 8))
-    return CentroidIndex.fit(x, max(lists, min(LEAST_LISTS, len(x))), float(longest))
+    index = CentroidIndex.fit(x, max(lists, min(LEAST_LISTS, len(x))), longest)
+    index.median, index.limit = median, limit
+    return index
 
 
 def assign(rows: DataFrame, shared, probe: float | None = None, spread: float = SPREAD, least: int = 1) -> DataFrame:
     """(list, vec_id, v, place): a row for each list that a vector is stored in, or that a query visits if ``probe`` is given."""
     def run(batches):
         index = shared.value
-        for b in batches:
+        for b in slices(batches):
             if not b.num_rows or not len(index.c):
                 continue
             v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             if probe is None:
-                at, found, place = index.lists(lift(v, index.longest), spread, 1, COPIES)
+                outer = np.flatnonzero(log_norms(v) > index.limit)
+                own = np.flatnonzero(log_norms(v) <= index.limit)
+                at, found, place = index.lists(lift(v[own] * 2.0**-index.median, index.longest), spread, 1, COPIES)
+                at = own[at]
             else:  # only a query's direction matters
-                y = np.concatenate((v, np.zeros((len(v), 1))), axis=1) * (index.longest / np.sqrt((v * v).sum(axis=1)))[:, None]
+                outer = np.arange(len(v))
+                y = v / np.abs(v).max(axis=1)[:, None]
+                y = np.concatenate((y, np.zeros((len(y), 1))), axis=1) * (index.longest / np.sqrt((y * y).sum(axis=1)))[:, None]
                 at, found, place = index.lists(y, probe, least, None)
+            at, found = np.concatenate((at, outer)), np.concatenate((found, np.full(len(outer), OUTER)))
+            place = np.concatenate((place, np.full(len(outer), FIRST)))
             yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(place.astype(np.int32))], names=["list", "vec_id", "v", "place"])
 
     return rows.mapInArrow(run, "list int, vec_id long, v array<double>, place int")
@@ -164,7 +191,9 @@ def assign(rows: DataFrame, shared, probe: float | None = None, spread: float =
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products summed in one fixed order, so equal vectors get equal scores."""
-    return (x * q[None]).sum(axis=1)
+    with np.errstate(all="ignore"):
+        s = (x * q[None]).sum(axis=1)
+    return np.where(np.isnan(s), -np.inf, s)
 
 
 def by_id(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +216,7 @@ def best_of(q: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, rough: np.n
     best = np.maximum.reduceat(rough, starts) if len(starts) < len(ids) else rough
     best = best[ids[starts] != own]
     keep = ids != own
-    if len(best) > k:
+    if len(best) > k and np.isfinite(rough).all():  # else all are scored
         least = np.partition(best, -k)[-k]
         keep &= rough >= least - SLACK * (1 + abs(least))
     at = np.flatnonzero(keep)
@@ -197,14 +226,19 @@ def best_of(q: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, rough: np.n
     return [(float(s[i]), int(ids[at[i]])) for i in order[np.sort(first)[:k]]]
 
 
-def visit(stored: DataFrame, asked: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+def visit(stored: DataFrame, asked: DataFrame, k: int, part_rows: int = PART_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, vec_id, score) of the lists that are asked for: of each list part, what reaches the query's bound, the k best ids at most.
 
-    ``asked`` is (list, vec_id, v, bound). Lists meet their queries by (list, part).
+    ``asked`` is (list, vec_id, v, bound). Rows of a list meet its queries by (list, part of the rows, part of the queries).
     """
-    left = stored.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    right = asked.join(sizes, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cols = ["list", "part", "vec_id", "v", "bound"]
+    in_parts = lambda df, rows, name: df.groupBy("list").agg(F.ceil(F.count("*") / rows).alias(name))
+    # a row for each list, of which there are MAX_LISTS and one
+    sizes = F.broadcast(in_parts(stored, part_rows, "parts").join(in_parts(asked, query_rows, "asks"), "list"))
+    share = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = stored.join(sizes, "list").withColumn("part", share("parts")).withColumn("ask", every("asks"))
+    right = asked.join(sizes, "list").withColumn("part", every("parts")).withColumn("ask", share("asks"))
+    cols = ["list", "part", "ask", "vec_id", "v", "bound"]
     both = left.withColumn("bound", F.lit(None).cast("double")).select(*cols).union(right.select(*cols))
 
     def run(table):
@@ -217,10 +251,12 @@ def visit(stored: DataFrame, asked: DataFrame, sizes: DataFrame, k: int) -> Data
         if len(cand):
             cand_ids, cand, starts = by_id(cand_ids, cand)
             for at in range(0, len(qs), 256):
-                q, own = qs[at : at + 256], q_ids[at : at + 256]
-                rough = q @ cand.T
-                hit = (rough >= (low[at : at + 256] - SLACK * (1 + np.abs(low[at : at + 256])))[:, None]) & (cand_ids[None] != own[:, None])
-                many = hit.sum(axis=1) > k
+                q, own, floor = qs[at : at + 256], q_ids[at : at + 256], low[at : at + 256]
+                with np.errstate(all="ignore"):
+                    rough = q @ cand.T
+                    slack = np.where(np.isfinite(floor), SLACK * (1 + np.abs(floor)), 0)
+                hit = (rough >= (floor - slack)[:, None]) & (cand_ids[None] != own[:, None])
+                many = (hit.sum(axis=1) > k) | ~np.isfinite(rough).all(axis=1)
                 for i in np.flatnonzero(many).tolist():
                     best = best_of(q[i], own[i], cand_ids, cand, rough[i], k, starts)
                     out.append((np.full(len(best), own[i]), np.array([b for _, b in best], np.int64), np.array([b for b, _ in best])))
@@ -229,7 +265,7 @@ def visit(stored: DataFrame, asked: DataFrame, sizes: DataFrame, k: int) -> Data
                 out.append((own[r], cand_ids[c], (cand[c] * q[r]).sum(axis=1)))
         return pa.table({name: np.concatenate([o[i] for o in out]) for i, name in enumerate(("query_id", "vec_id", "score"))})
 
-    return both.groupBy("list", "part").applyInArrow(run, "query_id long, vec_id long, score double")
+    return both.groupBy("list", "part", "ask").applyInArrow(run, "query_id long, vec_id long, score double")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -238,22 +274,20 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, spread: float = SPREAD, probe: float = PROBE, least: int = LEAST_LISTS, list_rows: int = LIST_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, spread: float = SPREAD, probe: float = PROBE, least: int = LEAST_LISTS, list_rows: int = LIST_ROWS, part_rows: int = PART_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (a condition on vec_id), among all others.
 
     A query's FIRST nearest lists are searched first. The k-th score found there is a bound that lets the
     other lists answer with what can still matter only.
     """
     spark = vectors.sparkSession
-    bound_batches(spark)
     rows = valid(vectors)
     shared = spark.sparkContext.broadcast(fit(rows, list_rows=list_rows))
     stored = cut(assign(rows, shared, spread=spread).select("list", "vec_id", "v"))
-    sizes = stored.groupBy("list").count().select("list", F.ceil(F.col("count") / part_rows).cast("int").alias("parts"))
     probes = cut(assign(rows.filter(is_query).dropDuplicates(["vec_id", "v"]), shared, probe=probe, least=least))
     none = F.lit(float("-inf"))
-    first = cut(ranked(visit(stored, probes.filter(F.col("place") < FIRST).withColumn("bound", none), sizes, k), k))
+    first = cut(ranked(visit(stored, probes.filter(F.col("place") < FIRST).withColumn("bound", none), k, part_rows, query_rows), k))
     bounds = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(none).alias("bound")).withColumnRenamed("query_id", "vec_id")
     rest = probes.filter(F.col("place") >= FIRST).join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", none))
-    found = first.select("query_id", "vec_id", "score").union(visit(stored, rest, sizes, k))
+    found = first.select("query_id", "vec_id", "score").union(visit(stored, rest, k, part_rows, query_rows))
     return ranked(found, k).select("query_id", "rank", "vec_id", "score")
