@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import bound_batches, held_out, labelled_sample
+from tidemark.llm.base import held_out, labelled_sample, slices
 from tidemark.llm.words import LETTERS, Shapes, find, numbered, summed
 
 LONGEST = 5
@@ -100,12 +100,11 @@ def fit(docs: DataFrame, per_lang: int = 1000, max_chars: int = 20_000) -> Backo
 def identify(docs: DataFrame, model: BackoffModel, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` with lang_pred and score, from the whole text."""
     spark = docs.sparkSession
-    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     slim = docs.select(*keep, F.col("text").alias("_text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             langs, share = shared.value.predict(b.column(b.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(share)], names=[*keep, "lang_pred", "score"])
 

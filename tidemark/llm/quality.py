@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.base import WordRows, bound_batches, held_out, labelled_texts
+from tidemark.llm.base import WordRows, held_out, labelled_texts, slices
 
 BUCKETS = 1 << 16
 WORD, SHAPE = 1.0, 3.0  # scales of the two kinds of token features
@@ -38,7 +39,7 @@ def bucket(kind: str, what: str) -> int:
 def token(t: str) -> tuple[int, int]:
     """Buckets of a token's word and of its shape."""
     shape = DIGIT.sub("9", UPPER.sub("X", LOWER.sub("x", RUNS.sub(r"\1\1", t))))
-    return bucket("w", EDGE.sub("", t).lower()), bucket("s", shape[:12])
+    return bucket("w", EDGE.sub("", t).lower()), bucket("s", shape)
 
 
 def whole(tokens: list[str]) -> list[tuple[int, float]]:
@@ -145,30 +146,32 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", per_grade:
     return model
 
 
-def grade(docs: DataFrame, model: OrdinalModel | None, least: float = 0.5, tail: int | None = None) -> DataFrame:
-    """All columns of ``docs`` with expected_grade, tail_prob and accepted.
+NAMES = ("expected_grade", "tail_prob", "accepted")
+
+
+def grade(docs: DataFrame, model: OrdinalModel | None, least: float = 0.5, tail: int | None = None, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """All columns of ``docs`` with expected_grade, tail_prob and accepted, or what ``names`` calls them.
 
     tail_prob is P(grade >= grades[tail]); ``tail`` is the top grade unless given. Accepted are documents
-    with tail_prob of ``least`` or more.
+    with tail_prob of ``least`` or more. Columns of ``docs`` that are called like the new ones are replaced.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    docs = docs.drop(*names)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at, columns = docs.columns.index("text"), docs.columns
     n = (len(model.grades) - 1 if tail is None else tail) if model else 0
 
     def run(batches):
         m = shared.value
         cache = WordRows(m.rows) if m else None
-        for b in batches:
+        for b in slices(batches):
             if m:
                 mean, p = m.grade(m.scores(cache, b.column(at).to_pylist()), n)
             else:
                 mean, p = np.full(b.num_rows, np.nan), np.ones(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mean, from_pandas=True), pa.array(p), pa.array(p >= least)], names=[*columns, "expected_grade", "tail_prob", "accepted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mean, from_pandas=True), pa.array(p), pa.array(p >= least)], names=[*columns, *names])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, expected_grade double, tail_prob double, accepted boolean")
+    kinds = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
+    return docs.mapInArrow(run, kinds)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

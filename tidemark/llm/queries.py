@@ -14,7 +14,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,20 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(chat.canonical(rows)))
 
 
+def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as JSON records of five layouts, with fields that no mapping needs, fingerprinted row by row."""
+    turns = chat.from_turn_rows(table(spark, sf_dir, "conversations"))
+    forms = (
+        "named_struct('id', conv_id, 'messages', transform(turns, t -> named_struct('role', t.role, 'content', t.text, 'name', 'x')))",
+        "named_struct('messages', transform(turns, t -> named_struct('role', t.role, 'text', t.text)), 'meta', named_struct('tags', array('a', 'b')))",
+        "named_struct('conversations', transform(turns, t -> named_struct('from', t.role, 'value', t.text)))",
+        "named_struct('messages', transform(turns, t -> named_struct('role', t.role, 'content', array(named_struct('type', 'text', 'text', t.text)))))",
+        "named_struct('turns', turns, 'score', 0.5)",
+    )
+    cases = " ".join(f"WHEN {i} THEN to_json({x})" for i, x in enumerate(forms))
+    return chat.digest(chat.format_turns(chat.canonical(turns.select("conv_id", F.expr(f"CASE pmod(conv_id, 5) {cases} END").alias("record")))))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -39,8 +53,14 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by source, as in the pipeline: doc_id, kept text's hash and length, lines dropped."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    done = linededup.drop_boilerplate(docs, F.col("source"), "text", key="doc_id")
-    return done.select("doc_id", "source", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"), F.col("_dropped").cast("long").alias("n_dropped"))
+    done = linededup.drop_boilerplate(docs, F.col("source"), "text")
+    return done.select("doc_id", "source", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"), "n_dropped")
+
+
+def op7_pagelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for web pages by the host of their URL: page_id, host, kept text's hash and length, lines dropped."""
+    done = linededup.page_lines(table(spark, sf_dir, "pages"))
+    return done.select("page_id", "host", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"), "n_dropped")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +76,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_decontaminate, op4_chat, op5_ann, op6_langid, op7_linededup, op8_quality, op9_urlfilter, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_decontaminate, op4_chat, op4_records, op5_ann, op6_langid, op7_linededup, op7_pagelines, op8_quality, op9_urlfilter, op10_simhash)}
 
 CHAT_SQL = r"""
 WITH rows AS (
@@ -73,6 +93,8 @@ SELECT conv_id, count(*) AS n_turns,
 FROM made GROUP BY conv_id
 """
 
+RECORDS_SQL = CHAT_SQL.replace("UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'))", "")
+
 LINES_SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS rid, doc_id, source, text, coalesce(source, chr(0)) AS host, string_split(text, chr(10)) AS lines FROM documents
@@ -81,7 +103,7 @@ WITH docs AS (
     SELECT DISTINCT rid, host, trim(line, ' ') AS line FROM (SELECT rid, host, unnest(lines) AS line FROM docs)
   ) WHERE line <> '' GROUP BY host, line
 ), bad AS (
-  SELECT host, line FROM seen JOIN (SELECT host, count(*) AS total FROM docs GROUP BY host) USING (host) WHERE n >= 5 AND n >= 0.05 * total
+  SELECT host, line FROM seen JOIN (SELECT host, count(*) AS total FROM docs GROUP BY host) USING (host) WHERE n >= 5 AND n >= 0.01 * total
 ), spread AS (
   SELECT rid, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs
 ), kept AS (
@@ -94,29 +116,51 @@ SELECT doc_id, source, CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(k.te
 FROM docs d LEFT JOIN kept k USING (rid)
 """
 
+PAGE_LINES_SQL = r"""
+WITH bare AS (
+  SELECT row_number() OVER () AS rid, page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+    regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>', chr(10), 'g'),
+      '(?i)</?(?:p|div|li|ul|ol|tr|td|th|table|h[1-6]|br|nav|article|section|header|footer|title|body|html|head|main|aside|form)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS text FROM pages
+), docs AS (
+  SELECT *, coalesce(host, chr(0)) AS h, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM bare
+), seen AS (
+  SELECT h, line, count(*) AS n FROM (SELECT DISTINCT rid, h, unnest(lines) AS line FROM docs) GROUP BY ALL
+), bad AS (
+  SELECT h, line FROM seen JOIN (SELECT h, count(*) AS total FROM docs GROUP BY h) USING (h) WHERE n >= 5 AND n >= 0.01 * total
+), spread AS (
+  SELECT rid, h, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM docs
+), kept AS (
+  SELECT rid, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n FROM spread s ANTI JOIN bad b ON s.h = b.h AND s.line = b.line GROUP BY rid
+)
+SELECT page_id, host, CASE WHEN d.text IS NOT NULL THEN md5(coalesce(k.text, '')) END AS text_md5,
+  CASE WHEN d.text IS NOT NULL THEN length(coalesce(k.text, '')) END AS n_chars, coalesce(len(lines) - coalesce(k.n, 0), 0) AS n_dropped
+FROM docs d LEFT JOIN kept k USING (rid)
+"""
+
 URLS_SQL = r"""
-WITH p AS (
-  SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]+)?([^?#]*)', 1)) AS host,
-    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]+)?([^?#]*)', 2) AS path,
+WITH raw AS (
+  SELECT page_id, url, rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)', 1)), '.') AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)', 2) AS path,
     TIMESTAMP '2022-01-01' + to_days(cast(page_id * 37 % 720 AS int)) AS fetched_at, page_id % 97 AS m FROM pages
+), p AS (
+  SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS steps, string_split(host, '.') AS labels FROM raw
 ), entries AS (
   SELECT DISTINCT key, action, listed_at FROM (
-    SELECT CASE WHEN m IN (3, 50) THEN 'h:' || host WHEN m IN (7, 60) THEN 'd:' || array_to_string(string_split(host, '.')[-3:], '.')
-                ELSE 'u:' || rtrim(host || path, '/') END AS key,
+    SELECT CASE WHEN m IN (3, 50) THEN 'h:' || host WHEN m IN (7, 60) THEN 'd:' || array_to_string(labels[-3:], '.')
+                ELSE 'u:' || array_to_string([host] || steps, '/') END AS key,
       CASE WHEN m >= 50 THEN 'remove' ELSE 'add' END AS action, TIMESTAMP '2022-01-01' + to_days(cast(page_id * 53 % 720 AS int)) AS listed_at
-    FROM p WHERE m IN (3, 7, 11, 12, 13, 14, 50, 60, 70))
+    FROM p WHERE m IN (3, 7, 11, 12, 13, 14, 50, 60, 70) AND host <> '')
 ), daily AS (SELECT key, listed_at, max(action) AS action FROM entries GROUP BY key, listed_at
 ), spans AS (
   SELECT key, action, listed_at, lead(listed_at) OVER (PARTITION BY key ORDER BY listed_at) AS until FROM daily
 ), keys AS (
   SELECT page_id, fetched_at, 'h:' || host AS key FROM p
-  UNION SELECT page_id, fetched_at, 'd:' || array_to_string(string_split(host, '.')[i:], '.') FROM p, range(1, 10) r(i) WHERE i <= len(string_split(host, '.'))
-  UNION SELECT page_id, fetched_at, 'u:' || host || '/' || array_to_string(steps[1:i], '/') FROM (
-    SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS steps FROM p) s, range(1, 50) r(i) WHERE i <= len(steps)
+  UNION SELECT page_id, fetched_at, 'd:' || array_to_string(labels[i:], '.') FROM p, range(1, 10) r(i) WHERE i <= len(labels)
+  UNION SELECT page_id, fetched_at, 'u:' || array_to_string([host] || steps[1:i], '/') FROM p, range(0, 50) r(i) WHERE i <= len(steps)
 ), hits AS (
   SELECT page_id, count(*) AS n, min(k.key) AS entry FROM keys k JOIN spans s ON k.key = s.key AND s.action = 'add' AND fetched_at >= listed_at AND (until IS NULL OR fetched_at < until) GROUP BY page_id
 )
 SELECT page_id, n IS NOT NULL AS blocked, coalesce(n, 0) AS n_entries, entry FROM p LEFT JOIN hits USING (page_id)
 """
 
-ORACLE_SQL = {"op4_chat": CHAT_SQL, "op7_linededup": LINES_SQL, "op9_urlfilter": URLS_SQL}
+ORACLE_SQL = {"op4_chat": CHAT_SQL, "op4_records": RECORDS_SQL, "op7_linededup": LINES_SQL, "op7_pagelines": PAGE_LINES_SQL, "op9_urlfilter": URLS_SQL}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import bound_batches, held_out, labelled_texts
+from tidemark.llm.base import held_out, labelled_texts, slices
 from tidemark.llm.langid import BackoffModel
 from tidemark.llm.words import LETTERS, Shapes, numbered, summed
 
@@ -249,12 +249,11 @@ def learn(texts: list[str], y: np.ndarray, langs: list, share: float) -> ConvNet
 def score(docs: DataFrame, net: ConvNet) -> DataFrame:
     """doc_id, held_out, score, predicted, lang_seen of every row, from its whole text."""
     spark = docs.sparkSession
-    bound_batches(spark, rows=1000)
     shared = spark.sparkContext.broadcast(net)
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches, 1000):
             if m.fitted:
                 z, seen = m.answers(b.column(2))
                 p = m.probability(z, seen)
