@@ -6,26 +6,27 @@ stage's result as Parquet into the shared folder and reads it again for the next
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, linededup, mixing, quality, simhash
-from tidemark.llm.base import table
+from tidemark.llm.base import drop_folder, free, shared_folder, table
 
 
 def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the top grade reaches one half."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.grade(docs, model).filter("accepted").select(*docs.columns)
+    names = tuple(free(docs.columns, *quality.NAMES))
+    return quality.grade(docs, model, names=names).filter(f"`{names[-1]}`").drop(*names)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that are boilerplate in their source; n_chars follows the text."""
-    done = linededup.drop_boilerplate(docs, F.col("source"), "text", key="doc_id").drop("_dropped")
-    return done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*docs.columns) if "n_chars" in docs.columns else done
+    (dropped,) = free(docs.columns, "n_dropped")
+    done = linededup.drop_boilerplate(docs, F.col("source"), "text", dropped=dropped).drop(dropped)
+    return done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))) if "n_chars" in docs.columns else done
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, one after the other."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
+    """The stages applied to documents, one after the other. A stage's folder goes once the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    at = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    at, before = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            drop_folder(spark, before)
+        before = f"{at}/{name}"
     return docs
