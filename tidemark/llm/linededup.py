@@ -75,7 +75,7 @@ def html_lines(html: str = "html") -> Column:
     """The texts between the block-level tags of a page."""
     bare = F.regexp_replace(F.col(html), r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>", "\n")
     broken = F.regexp_replace(bare, r"(?i)</?(?:p|div|li|ul|ol|tr|td|th|table|h[1-6]|br|nav|article|section|header|footer|title|body|html|head|main|aside|form)\b[^>]*>", "\n")
-    return F.filter(F.transform(F.split(F.regexp_replace(broken, r"<[^>]*>", ""), "\n+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(broken, r"<[^>]*>", ""), "\n+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def page_lines(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
