@@ -3,9 +3,12 @@
 Words (runs of letters) become means of hashed embeddings (the word and its character n-grams); filters of one, two and
 three words slide over them, the largest answer of each filter goes to a logistic output. A word's
 part of each filter is computed once for each distinct word, so a text costs a few gathered additions
-a word. The first embedding dimension starts as the smoothed log ratio of a bucket's documents in the two
-classes, which the first filter of each width starts by reading (initialisation from count ratios, as
-published for convolutional text classifiers); the rest starts at random. Thresholds are calibrated for each language that is recognised from the text itself.
+a word. All weights are learnt by gradient steps from random or zero values. As only the winners of the pooling have
+gradients, the first embedding dimension is warmed up before: a logistic regression over the set of a text's buckets, with as many
+steps on either class, which the first filter of each width then reads. Training goes on until the loss on a part of the
+sample that is set aside has not fallen for PATIENCE epochs, and the best epoch counts. Thresholds are calibrated on that part for each language that
+is recognised from the text itself (by a model that learns from the ``lang`` of the same training rows; no row's own ``lang`` is looked at when it is
+scored), as means over resampled rows, drawn towards the common threshold where a language has few examples.
 
 Edge cases: a null or empty text is scored as no words. Whole texts are read: a text of any length is
 convolved in overlapping blocks. Labels that are null are ignored; a doc_id with several labels or
@@ -29,13 +32,15 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 12, 8, (1, 2, 3)
 BLOCK = 100_000
 TAPS = [(w, k) for w in WIDTHS for k in range(w)]
 THRESHOLD = 0.3
+GRAMS = (5, 7)
+EPOCHS, PATIENCE, WARM, RESAMPLED, FEW = 12, 3, 6, 40, 10
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, starts): the buckets of each word and of its n-grams of 4 and 5 characters, words in order."""
+    """(buckets, starts): the buckets of each word and of its n-grams of GRAMS characters, words in order."""
     shapes = Shapes(words)
     owner, hashes = np.arange(len(words)), shapes.whole()
-    for n in (4, 5):
+    for n in GRAMS:
         more, h = shapes.grams(n)
         owner, hashes = np.concatenate((owner, more)), np.concatenate((hashes, h))
     order = np.argsort(owner, kind="stable")
@@ -89,7 +94,7 @@ class ConvNet:
         for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)):
             for at in range(a, max(b, a + 1), BLOCK):
                 last = at + BLOCK >= b
-                pieces.append((np.concatenate((ids[at:b], [0, 0])), b - at + 2) if last else (ids[at : at + BLOCK + max(WIDTHS) - 1], BLOCK))
+                pieces.append((np.concatenate((ids[at:b], [0] * max(WIDTHS))), b - at + 1) if last else (ids[at : at + BLOCK + max(WIDTHS) - 1], BLOCK))
                 owner.append(i)
         best = np.full((len(ends) - 1, len(self.bias)), -np.inf, np.float32)
         todo, size = [], 0
@@ -104,81 +109,113 @@ class ConvNet:
                 todo, size = [], 0
         return np.maximum(best + self.bias, 0) @ self.out + self.prior[0]
 
-    def train(self, texts: list[str], labels: np.ndarray, epochs: int = 3, steps: int = 300, size: int = 32, rate: float = 0.05, seed: int = 7) -> None:
-        """Adagrad on the logistic loss; only the positions that win the pooling have gradients."""
+    def train(self, texts: list[str], labels: np.ndarray, aside: tuple[list[str], np.ndarray] | None = None, epochs: int = EPOCHS, steps: int = 300, size: int = 32, rate: float = 0.05, seed: int = 7) -> None:
+        """Adagrad on the logistic loss; only the positions that win the pooling have gradients. Few texts are gone through more often."""
         ids, ends, names = numbered(pa.array(texts, pa.string()), LETTERS)
-        docs = [np.concatenate((ids[a:b], [0, 0])) for a, b in zip(ends, ends[1:], strict=False)]
+        docs = [np.concatenate((ids[a:b], [0] * max(WIDTHS))) for a, b in zip(ends, ends[1:], strict=False)]
         flat, starts = features(names)
         feats = np.split(flat, starts[1:])
+        self.warm_up(docs, feats, labels)
         params = [self.embed, self.filters, self.bias, self.out, self.prior]
-        self.start(docs, feats, labels)
-        past = [np.full_like(p, 1e-2) for p in params]
-        r, nf = np.random.default_rng(seed), FILTERS
-        for _ in range(max(epochs, -(-steps * size // max(len(docs), 1)))):  # few texts are gone through more often
-            order = r.permutation(len(docs))
-            for at in range(0, len(order), size):
-                chosen = order[at : at + size]
-                ids = np.concatenate([docs[i] for i in chosen])
-                used, local = np.unique(ids, return_inverse=True)
-                mine = [feats[u] for u in used if u]
-                counts = np.array([len(f) for f in mine])
-                zero = int(used[0] == 0)
-                if not mine:
-                    continue
-                flat = np.concatenate(mine)
-                v = np.zeros((len(used), DIM), np.float32)
-                v[zero:] = np.add.reduceat(self.embed[flat], np.concatenate(([0], np.cumsum(counts)[:-1])), axis=0) / counts[:, None]
-                bounds = np.concatenate(([0], np.cumsum([len(docs[i]) for i in chosen])))
-                taps = [v @ f for f in self.filters]
-                top = np.empty((len(chosen), len(self.bias)), np.float32)
-                win = np.empty((len(chosen), len(self.bias)), np.int64)
-                col = 0
-                for j, w in enumerate(WIDTHS):
-                    h = taps[col][local]
-                    for k in range(1, w):
-                        h[:-k] += taps[col + k][local[k:]]
-                    for d in range(len(chosen)):
-                        part = h[bounds[d] : bounds[d + 1]]
-                        win[d, j * nf : (j + 1) * nf] = part.argmax(0) + bounds[d]
-                        top[d, j * nf : (j + 1) * nf] = part.max(0)
-                    col += w
-                act = np.maximum(top + self.bias, 0)
-                p = 1 / (1 + np.exp(-np.clip(act @ self.out + self.prior, -30, 30)))
-                g = ((p - labels[chosen]) / len(chosen)).astype(np.float32)
-                inner = g[:, None] * self.out * (act > 0)
-                grads = [None, np.zeros_like(self.filters), inner.sum(0), act.T @ g, g.sum(keepdims=True)]
-                gv, col = np.zeros_like(v), 0
-                padded = np.concatenate((local, [0, 0]))
-                for j, w in enumerate(WIDTHS):
-                    gi = inner[:, j * nf : (j + 1) * nf]
-                    for k in range(w):
-                        u = padded[win[:, j * nf : (j + 1) * nf] + k]
-                        grads[1][col + k] = np.einsum("dfe,df->ef", v[u], gi)
-                        np.add.at(gv, u.ravel(), (gi[:, :, None] * self.filters[col + k].T[None]).reshape(-1, DIM))
-                    col += w
-                won = np.flatnonzero(gv[zero:].any(axis=1))
-                if not len(won):
-                    continue
-                rows, place = np.unique(np.concatenate([mine[i] for i in won]), return_inverse=True)
-                ge = np.zeros((len(rows), DIM), np.float32)
-                np.add.at(ge, place, np.repeat(gv[zero:][won] / counts[won, None], counts[won], axis=0))
-                past[0][rows] += ge * ge
-                self.embed[rows] -= rate * ge / np.sqrt(past[0][rows])
-                for q, h, d in zip(params[1:], past[1:], grads[1:], strict=True):
-                    h += d * d
-                    q -= rate * d / np.sqrt(h)
-
-    def start(self, docs: list[np.ndarray], feats: list[np.ndarray], labels: np.ndarray, alpha: float = 4.0) -> None:
-        """Set the first dimension from counts and let the first filter of each width read it at its first tap."""
-        counts = np.zeros((2, BUCKETS))
-        for ids, y in zip(docs, labels, strict=True):
+        past = [np.full_like(p, 1e-6) for p in params]
+        r, best, since = np.random.default_rng(seed), (np.inf, []), 0
+        for _ in range(max(epochs, -(-steps * size // max(len(docs), 1)))):
+            self.epoch(docs, feats, labels, params, past, r, size, rate)
+            if aside is None:
+                continue
+            loss = self.loss(*aside)
+            if loss < best[0]:
+                best, since = (loss, [p.copy() for p in params]), 0
+            elif (since := since + 1) >= PATIENCE:
+                break
+        for p, kept in zip(params, best[1], strict=False):
+            p[...] = kept
+
+    def loss(self, texts: list[str], labels: np.ndarray) -> float:
+        """The mean logistic loss, either class counting a half."""
+        z = np.clip(self.logits(*numbered(pa.array(texts, pa.string()), LETTERS)), -30, 30)
+        each = np.log1p(np.exp(np.where(labels == 1, -z, z)))
+        return float(each[labels == 1].mean() + each[labels == 0].mean())
+
+    def epoch(self, docs: list[np.ndarray], feats: list[np.ndarray], labels: np.ndarray, params: list[np.ndarray], past: list[np.ndarray], r: np.random.Generator, size: int, rate: float) -> None:
+        """One pass over the texts in a random order."""
+        nf = FILTERS
+        order = r.permutation(len(docs))
+        for at in range(0, len(order), size):
+            chosen = order[at : at + size]
+            ids = np.concatenate([docs[i] for i in chosen])
+            used, local = np.unique(ids, return_inverse=True)
+            mine = [feats[u] for u in used if u]
+            counts = np.array([len(f) for f in mine])
+            zero = int(used[0] == 0)
+            if not mine:
+                continue
+            flat = np.concatenate(mine)
+            v = np.zeros((len(used), DIM), np.float32)
+            v[zero:] = np.add.reduceat(self.embed[flat], np.concatenate(([0], np.cumsum(counts)[:-1])), axis=0) / counts[:, None]
+            bounds = np.concatenate(([0], np.cumsum([len(docs[i]) for i in chosen])))
+            taps = [v @ f for f in self.filters]
+            top = np.empty((len(chosen), len(self.bias)), np.float32)
+            win = np.empty((len(chosen), len(self.bias)), np.int64)
+            col = 0
+            for j, w in enumerate(WIDTHS):
+                h = taps[col][local]
+                for k in range(1, w):
+                    h[:-k] += taps[col + k][local[k:]]
+                for d in range(len(chosen)):
+                    part = h[bounds[d] : bounds[d + 1] - max(WIDTHS) + 1]  # no filter reads on into the next text
+                    win[d, j * nf : (j + 1) * nf] = part.argmax(0) + bounds[d]
+                    top[d, j * nf : (j + 1) * nf] = part.max(0)
+                col += w
+            act = np.maximum(top + self.bias, 0)
+            p = 1 / (1 + np.exp(-np.clip(act @ self.out + self.prior, -30, 30)))
+            g = ((p - labels[chosen]) / len(chosen)).astype(np.float32)
+            inner = g[:, None] * self.out * (act > 0)
+            grads = [None, np.zeros_like(self.filters), inner.sum(0), act.T @ g, g.sum(keepdims=True)]
+            gv, col = np.zeros_like(v), 0
+            padded = np.concatenate((local, [0, 0]))
+            for j, w in enumerate(WIDTHS):
+                gi = inner[:, j * nf : (j + 1) * nf]
+                for k in range(w):
+                    u = padded[win[:, j * nf : (j + 1) * nf] + k]
+                    grads[1][col + k] = np.einsum("dfe,df->ef", v[u], gi)
+                    np.add.at(gv, u.ravel(), (gi[:, :, None] * self.filters[col + k].T[None]).reshape(-1, DIM))
+                col += w
+            won = np.flatnonzero(gv[zero:].any(axis=1))
+            if not len(won):
+                continue
+            rows, place = np.unique(np.concatenate([mine[i] for i in won]), return_inverse=True)
+            ge = np.zeros((len(rows), DIM), np.float32)
+            np.add.at(ge, place, np.repeat(gv[zero:][won] / counts[won, None], counts[won], axis=0))
+            past[0][rows] += ge * ge
+            self.embed[rows] -= rate * ge / np.sqrt(past[0][rows])
+            for q, h, d in zip(params[1:], past[1:], grads[1:], strict=True):
+                h += d * d
+                q -= rate * d / np.sqrt(h)
+
+    def warm_up(self, docs: list[np.ndarray], feats: list[np.ndarray], labels: np.ndarray, rate: float = 0.1, decay: float = 1e-3, seed: int = 1) -> None:
+        """The first dimension by logistic regression over the buckets of each text, from zero, a text of either class in turn.
+
+        The first filter of each width begins by reading that dimension at its first tap.
+        """
+        sets = []
+        for ids in docs:
             used = [feats[i] for i in np.unique(ids) if i]
-            if used:
-                counts[int(y), np.unique(np.concatenate(used))] += 1
-        n = np.maximum(np.bincount(labels.astype(int), minlength=2), 1)
-        # the scarcer class's counts are smoothed by as much of a document share as the other's
-        ratio = np.log((counts[1] / n[1] + alpha / n.mean()) / (counts[0] / n[0] + alpha / n.mean()))
-        self.embed[:, 0] = ratio
+            sets.append(np.unique(np.concatenate(used)) if used else np.zeros(0, np.int64))
+        weight, past, bias, r = np.zeros(BUCKETS), np.full(BUCKETS, 1e-4), 0.0, np.random.default_rng(seed)
+        classes = [np.flatnonzero(labels == y) for y in (0, 1)]
+        most = max(map(len, classes))
+        for _ in range(WARM if min(map(len, classes)) else 0):
+            turns = [np.concatenate((r.permutation(c), r.choice(c, most - len(c)))) for c in classes]
+            for i in np.stack(turns, axis=1).ravel().tolist():
+                own = sets[i]
+                scale = 3 * max(1, len(own)) ** -0.5
+                g = 1 / (1 + np.exp(-np.clip(scale * weight[own].sum() + bias, -30, 30))) - labels[i]
+                step = g * scale + decay * weight[own]
+                past[own] += step * step
+                weight[own] -= rate * step / np.sqrt(past[own])
+                bias -= 0.01 * g
+        self.embed[:, 0] = weight
         self.filters[:, 0, 0] = 0
         for j in (0, 1, 3):
             self.filters[j, :, 0] *= 0.1
@@ -192,20 +229,25 @@ class ConvNet:
         seen = np.array(langs)
         weight = np.where(labels == 1, share / max(labels.mean(), 1e-9), (1 - share) / max(1 - labels.mean(), 1e-9))
 
+        r = np.random.default_rng(11)
+
         def parting(rows: np.ndarray) -> float:
             order = np.argsort(-z[rows], kind="stable")
             zs, ys, ws = z[rows][order], labels[rows][order], weight[rows][order]
             hit, miss = np.cumsum(ws * ys), np.cumsum(ws * (1 - ys))
             f1 = 2 * hit / (hit + miss + (ws * ys).sum())
-            best = np.flatnonzero(f1 >= f1.max() - 1e-9)
-            i = int(best[0])
+            i = int(np.argmax(f1 >= f1.max() - 1e-9))
             return float((zs[i] + zs[min(i + 1, len(zs) - 1)]) / 2)
 
-        self.shift[""] = parting(np.arange(len(z)))
+        def resampled(rows: np.ndarray) -> float:
+            drawn = (np.concatenate([r.choice(c, len(c)) for y in (0, 1) if len(c := rows[labels[rows] == y])]) for _ in range(RESAMPLED))
+            return float(np.mean([parting(rows), *map(parting, drawn)]))
+
+        common = self.shift[""] = resampled(np.arange(len(z)))
         for name in sorted(set(seen)):
             rows = np.flatnonzero(seen == name)
-            if min(labels[rows].sum(), (1 - labels[rows]).sum()) >= least:
-                self.shift[str(name)] = parting(rows)
+            if (few := min(labels[rows].sum(), (1 - labels[rows]).sum())) >= least:
+                self.shift[str(name)] = float((few * resampled(rows) + FEW * common) / (few + FEW))
         self.fitted = True
 
     def answers(self, texts: pa.Array) -> tuple[np.ndarray, list[str]]:
@@ -241,7 +283,7 @@ def learn(texts: list[str], y: np.ndarray, langs: list, share: float) -> ConvNet
     if min(y[~aside].sum(), (1 - y[~aside]).sum(), y[aside].sum(), (1 - y[aside]).sum()) < 1:
         aside[:] = False
     pick = lambda keep: ([t for t, k in zip(texts, keep, strict=True) if k], y[keep])
-    net.train(*pick(~aside))
+    net.train(*pick(~aside), aside=pick(aside) if aside.any() else None)
     net.calibrate(*(pick(aside) if aside.any() else (texts, y)), share=share)
     return net
 
