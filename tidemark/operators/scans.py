@@ -116,9 +116,21 @@ def seek(asked: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def assign_offsets(rows: DataFrame, order: list[str], next_offsets: DataFrame | None = None) -> DataFrame:
-    """Dense offsets for new rows of each (topic, part) in ``order``, from ``next_offsets`` (topic, part, next_off) or 0."""
-    numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*QUEUE).orderBy(*order)) - 1)
+    """Dense offsets for new rows of each (topic, part) in ``order``, from ``next_offsets`` (topic, part, next_off) or 0.
+
+    Rows are dealt by ranges of queue and order and numbered within a range; a range begins where the ones before it end, by their
+    counts. So a queue of any size is spread over tasks.
+    """
+    from tidemark.sources.shared import cut
+
+    by = [*QUEUE, *order]
+    dealt = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id()))
+    counts = dealt.groupBy(*QUEUE, "_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*QUEUE).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*QUEUE, "_p", before.alias("_o"))
+    numbered = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy(*QUEUE, "_p").orderBy(*order)) - 1).join(starts, [*QUEUE, "_p"])
+    placed = numbered.withColumn("off", (F.col("_rn") + F.col("_o")).cast("long")).drop("_rn", "_o", "_p")
     if next_offsets is None:
-        return numbered.withColumn("off", F.col("_rn").cast("long")).drop("_rn")
-    joined = numbered.join(next_offsets.select(*QUEUE, F.col("next_off").alias("_n")), QUEUE, "left")
-    return joined.withColumn("off", (F.col("_rn") + F.coalesce("_n", F.lit(0))).cast("long")).drop("_rn", "_n")
+        return placed.select(*rows.columns, "off")
+    joined = placed.join(next_offsets.select(*QUEUE, F.col("next_off").alias("_n")), QUEUE, "left")
+    return joined.withColumn("off", F.col("off") + F.coalesce("_n", F.lit(0))).select(*rows.columns, "off")

@@ -71,6 +71,12 @@ def next_deliverable(asked: DataFrame, state: DataFrame, frontiers: DataFrame) -
     return out.select(*asked.columns, F.least("upper", F.greatest(F.coalesce("_end", "_from"), "_from")).alias("next_off"))
 
 
+def dead_letter_messages(msgs: DataFrame, settled: DataFrame, suffix: str = ".dead") -> DataFrame:
+    """The messages that were settled without an ack, under the topic that collects them: with reason and source_off, to be appended there."""
+    gone = settled.filter("reason <> 'ack'").select(*OFFSET, "reason")
+    return msgs.join(gone, OFFSET).withColumnRenamed("off", "source_off").withColumn("topic", F.concat("topic", F.lit(suffix)))
+
+
 def keep_enqueued(items: DataFrame, state: DataFrame) -> DataFrame:
     """The items whose offset is enqueued; of an unknown queue none stay."""
     return items.join(state.filter("enqueued").select(*OFFSET), OFFSET, "left_semi")

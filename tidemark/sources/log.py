@@ -1,34 +1,42 @@
 """The segmented log as a Spark data source: batch and streaming reads, batch and streaming writes.
 
-    spark.dataSource.register(LogDataSource)
+    register(spark)
     spark.read.format("tidemark").option("path", root).load()
+    append(df, root)
 
 Options: path; kind (messages, events); topic, part to narrow; corruption (resync, stop, fail); verifyCrc;
-includePayload; decodeEvents (event columns instead of payloads); maxRecordsPerBatch and startingOffsets (earliest, latest) for streams; indexStride and
-segmentBytes for writes.
-
-A log lives in ``<path>/<kind>/<topic>/<part>/segments``. Filters on topic, part and offset prune logs and
-segments by their names, and reads start at a sparse index entry. Segments are read by executors, so the
-path must be one that the driver and the executors share. Reading never changes a file: repair is
-logical, by stopping at the last good record. Writing lays out new segments in a folder of the attempt and
-the driver moves them into place, so a lost task leaves nothing behind.
+includePayload; decodeEvents (event columns instead of payloads); maxRecordsPerBatch and startingOffsets (earliest, latest) for
+streams; splitBytes for reads; indexStride, segmentBytes, rollBatch (records that stay in one segment), commitId and lockSeconds for writes.
+
+A log lives in ``<path>/<kind>/<topic>/<part>/segments``, on any file system that pyarrow opens; driver and executors must share it.
+Filters on topic, part and offset prune logs and segments by their names, large segments are cut into byte ranges, and each task reads
+its range only, from a sparse index entry on. Reading never changes a file: repair is logical, by stopping at the last good record.
+
+Writing lays out new segments in a folder of the attempt, a batch of records at a time; the driver moves them into place in one commit.
+Rows without an offset are numbered from the log's end. A commit that is brought again under the same commitId (streams: the
+query's checkpoint and the batch number) has no effect; any other rows that lie below a log's end are refused with Conflict,
+before anything is moved. A lost task or driver leaves nothing that is read, and a commit that broke off is replaced when it comes again.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
+import hashlib
+import itertools
+import json
 import time
 import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from tidemark.functions import codec
+from tidemark.sources.store import IO, Conflict, LogError, Store
 
 COLUMNS = ("topic", "part", "kind", "offset", "timestamp_ms", "flags", "headers", "payload", "segment_base", "file_pos")
 SCHEMA = "topic string, part long, kind string, offset long, timestamp_ms long, flags int, headers binary, payload binary, segment_base long, file_pos long"
@@ -39,64 +47,74 @@ SAFE = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ012345678
 ROWS = 8192
 
 
+SPLIT, THREADS = 32 << 20, 16
+
+
 def component(name: str) -> str:
     return "".join(chr(b) if b in SAFE else f"%{b:02X}" for b in name.encode())
 
 
-def log_dir(root: str, kind: str, topic: str, part: int) -> str:
-    return os.path.join(root, kind, component(topic), f"{part:010d}")
+def log_dir(store: Store, kind: str, topic: str, part: int) -> str:
+    return store.at(kind, component(topic), f"{part:010d}")
 
 
-def bases(path: str) -> list[int]:
-    """The bases of a log's segments, in order."""
-    try:
-        return sorted(int(f[:-4]) for f in os.listdir(os.path.join(path, "segments")) if f.endswith(".log"))
-    except FileNotFoundError:
-        return []
+def segments(store: Store, log: str) -> list[tuple[int, int]]:
+    """(base, bytes) of a log's segments, in order."""
+    return [(int(name[:-4]), size) for name, size in store.entries(f"{log}/segments") if name.endswith(".log") and name[:-4].isdigit()]
 
 
-def logs(root: str, kind: str) -> list[tuple[str, int]]:
+def bases(store: Store, log: str) -> list[int]:
+    return [base for base, _ in segments(store, log)]
+
+
+def logs(store: Store, kind: str) -> list[tuple[str, int]]:
     """(topic, part) of each log there; a folder whose name isn't a number is an error."""
-    top, found = os.path.join(root, kind), []
-    for name in sorted(os.listdir(top)) if os.path.isdir(top) else []:
-        for part in sorted(os.listdir(os.path.join(top, name))):
+    found = []
+    topics = [name for name, size in store.entries(store.at(kind)) if size is None]
+    for name, parts in zip(topics, in_parallel(lambda t: store.entries(store.at(kind, t)), topics), strict=True):
+        for part, _ in parts:
             if not part.isdigit():
-                raise ValueError(f"{name}/{part} is no partition folder")
+                raise LogError("BadName", f"{name}/{part} is no partition folder")
             found.append((unquote(name), int(part)))
     return found
 
 
-def segment_path(path: str, base: int, kind: str = "log") -> str:
-    return os.path.join(path, "segments", f"{base:020d}.{kind}")
+def in_parallel(f, items: list) -> list:
+    """f of each item; listing and small reads wait for the store, so many are asked at a time."""
+    if len(items) < 2:
+        return [f(x) for x in items]
+    with ThreadPoolExecutor(min(THREADS, len(items))) as pool:
+        return list(pool.map(f, items))
+
 
+def segment_path(log: str, base: int, kind: str = "log") -> str:
+    return f"{log}/segments/{base:020d}.{kind}"
 
-def read_file(path: str) -> bytes:
-    try:
-        with open(path, "rb") as f:
-            return f.read()
-    except FileNotFoundError:
-        return b""
 
+def index_of(store: Store, log: str, base: int) -> list[tuple[int, int]]:
+    """(offset, byte position) at which reading a segment can begin."""
+    entries = codec.read_index(store.read(segment_path(log, base, "idx")))
+    return [(base, codec.SEGMENT_HEAD), *((base + rel, pos) for rel, pos in entries)]
 
-def last_offset(path: str, base: int) -> int | None:
+
+def last_offset(store: Store, log: str, base: int) -> int | None:
     """The last good offset of a segment, read from its last index entry on."""
-    buf = read_file(segment_path(path, base))
-    entries = codec.read_index(read_file(segment_path(path, base, "idx")))
-    last = None
-    for start in ([entries[-1][1]] if entries else []) + [codec.SEGMENT_HEAD]:
-        for _, r in codec.scan(buf, start, "stop", payload=False):
+    starts = index_of(store, log, base)
+    for _, pos in dict.fromkeys((starts[-1], starts[0])):
+        last = None
+        for _, r in codec.scan(store.read(segment_path(log, base), pos), 0, "stop", payload=False):
             last = r.offset
         if last is not None:
             return last
-    return last
+    return None
 
 
-def watermarks(path: str) -> dict:
+def watermarks(store: Store, log: str) -> dict:
     """head (first), tail (one past the last), durable (the last or None) of a log."""
-    found, manifest = bases(path), read_file(os.path.join(path, "manifest.bin"))
+    found, manifest = bases(store, log), store.read(f"{log}/manifest.bin")
     known = codec.decode_manifest(manifest) if manifest else {}
     for base in reversed(found):
-        if (last := last_offset(path, base)) is not None:
+        if (last := last_offset(store, log, base)) is not None:
             return {"head": found[0], "tail": last + 1, "durable": last}
     tail = max([known.get("next_offset", 0), *found[-1:]])
     return {"head": found[0] if found else known.get("head_offset", 0), "tail": tail, "durable": None}
@@ -104,12 +122,12 @@ def watermarks(path: str) -> dict:
 
 @dataclass
 class Piece(InputPartition):
-    """Part of a segment: bytes from ``begin``, offsets in [low, high)."""
+    """Bytes of a segment and the offsets [low, high) wanted of them. Unless ``exact``, the task moves both ends to index entries."""
 
-    def __init__(self, topic: str, part: int, path: str, base: int, begin: int, low: int, high: int | None, end: int | None = None):
+    def __init__(self, topic: str, part: int, base: int, begin: int, end: int | None, low: int, high: int | None, exact: bool):
         super().__init__(None)
-        self.topic, self.part, self.path, self.base = topic, part, path, base
-        self.begin, self.low, self.high, self.end = begin, low, high, end
+        self.topic, self.part, self.base = topic, part, base
+        self.begin, self.end, self.low, self.high, self.exact = begin, end, low, high, exact
 
 
 class Options:
@@ -128,23 +146,37 @@ class Options:
         self.batch = int(get("maxRecordsPerBatch", 100_000))
         self.starting = get("startingOffsets", "earliest")
         self.stride, self.segment_bytes = int(get("indexStride", 65_536)), int(get("segmentBytes", 256 << 20))
-        self.split = int(get("splitBytes", 32 << 20))
+        self.split, self.roll, self.lock = int(get("splitBytes", SPLIT)), max(1, int(get("rollBatch", 1))), float(get("lockSeconds", 600))
+        where = get("checkpointLocation", None)
+        self.commit_id = get("commitId", None) or (hashlib.sha256(where.encode()).hexdigest()[:24] if where else None)
         if self.events:
             self.kind, self.payload = "events", True
 
+    @property
+    def store(self) -> Store:
+        return Store(self.path)
+
     def chosen(self) -> list[tuple[str, int]]:
         if self.topic is not None and self.part is not None:
             return [(self.topic, int(self.part))]
-        return [(t, p) for t, p in logs(self.path, self.kind) if self.topic in (None, t) and self.part in (None, str(p))]
+        return [(t, p) for t, p in logs(self.store, self.kind) if self.topic in (None, t) and self.part in (None, str(p))]
 
 
 def read_piece(o: Options, x: Piece) -> Iterator[pa.RecordBatch]:
-    buf = read_file(segment_path(x.path, x.base))
-    if not buf:
+    store = o.store
+    log = log_dir(store, o.kind, x.topic, x.part)
+    path, begin, end, floor = segment_path(log, x.base), x.begin, x.end, x.low
+    if not x.exact:
+        starts = index_of(store, log, x.base)
+        mine = [s for s in starts if s[1] >= begin and (end is None or s[1] < end)]
+        if not mine:
+            return
+        floor, begin = max(floor, mine[0][0]), mine[0][1]
+        end = next((pos for _, pos in starts if end is not None and pos >= end), None)
+    head = store.read(path, 0, codec.SEGMENT_HEAD)
+    if not head:
         return
-    codec.check_segment(buf)
-    if x.end is not None:
-        buf = buf[: x.end]
+    codec.check_segment(head)
     rows: list[tuple] = []
 
     def batch() -> pa.RecordBatch:
@@ -153,14 +185,13 @@ def read_piece(o: Options, x: Piece) -> Iterator[pa.RecordBatch]:
             return pa.RecordBatch.from_pylist(made, schema=EVENT_ARROW)
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], ARROW.field(k).type) for k in range(len(COLUMNS))], schema=ARROW)
 
-    floor = x.low
-    for pos, r in codec.scan(buf, x.begin, o.corruption, o.verify, o.payload):
+    for pos, r in codec.scan(store.read(path, begin, end), 0, o.corruption, o.verify, o.payload):
         if x.high is not None and r.offset >= x.high:
             break
         if r.offset < floor:  # before the range, or a repeat behind a repair
             continue
         floor = r.offset + 1
-        rows.append((x.topic, x.part, o.kind, r.offset, r.timestamp_ms, r.flags, r.headers, r.payload if o.payload else None, x.base, pos))
+        rows.append((x.topic, x.part, o.kind, r.offset, r.timestamp_ms, r.flags, r.headers, r.payload if o.payload else None, x.base, begin + pos))
         if len(rows) >= ROWS:
             yield batch()
             rows = []
@@ -169,24 +200,28 @@ def read_piece(o: Options, x: Piece) -> Iterator[pa.RecordBatch]:
 
 
 def pieces(o: Options, topic: str, part: int, low: int, high: int | None) -> list[Piece]:
-    """Byte ranges that cover the offsets [low, high) of a log; large segments are cut at index entries."""
-    path = log_dir(o.path, o.kind, topic, part)
-    found, out = bases(path), []
-    for i, base in enumerate(found):
-        until = found[i + 1] if i + 1 < len(found) else None
+    """Byte ranges that cover the offsets [low, high) of a log.
+
+    Names and sizes of segments are all that is needed for those that are wanted as a whole; an index is read here only where a
+    range begins or ends within a segment.
+    """
+    store = o.store
+    log = log_dir(store, o.kind, topic, part)
+    found, out = segments(store, log), []
+    for i, (base, size) in enumerate(found):
+        until = found[i + 1][0] if i + 1 < len(found) else None
         if (until is not None and until <= low) or (high is not None and base >= high):
             continue
-        entries = codec.read_index(read_file(segment_path(path, base, "idx")))
-        starts = [(base, codec.SEGMENT_HEAD), *((base + rel, pos) for rel, pos in entries)]
-        at = max(0, bisect_right([s[0] for s in starts], low) - 1)
-        cuts = [starts[at]]
-        for s in starts[at + 1 :]:
-            if (high is None or s[0] < high) and s[1] - cuts[-1][1] >= o.split:
-                cuts.append(s)
-        for k, (first, pos) in enumerate(cuts):
-            end = cuts[k + 1] if k + 1 < len(cuts) else None
-            to = end[0] if end else high
-            out.append(Piece(topic, part, path, base, pos, max(low, first if k else low), to if high is None or to is None else min(to, high), end[1] if end else None))
+        top = min((x for x in (high, until) if x is not None), default=None)
+        begin, end, exact = 0, size, False
+        if low > base or (high is not None and (until is None or high < until)):
+            starts = index_of(store, log, base)
+            begin = starts[max(0, bisect_right([s[0] for s in starts], low) - 1)][1]
+            end = next((pos for off, pos in starts if high is not None and off >= high), size)
+            exact = end - begin <= o.split
+        for at in [begin] if exact else range(begin, end, o.split):
+            to = end if exact or at + o.split >= end else at + o.split
+            out.append(Piece(topic, part, base, at, None if to >= size else to, low, top, exact))
     return out
 
 
@@ -197,6 +232,19 @@ class LogReader(DataSourceReader):
         self.parts: set | None = None
         self.low, self.high = 0, None
 
+    def partitions(self):
+        wanted = [(t, p) for t, p in self.o.chosen() if (self.topics is None or t in self.topics) and (self.parts is None or p in self.parts)]
+        if self.high is not None and self.low >= self.high:
+            wanted = []
+        found = in_parallel(lambda w: pieces(self.o, *w, self.low, self.high), wanted)
+        return [x for p in found for x in p] or [Piece("", 0, -1, 0, 0, 0, 0, True)]
+
+    def read(self, partition):
+        if partition.base >= 0:
+            yield from read_piece(self.o, partition)
+
+
+class PushingReader(LogReader):
     def pushFilters(self, filters):
         """Takes over filters on topic, part and offset; the others stay with Spark."""
         at = "seq" if self.o.events else "offset"
@@ -224,16 +272,6 @@ class LogReader(DataSourceReader):
         self.low = max(self.low, low)
         self.high = high if self.high is None else self.high if high is None else min(self.high, high)
 
-    def partitions(self):
-        wanted = [(t, p) for t, p in self.o.chosen() if (self.topics is None or t in self.topics) and (self.parts is None or p in self.parts)]
-        if self.high is not None and self.low >= self.high:
-            wanted = []
-        return [x for t, p in wanted for x in pieces(self.o, t, p, self.low, self.high)] or [Piece("", 0, "", 0, 0, 0, 0)]
-
-    def read(self, partition):
-        if partition.path:
-            yield from read_piece(self.o, partition)
-
 
 class LogStreamReader(DataSourceStreamReader):
     """Offsets are {"topic/part": next offset}; each micro-batch reads up to maxRecordsPerBatch of each log."""
@@ -245,7 +283,9 @@ class LogStreamReader(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         if self.o.starting == "latest":
             return self._tails()
-        return {self._key(t, p): min(bases(log_dir(self.o.path, self.o.kind, t, p)), default=0) for t, p in self.o.chosen()}
+        store, wanted = self.o.store, self.o.chosen()
+        found = in_parallel(lambda w: min(bases(store, log_dir(store, self.o.kind, *w)), default=0), wanted)
+        return {self._key(t, p): n for (t, p), n in zip(wanted, found, strict=True)}
 
     def latestOffset(self) -> dict:
         tails = self._tails()
@@ -259,7 +299,9 @@ class LogStreamReader(DataSourceStreamReader):
         return f"{component(topic)}/{part}"
 
     def _tails(self) -> dict:
-        return {self._key(t, p): watermarks(log_dir(self.o.path, self.o.kind, t, p))["tail"] for t, p in self.o.chosen()}
+        store, wanted = self.o.store, self.o.chosen()
+        found = in_parallel(lambda w: watermarks(store, log_dir(store, self.o.kind, *w))["tail"], wanted)
+        return {self._key(t, p): n for (t, p), n in zip(wanted, found, strict=True)}
 
     def partitions(self, start: dict, end: dict):
         self.at = {**end, **(self.at or {})}
@@ -280,115 +322,253 @@ class LogStreamReader(DataSourceStreamReader):
 
 @dataclass
 class Laid(WriterCommitMessage):
-    """Segments that a task has laid out: (topic, part, folder, bases, next offset)."""
+    """What a task has laid out: (topic, part, folder, bases, first offset, next offset, records)."""
 
     made: list
 
 
-class LogWriter(DataSourceWriter, DataSourceStreamWriter):
-    """Rows need topic, part, offset and payload; timestamp_ms, flags and headers may be missing.
-
-    The rows of a log must come to one task and in order of offset:
+class Layout:
+    """Lays out the records of one log as segments in ``folder``, a batch at a time: no more than a batch and an index are held."""
+
+    def __init__(self, o: Options, store: Store, folder: str, topic: str, part: int, now: int):
+        self.o, self.store, self.folder, self.topic, self.part, self.now = o, store, folder, topic, part, now
+        self.bases: list[int] = []
+        self.first = self.next = None
+        self.n, self.size, self.file = 0, 0, None
+        self.waiting: list[codec.Record] = []
+
+    def number(self, n: int) -> list[int]:
+        """Offsets for the next ``n`` records, from the log's end on."""
+        at = self.next if self.next is not None else watermarks(self.store, log_dir(self.store, self.o.kind, self.topic, self.part))["tail"]
+        return list(range(at, at + n))
+
+    def add(self, records: list[codec.Record]) -> None:
+        for r in records:
+            if self.next is not None and r.offset < self.next:
+                raise Conflict("OutOfOrder", f"{self.topic}/{self.part}: offset {r.offset} after {self.next - 1}")
+            self.first = r.offset if self.first is None else self.first
+            self.next = r.offset + 1
+        self.n += len(records)
+        self.waiting += records
+        whole = len(self.waiting) // self.o.roll * self.o.roll
+        self._lay(self.waiting[:whole])
+        self.waiting = self.waiting[whole:]
+
+    def _lay(self, records: list[codec.Record]) -> None:
+        frames = codec.encode_records(records)
+        for at in range(0, len(records), self.o.roll):
+            together = sum(map(len, frames[at : at + self.o.roll]))
+            if self.file is None or (self.size > codec.SEGMENT_HEAD and self.size + together > self.o.segment_bytes):
+                self._roll(records[at].offset)
+            for r, frame in zip(records[at : at + self.o.roll], frames[at : at + self.o.roll], strict=True):
+                if self.size - self.mark >= self.o.stride:
+                    self.index.add(r.offset, self.size)
+                    self.mark = self.size
+                self.file.write(frame)
+                self.size += len(frame)
+                IO["bytes_written"] += len(frame)
+
+    def _roll(self, base: int) -> None:
+        self._seal()
+        self.bases.append(base)
+        self.open = self.store.create(segment_path(self.folder, base))
+        self.file = self.open.__enter__()
+        self.file.write(codec.segment_head(base, self.now))
+        self.index, self.size, self.mark = codec.IndexWriter(base, self.now), codec.SEGMENT_HEAD, codec.SEGMENT_HEAD
+
+    def _seal(self) -> None:
+        if self.file is not None:
+            self.open.__exit__(None, None, None)
+            with self.store.create(segment_path(self.folder, self.bases[-1], "idx")) as f:
+                f.write(self.index.bytes())
+
+    def close(self) -> tuple:
+        if self.waiting:
+            self._lay(self.waiting)
+        self._seal()
+        return self.topic, self.part, self.folder, self.bases, self.first, self.next, self.n
+
+
+class LogWriter(DataSourceArrowWriter, DataSourceStreamArrowWriter):
+    """Rows need topic, part and payload; offset, timestamp_ms, flags and headers may be missing. Without offsets rows are numbered as they come.
+
+    The rows of a log must come to one task and in order: append() sees to that, or
     ``df.repartition("topic", "part").sortWithinPartitions("topic", "part", "offset")``.
     """
 
     def __init__(self, options: dict, columns: list[str], overwrite: bool = False):
         self.o, self.columns, self.overwrite = Options(options), columns, overwrite
-        self.stage = os.path.join(self.o.path, "tmp", uuid.uuid4().hex)
+        self.attempt = uuid.uuid4().hex
+
+    @property
+    def stage(self) -> str:
+        return self.o.store.at("tmp", self.attempt)
 
     def write(self, iterator) -> Laid:
-        own, now, made = os.path.join(self.stage, uuid.uuid4().hex), int(time.time() * 1000), []
-        group: list = []
-
-        def close() -> None:
-            if group:
-                made.append(lay_out(self.o, os.path.join(own, str(len(made))), group[0][0], group[0][1], [r for _, _, r in group], now))
-                group.clear()
-
-        for row in iterator:
-            get = lambda c, d=None, row=row: row[c] if c in self.columns and row[c] is not None else d
-            if group and (row["topic"], row["part"]) != group[0][:2]:
-                close()
-            group.append((row["topic"], row["part"], codec.Record(row["offset"], get("timestamp_ms", now), get("flags", 0), bytes(get("headers", b"")), bytes(get("payload", b"")))))
-        close()
+        store, now, made, current = self.o.store, int(time.time() * 1000), [], None
+        own = f"{self.stage}/{uuid.uuid4().hex}"
+        for b in iterator:
+            cols = {c: b.column(i).to_pylist() for i, c in enumerate(b.schema.names) if c in ("topic", "part", "offset", "timestamp_ms", "flags", "headers", "payload")}
+            spare = [None] * b.num_rows
+            get = lambda c, cols=cols, spare=spare: cols.get(c, spare)
+            at = 0
+            for key, run in itertools.groupby(zip(cols["topic"], cols["part"], strict=True)):
+                n = len(list(run))
+                if current is None or (current.topic, current.part) != key:
+                    if current is not None:
+                        made.append(current.close())
+                    current = Layout(self.o, store, f"{own}/{len(made)}", *key, now)
+                part = slice(at, at + n)
+                if "offset" in cols:
+                    offsets = get("offset")[part]
+                elif self.overwrite:
+                    offsets = list(range(current.next or 0, (current.next or 0) + n))
+                else:
+                    offsets = current.number(n)
+                current.add([codec.Record(o, now if t is None else t, f or 0, bytes(h or b""), bytes(p or b"")) for o, t, f, h, p in zip(offsets, get("timestamp_ms")[part], get("flags")[part], get("headers")[part], get("payload")[part], strict=True)])
+                at += n
+        if current is not None:
+            made.append(current.close())
         return Laid(made)
 
     def commit(self, messages, batch_id: int | None = None) -> None:
-        if self.overwrite:
-            shutil.rmtree(os.path.join(self.o.path, self.o.kind), ignore_errors=True)
-        for m in messages:
-            for topic, part, folder, found, nxt in m.made if m else []:
-                publish(self.o, topic, part, folder, found, nxt)
-        shutil.rmtree(self.stage, ignore_errors=True)
+        store, o = self.o.store, self.o
+        made = sorted((x for m in messages if m for x in m.made), key=lambda x: (x[0], x[1], x[4]))
+        with store.lock(store.at("locks", f"{o.kind}.lock"), o.lock):
+            old = store.at("tmp", f"old-{self.attempt}")
+            if self.overwrite and store.exists(store.at(o.kind)):
+                store.move(store.at(o.kind), old)
+            try:
+                publish(o, store, made, o.commit_id or self.attempt, batch_id or 0)
+            except Exception:
+                if self.overwrite and store.exists(old):
+                    store.remove_tree(store.at(o.kind))
+                    store.move(old, store.at(o.kind))
+                raise
+            finally:
+                store.remove_tree(self.stage)
+            store.remove_tree(old)
 
     def abort(self, messages, batch_id: int | None = None) -> None:
-        shutil.rmtree(self.stage, ignore_errors=True)
-
-
-def lay_out(o: Options, folder: str, topic: str, part: int, records: list[codec.Record], now: int) -> tuple:
-    """Write the records of a log as segments and indexes into ``folder``."""
-    os.makedirs(os.path.join(folder, "segments"))
-    found, at = [], 0
-    frames = codec.encode_records(records)
-    while at < len(records):
-        base, to, size = records[at].offset, at, codec.SEGMENT_HEAD
-        body, index, mark = [codec.segment_head(base, now)], [codec.index_head(base, now)], codec.SEGMENT_HEAD
-        while to < len(records) and (to == at or size + len(frames[to]) <= o.segment_bytes):
-            if size - mark >= o.stride:
-                index.append(codec.index_entry(base, records[to].offset, size))
-                mark = size
-            body.append(frames[to])
-            size += len(frames[to])
-            to += 1
-        for suffix, parts in (("log", body), ("idx", index)):
-            with open(segment_path(folder, base, suffix), "wb") as f:
-                f.write(b"".join(parts))
-                f.flush()
-                os.fsync(f.fileno())
-        found.append(base)
-        at = to
-    return topic, part, folder, found, records[-1].offset + 1
-
-
-def publish(o: Options, topic: str, part: int, folder: str, found: list[int], nxt: int) -> None:
-    """Move laid-out segments into the log and replace its manifest. A segment that is there already stays: the batch was committed before."""
-    path = log_dir(o.path, o.kind, topic, part)
-    os.makedirs(os.path.join(path, "segments"), exist_ok=True)
-    for base in found:
-        for suffix in ("idx", "log"):  # a segment counts once its log is there
-            if not os.path.exists(segment_path(path, base, suffix)):
-                os.replace(segment_path(folder, base, suffix), segment_path(path, base, suffix))
-    store_manifest(o, path, nxt)
-
-
-def store_manifest(o: Options, path: str, nxt: int) -> None:
-    found, now = bases(path), int(time.time() * 1000)
-    new, old = os.path.join(path, f"manifest.{uuid.uuid4().hex}"), os.path.join(path, "manifest.bin")
-    known = codec.decode_manifest(read_file(old)) if os.path.exists(old) else {}
-    with open(new, "wb") as f:
-        f.write(codec.encode_manifest(known.get("created_ms", now), o.segment_bytes, o.stride, found[-1] if found else nxt, max(nxt, known.get("next_offset", 0)), found[0] if found else nxt))
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(new, old)
+        self.o.store.remove_tree(self.stage)
+
+
+def commit_path(log: str, commit_id: str) -> str:
+    return f"{log}/commits/{component(commit_id)}.json"
+
+
+def known_commit(store: Store, log: str, commit_id: str) -> dict | None:
+    """What a log knows of a commit: batch, done, bases, first, next, n."""
+    found = store.read(commit_path(log, commit_id))
+    return json.loads(found) if found else None
+
+
+def publish(o: Options, store: Store, made: list[tuple], commit_id: str, batch: int) -> None:
+    """Move laid-out segments (in order of log and offset) into their logs. All logs are checked before anything is moved."""
+    todo = []
+    for (topic, part), group in itertools.groupby(made, key=lambda x: x[:2]):
+        log, group = log_dir(store, o.kind, topic, part), [x for x in group if x[6]]
+        if not group:
+            continue
+        known = known_commit(store, log, commit_id)
+        if known and (known["batch"] > batch or (known["batch"] == batch and known["done"])):
+            continue
+        if known and not known["done"]:  # it broke off: what it had moved goes
+            for base in known["bases"]:
+                for suffix in ("log", "idx"):
+                    store.remove(segment_path(log, base, suffix))
+        for x, y in itertools.pairwise(group):
+            if y[4] < x[5]:
+                raise Conflict("Overlap", f"{topic}/{part}: [{x[4]}, {x[5]}) and [{y[4]}, {y[5]}) came from different tasks; deal rows by topic and part")
+        tail = watermarks(store, log)["tail"]
+        if group[0][4] < tail:
+            raise Conflict("Overlap", f"{topic}/{part}: offsets from {group[0][4]} on, but the log goes to {tail}")
+        todo.append((log, group))
+    for log, group in todo:
+        record = {"batch": batch, "done": False, "bases": [b for x in group for b in x[3]], "first": group[0][4], "next": group[-1][5], "n": sum(x[6] for x in group)}
+        store.put(commit_path(log, commit_id), json.dumps(record).encode())
+        for _, _, folder, found, *_ in group:
+            for base in found:
+                for suffix in ("idx", "log"):  # a segment counts once its log is there
+                    store.move(segment_path(folder, base, suffix), segment_path(log, base, suffix))
+        store_manifest(o, store, log, group[-1][5])
+        store.put(commit_path(log, commit_id), json.dumps({**record, "done": True}).encode())
+
+
+def store_manifest(o: Options, store: Store, log: str, nxt: int) -> None:
+    found, now, old = bases(store, log), int(time.time() * 1000), store.read(f"{log}/manifest.bin")
+    known = codec.decode_manifest(old) if old else {}
+    store.put(f"{log}/manifest.bin", codec.encode_manifest(known.get("created_ms", now), o.segment_bytes, o.stride, found[-1] if found else nxt, max(nxt, known.get("next_offset", 0)), found[0] if found else nxt))
 
 
 def truncate_before(root: str, kind: str, topic: str, part: int, before: int) -> int:
     """Delete sealed segments whose records all lie before ``before``; the head that remains."""
-    path = log_dir(root, kind, topic, part)
-    found = bases(path)
-    for base, nxt in zip(found, found[1:], strict=False):
+    store = Store(root)
+    log = log_dir(store, kind, topic, part)
+    found = bases(store, log)
+    for base, nxt in itertools.pairwise(found):
         if nxt - 1 >= before:
             break
         for suffix in ("idx", "log"):
-            if os.path.exists(segment_path(path, base, suffix)):
-                os.remove(segment_path(path, base, suffix))
-    left = bases(path)
+            store.remove(segment_path(log, base, suffix))
+    left = bases(store, log)
     if left and left != found:
-        store_manifest(Options({"path": root}), path, 0)
+        store_manifest(Options({"path": root}), store, log, 0)
     return left[0] if left else 0
 
 
+def cleanup(frontiers: DataFrame, root: str, kind: str = "messages") -> DataFrame:
+    """(topic, part, before, head): truncate each queue's log before its frontier (topic, part, acked_until), by the executors."""
+    from tidemark.sources.shared import cut
+
+    def run(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            heads = in_parallel(lambda r: truncate_before(root, kind, r["topic"], r["part"], r["before"]), rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heads, pa.int64())], names=["topic", "part", "before", "head"])
+
+    cutoffs = frontiers.selectExpr("topic", "cast(part as bigint) as part", "cast(acked_until as bigint) as before")
+    return cut(cutoffs.mapInArrow(run, "topic string, part long, before long, head long"))
+
+
+def ends(spark: SparkSession, root: str, kind: str = "messages", commit_id: str | None = None) -> DataFrame:
+    """(topic, part, next_off): where each log goes on. With ``commit_id``, where that commit began if it was made before."""
+    store = Store(root)
+
+    def end(key: tuple[str, int]) -> int:
+        log = log_dir(store, kind, *key)
+        known = known_commit(store, log, commit_id) if commit_id else None
+        return known["first"] if known else watermarks(store, log)["tail"]
+
+    found = logs(store, kind)
+    rows = [(t, p, n) for (t, p), n in zip(found, in_parallel(end, found), strict=True)]
+    return spark.createDataFrame(rows, "topic string, part long, next_off long")
+
+
+def append(df: DataFrame, root: str, order: list[str] | None = None, kind: str = "messages", commit_id: str | None = None, **options) -> DataFrame:
+    """Append rows in one commit; (topic, part, first_offset, next_offset, n) of each log once they are on disk.
+
+    ``df`` is numbered from the log's end in ``order``, or has offsets already. Called again with the same ``commit_id`` it appends
+    nothing and gives the same answer. Each log's rows go to one task, as they go into one file after another.
+    """
+    spark, own = df.sparkSession, commit_id or f"append-{uuid.uuid4().hex}"
+    by = ["offset"] if "offset" in df.columns else list(order or [])
+    register(spark)
+    writer = df.repartition("topic", "part").sortWithinPartitions("topic", "part", *by).write.format("tidemark").options(path=root, kind=kind, commitId=own, **options)
+    writer.mode("append").save()
+    store = Store(root)
+    found = logs(store, kind)
+    known = in_parallel(lambda k: known_commit(store, log_dir(store, kind, *k), own), found)
+    if commit_id is None:  # nobody can bring it again
+        in_parallel(lambda k: store.remove(commit_path(log_dir(store, kind, *k), own)), found)
+    return spark.createDataFrame([(t, p, r["first"], r["next"], r["n"]) for (t, p), r in zip(found, known, strict=True) if r], "topic string, part long, first_offset long, next_offset long, n long")
+
+
 class LogDataSource(DataSource):
+    """Works with Spark's default settings; register() adds filters that prune segments."""
+
+    reading = LogReader
+
     @classmethod
     def name(cls) -> str:
         return "tidemark"
@@ -397,7 +577,7 @@ class LogDataSource(DataSource):
         return EVENT_SCHEMA if Options(self.options).events else SCHEMA
 
     def reader(self, schema) -> LogReader:
-        return LogReader(self.options)
+        return self.reading(self.options)
 
     def streamReader(self, schema) -> LogStreamReader:
         return LogStreamReader(self.options)
@@ -409,3 +589,11 @@ class LogDataSource(DataSource):
         return LogWriter(self.options, schema.names, overwrite)
 
 
+class PushingLogDataSource(LogDataSource):
+    reading = PushingReader
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format known to the session, with filters that are taken over by the source."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PushingLogDataSource)
