@@ -105,7 +105,19 @@ BATCHED = f"""WITH RECURSIVE {MSGS}, r AS (SELECT topic, part, off, ts_ms, {SIZE
   SELECT topic, part, batch, max(held) AS n, max(bytes) AS bytes, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM walk GROUP BY ALL
 ) """
 
+RECORDS = M + "SELECT topic, part, off AS offset, ts_ms AS timestamp_ms, cast(flags AS INTEGER) AS flags, md5(props) AS payload_md5 FROM msgs"
+
 ORACLE_SQL = {
+    "log_append_twice": RECORDS,
+    "log_append_again": RECORDS,
+    "log_scan_range": RECORDS + " WHERE off >= 17 AND off < 120",
+    "log_point_fetch": RECORDS + " WHERE topic = 'view' AND part = 2 AND off = 7",
+    "log_watermarks": M + "SELECT topic, part, 0 AS head, count(*) AS tail, count(*) - 1 AS durable, (count(*) + 49) // 50 AS segments FROM msgs GROUP BY ALL",
+    "log_resync": RECORDS + " WHERE off <> 5",
+    "log_stop": RECORDS + " WHERE off < 5",
+    "log_torn_tail": RECORDS,
+    "log_cleanup": M + "SELECT topic, part, n // 2 // 50 * 50 AS head, n // 2 // 50 * 50 AS first_read, n - n // 2 // 50 * 50 AS n_read FROM (SELECT topic, part, count(*) AS n FROM msgs GROUP BY ALL)",
+    "dead_letter_routing": SETTLED + "SELECT topic || '.dead' AS topic, part, off AS source_off, reason, md5(props) AS payload_md5 FROM msgs JOIN ended USING (topic, part, off) WHERE reason <> 'ack'",
     "queue_summary": A + """SELECT q.topic, q.part, coalesce(acked_until, 0) AS acked_until, coalesce(n_settled, 0) AS n_settled, coalesce(n_inflight, 0) AS n_inflight,
       coalesce(n_enqueued, 0) AS n_enqueued, min_deadline, applied_upto FROM (SELECT topic, part, max(seq) + 1 AS applied_upto FROM ev GROUP BY ALL) q
       LEFT JOIN (SELECT topic, part, count(*) FILTER (settled) AS n_settled, count(*) FILTER (inflight) AS n_inflight, count(*) FILTER (enqueued) AS n_enqueued, min(deadline) AS min_deadline FROM state GROUP BY ALL) USING (topic, part)
@@ -180,3 +192,4 @@ ORACLE_SQL = {
     "event_codec_roundtrip": A + "SELECT topic, part, seq, event_type, off, retries, deadline, requeue FROM ev",
     "crc32c_check": "SELECT event_id, true AS agrees FROM events",
 }
+ORACLE_SQL |= {"event_log_replay": ORACLE_SQL["queue_summary"], "snapshot_recovery": ORACLE_SQL["offset_state"]}

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec, crc, scalars
-from tidemark.operators import batching, fold, replay, scans, state
+from tidemark.operators import batching, fold, replay, scans, snapshots, state
+from tidemark.operators.events import append_events
 from tidemark.plans import derive
 from tidemark.schemas import QUEUE
+from tidemark.sources import log
+from tidemark.sources.shared import cut, shared_folder
+from tidemark.sources.store import Store
 
 SEGMENT_RECORDS = 50
 
@@ -341,7 +346,115 @@ def incremental_replay_equals_full(s: Source) -> DataFrame:
     return a.exceptAll(b).union(b.exceptAll(a))
 
 
-FUNCTIONS = (queue_summary, ack_frontier, offset_state, offset_state_fold, is_acked_lookup, inflight_dump, inflight_count, next_expiry_hint, next_expiry_hint_global, list_expired, expired_top_k_per_queue, next_deliverable, ready_semi_join, ready_messages, fetch_available_anti_join, retry_counts, dead_letters, retry_exhausted, settlement_reasons, out_of_order_acks, ack_bitmap_sizes, offset_gaps, list_queues, list_topics, validate_violations, canonical_dump, safe_truncate_before, scan_from, fetch_by_offset, head_tail_watermarks, segment_list, segment_floor_lookup, segment_assignment, sparse_index_entries, index_seek, record_positions, record_bytes_len, retention_deletable_segments, retention_new_heads, offset_assignment, batch_linger_sessions, batch_flush_reasons, monotonic_clock, topic_validate, topic_error_class, path_encode, segment_file_names, durability_levels, codec_roundtrip, event_codec_roundtrip, crc32c_check, incremental_replay, incremental_replay_equals_full)
+COLUMNS = ("topic", "part", "offset", "timestamp_ms", "flags", "payload")
+
+
+def folder(s: Source) -> str:
+    return f"{shared_folder(s.spark)}/log-{uuid.uuid4().hex}"
+
+
+def stored(s: Source, rows: DataFrame | None = None, path: str | None = None, **options) -> str:
+    """A folder with the messages' logs, appended in order of event_id and numbered by the log."""
+    path = path or folder(s)
+    rows = s.messages if rows is None else rows
+    log.append(rows.select(*QUEUE, "event_id", F.col("ts_ms").alias("timestamp_ms"), "flags", "headers", "payload"), path, ["event_id"], **options)
+    return path
+
+
+def read(s: Source, path: str, **options) -> DataFrame:
+    return s.spark.read.format("tidemark").options(path=path, **options).load()
+
+
+def digested(df: DataFrame) -> DataFrame:
+    return df.select(*COLUMNS[:-1], F.md5("payload").alias("payload_md5"))
+
+
+def damaged(s: Source, path: str, at: int, change) -> None:
+    """Change the bytes of each log's record ``at``; change(bytes of the segment, position) gives the new ones."""
+    store = Store(path)
+    for r in read(s, path).filter(F.col("offset") == at).select(*QUEUE, "segment_base", "file_pos").collect():
+        file = log.segment_path(log.log_dir(store, "messages", r["topic"], r["part"]), r["segment_base"])
+        store.put(file, change(store.read(file), r["file_pos"]))
+
+
+def log_append_twice(s: Source) -> DataFrame:
+    """Two appends of other rows to the same logs: nothing is lost and numbers go on."""
+    half = s.messages.agg(F.floor(F.max("event_id") / 2)).first()[0] or 0
+    path = stored(s, s.messages.filter(F.col("event_id") <= half))
+    return digested(read(s, stored(s, s.messages.filter(F.col("event_id") > half), path)))
+
+
+def log_append_again(s: Source) -> DataFrame:
+    """The same commit brought twice: it counts once."""
+    path = stored(s, commit_id="once")
+    return digested(read(s, stored(s, path=path, commit_id="once")))
+
+
+def log_scan_range(s: Source) -> DataFrame:
+    return digested(read(s, stored(s, segmentBytes=4096, indexStride=512)).filter("offset >= 17 and offset < 120"))
+
+
+def log_point_fetch(s: Source) -> DataFrame:
+    return digested(read(s, stored(s, segmentBytes=4096, indexStride=512)).filter("topic = 'view' and part = 2 and offset = 7"))
+
+
+def log_watermarks(s: Source) -> DataFrame:
+    """Head, tail and last durable offset, from the files of logs in segments of 50 records."""
+    return log.status(s.spark, stored(s, segmentBytes=100, rollBatch=50)).select(*QUEUE, "head", "tail", "durable", "segments")
+
+
+def log_resync(s: Source) -> DataFrame:
+    """A damaged record in each log: the next good frame is found."""
+    path = stored(s)
+    damaged(s, path, 5, lambda buf, at: buf[: at + 40] + bytes([buf[at + 40] ^ 1]) + buf[at + 41 :])
+    return digested(read(s, path))
+
+
+def log_stop(s: Source) -> DataFrame:
+    """A damaged record in each log: reading stops there."""
+    path = stored(s)
+    damaged(s, path, 5, lambda buf, at: buf[: at + 40] + bytes([buf[at + 40] ^ 1]) + buf[at + 41 :])
+    return digested(read(s, path, corruption="stop"))
+
+
+def log_torn_tail(s: Source) -> DataFrame:
+    """Each log is torn within record 9; what is appended then goes on at 9."""
+    path = stored(s)
+    damaged(s, path, 9, lambda buf, at: buf[: at + 20])
+    again = s.messages.filter("off >= 9")
+    return digested(read(s, stored(s, again, path)))
+
+
+def log_cleanup(s: Source) -> DataFrame:
+    """Logs in segments of 50 records, truncated before the middle of each: the heads that remain, and what is read."""
+    path = stored(s, segmentBytes=100, rollBatch=50)
+    middles = s.messages.groupBy(*QUEUE).agg(F.floor(F.count("*") / 2).alias("acked_until"))
+    heads = log.cleanup(middles, path).select(*QUEUE, "head")
+    return heads.join(read(s, path).groupBy(*QUEUE).agg(F.min("offset").alias("first_read"), F.count("*").alias("n_read")), QUEUE)
+
+
+def event_log_replay(s: Source) -> DataFrame:
+    """Queue state from events that went through the event log's bytes."""
+    path, ev = folder(s), s.events
+    append_events(ev.withColumn("at", F.col("seq")), path, ["at"])
+    return replay.queue_state(read(s, path, decodeEvents="true"))
+
+
+def snapshot_recovery(s: Source) -> DataFrame:
+    """State from the latest of two snapshots and the events after it."""
+    path, ev = folder(s), cut(s.events)
+    top = ev.agg(F.max("seq")).first()[0] or 0
+    for upto in (top // 3, top // 2):
+        snapshots.take(ev.filter(F.col("seq") < upto), path, every=max(1, top // 50))
+    return snapshots.recover(ev, path)
+
+
+def dead_letter_routing(s: Source) -> DataFrame:
+    routed = state.dead_letter_messages(s.messages, replay.settlements(s.events))
+    return routed.select(*QUEUE, "source_off", "reason", F.md5("payload").alias("payload_md5"))
+
+
+FUNCTIONS = (log_append_twice, log_append_again, log_scan_range, log_point_fetch, log_watermarks, log_resync, log_stop, log_torn_tail, log_cleanup, event_log_replay, snapshot_recovery, dead_letter_routing, queue_summary, ack_frontier, offset_state, offset_state_fold, is_acked_lookup, inflight_dump, inflight_count, next_expiry_hint, next_expiry_hint_global, list_expired, expired_top_k_per_queue, next_deliverable, ready_semi_join, ready_messages, fetch_available_anti_join, retry_counts, dead_letters, retry_exhausted, settlement_reasons, out_of_order_acks, ack_bitmap_sizes, offset_gaps, list_queues, list_topics, validate_violations, canonical_dump, safe_truncate_before, scan_from, fetch_by_offset, head_tail_watermarks, segment_list, segment_floor_lookup, segment_assignment, sparse_index_entries, index_seek, record_positions, record_bytes_len, retention_deletable_segments, retention_new_heads, offset_assignment, batch_linger_sessions, batch_flush_reasons, monotonic_clock, topic_validate, topic_error_class, path_encode, segment_file_names, durability_levels, codec_roundtrip, event_codec_roundtrip, crc32c_check, incremental_replay, incremental_replay_equals_full)
 
 
 def _query(f):

@@ -545,6 +545,18 @@ def ends(spark: SparkSession, root: str, kind: str = "messages", commit_id: str
     return spark.createDataFrame(rows, "topic string, part long, next_off long")
 
 
+def status(spark: SparkSession, root: str, kind: str = "messages") -> DataFrame:
+    """(topic, part, head, tail, durable, segments, bytes) of each log, from its files."""
+    store = Store(root)
+
+    def one(key: tuple[str, int]) -> tuple:
+        log = log_dir(store, kind, *key)
+        found, at = segments(store, log), watermarks(store, log)
+        return (*key, at["head"], at["tail"], at["durable"], len(found), sum(size for _, size in found))
+
+    return spark.createDataFrame(in_parallel(one, logs(store, kind)), "topic string, part long, head long, tail long, durable long, segments long, bytes long")
+
+
 def append(df: DataFrame, root: str, order: list[str] | None = None, kind: str = "messages", commit_id: str | None = None, **options) -> DataFrame:
     """Append rows in one commit; (topic, part, first_offset, next_offset, n) of each log once they are on disk.
 
