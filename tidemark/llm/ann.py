@@ -44,17 +44,21 @@ def valid(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding") ->
     return rows.filter(F.size("v") == (usual[0] if usual else 0))
 
 
-def log_norm(v: Column) -> Column:
-    """The logarithm to base 2 of a vector's norm."""
-    most = F.array_max(F.transform(v, F.abs))
-    return F.log2(most) + F.log2(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))) / 2
-
-
 def log_norms(x: np.ndarray) -> np.ndarray:
     most = np.abs(x).max(axis=1)
     return np.log2(most) + np.log2(((x / most[:, None]) ** 2).sum(axis=1)) / 2
 
 
+def measured(rows: DataFrame) -> DataFrame:
+    """``rows`` (vec_id, v) with r, the logarithm to base 2 of the vector's norm."""
+    def run(batches):
+        for b in slices(batches):
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(log_norms(v))], names=["vec_id", "v", "r"])
+
+    return rows.mapInArrow(run, "vec_id long, v array<double>, r double")
+
+
 def lift(x: np.ndarray, longest: float) -> np.ndarray:
     """Vectors with the component that turns inner products into distances."""
     extra = np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1), 0))
@@ -148,8 +152,7 @@ class CentroidIndex:
 
 
 def fit(rows: DataFrame, sample: int = SAMPLE, list_rows: int = LIST_ROWS, max_lists: int = MAX_LISTS) -> CentroidIndex:
-    """Fit on about ``sample`` vectors drawn by hash (a documented bound); sizes and norms cover all rows."""
-    rows = rows.withColumn("r", log_norm(F.col("v")))
+    """Fit on about ``sample`` vectors drawn by hash (a documented bound); sizes and norms cover all ``rows`` (vec_id, v, r)."""
     n, median = rows.agg(F.count("*"), F.percentile_approx("r", 0.5)).first()
     if not n:
         return CentroidIndex(np.zeros((0, 1)), 1.0)
@@ -281,10 +284,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, spread: float = SP
     other lists answer with what can still matter only.
     """
     spark = vectors.sparkSession
-    rows = valid(vectors)
+    rows = cut(measured(valid(vectors)))  # what is asked of each component is asked once
     shared = spark.sparkContext.broadcast(fit(rows, list_rows=list_rows))
-    stored = cut(assign(rows, shared, spread=spread).select("list", "vec_id", "v"))
-    probes = cut(assign(rows.filter(is_query).dropDuplicates(["vec_id", "v"]), shared, probe=probe, least=least))
+    stored = cut(assign(rows.drop("r"), shared, spread=spread).select("list", "vec_id", "v"))
+    probes = cut(assign(rows.drop("r").filter(is_query).dropDuplicates(["vec_id", "v"]), shared, probe=probe, least=least))
     none = F.lit(float("-inf"))
     first = cut(ranked(visit(stored, probes.filter(F.col("place") < FIRST).withColumn("bound", none), k, part_rows, query_rows), k))
     bounds = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(none).alias("bound")).withColumnRenamed("query_id", "vec_id")
