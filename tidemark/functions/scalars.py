@@ -1,8 +1,8 @@
-"""Scalar functions on columns: topic names, path components, file names, sizes, durability, clocks."""
+"""Scalar functions on columns: topic names, path components, file names, sizes, durability, time."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_TOPIC_BYTES = 128
@@ -53,12 +53,6 @@ def effective_durability(level: Column) -> Column:
     return F.when(level.isin("AfterWrite", "AfterFsync"), level).when(level == "AfterReplicated", "AfterFsync")
 
 
-def monotonic(clock: Column, by: list[str], order: list[str]) -> Column:
-    """The running maximum of clock readings, never below zero."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.greatest(F.max(clock).over(w), F.lit(0).cast("long"))
-
-
 def unix_millis(ts: Column | None = None) -> Column:
     """Milliseconds since 1970 of a time stamp, or of now; never below zero."""
     return F.greatest(F.unix_millis(F.current_timestamp() if ts is None else ts), F.lit(0).cast("long"))

@@ -81,7 +81,7 @@ def layout(log: DataFrame, segment_max: int, stride: int, batch: int) -> DataFra
 
     A new segment starts when a whole batch (``batch`` records in order) wouldn't fit; an index entry is due
     when ``stride`` bytes have passed since the last. Both depend on all that came before, so a log is folded in
-    order; only sizes are read.
+    order by one task, which holds offsets and sizes only (16 bytes a record).
     """
     from tidemark.functions.scalars import record_size
 
@@ -115,16 +115,22 @@ def seek(asked: DataFrame, entries: DataFrame) -> DataFrame:
     return near.select(*asked.columns, F.coalesce("file_pos", F.lit(SEGMENT_HEAD)).cast("long").alias("start_pos"))
 
 
-def assign_offsets(rows: DataFrame, order: list[str], next_offsets: DataFrame | None = None) -> DataFrame:
-    """Dense offsets for new rows of each (topic, part) in ``order``, from ``next_offsets`` (topic, part, next_off) or 0.
+def in_parts(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with _p: dealt by ranges of ``by`` and ``order``, so that a queue of any size is spread over tasks and its parts follow each other by _p.
 
-    Rows are dealt by ranges of queue and order and numbered within a range; a range begins where the ones before it end, by their
-    counts. So a queue of any size is spread over tasks.
+    Checkpointed, as the ranges come from a sample and must not change between two looks at them.
     """
     from tidemark.sources.shared import cut
 
-    by = [*QUEUE, *order]
-    dealt = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id()))
+    return cut(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_p", F.spark_partition_id()))
+
+
+def assign_offsets(rows: DataFrame, order: list[str], next_offsets: DataFrame | None = None) -> DataFrame:
+    """Dense offsets for new rows of each (topic, part) in ``order``, from ``next_offsets`` (topic, part, next_off) or 0.
+
+    Rows are numbered within parts of their queue; a part begins where the ones before it end, by their counts.
+    """
+    dealt = in_parts(rows, QUEUE, order)
     counts = dealt.groupBy(*QUEUE, "_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*QUEUE).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(*QUEUE, "_p", before.alias("_o"))
@@ -134,3 +140,14 @@ def assign_offsets(rows: DataFrame, order: list[str], next_offsets: DataFrame |
         return placed.select(*rows.columns, "off")
     joined = placed.join(next_offsets.select(*QUEUE, F.col("next_off").alias("_n")), QUEUE, "left")
     return joined.withColumn("off", F.col("off") + F.coalesce("_n", F.lit(0))).select(*rows.columns, "off")
+
+
+def monotonic(rows: DataFrame, clock: str, by: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with now: the running maximum of clock readings in ``order``, never below zero. A part goes on from the most of those before it."""
+    dealt = in_parts(rows, by, order)
+    most = dealt.groupBy(*by, "_p").agg(F.max(clock).alias("_m"))
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = most.select(*by, "_p", F.max("_m").over(earlier).alias("_m"))
+    here = Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = dealt.withColumn("_own", F.max(clock).over(here)).join(starts, [*by, "_p"])
+    return joined.select(*rows.columns, F.greatest("_own", "_m", F.lit(0).cast("long")).alias("now"))

@@ -253,7 +253,7 @@ def batch_flush_reasons(s: Source) -> DataFrame:
 
 def monotonic_clock(s: Source) -> DataFrame:
     jittered = s.messages.withColumn("clock", F.col("ts_ms") + F.col("event_id") * 7919 % 5_000_000)
-    return jittered.select(*replay.OFFSET, "clock", scalars.monotonic(F.col("clock"), QUEUE, ["off"]).alias("now"))
+    return scans.monotonic(jittered.select(*replay.OFFSET, "clock"), "clock", QUEUE, ["off"])
 
 
 def names(s: Source) -> DataFrame:
