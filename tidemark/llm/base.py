@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import cut, shared_folder  # noqa: F401  the operators take them from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, shared by driver and executors.
-
-    Where it is unset a temporary folder serves a local master; on a cluster that would be a folder of one
-    machine, so an error names the setting instead.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-    made = tempfile.mkdtemp(prefix="tidemark-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    sc.setCheckpointDir(made)
-    return made
-
-
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of our own from the shared store."""
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
@@ -40,15 +20,6 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(sc.hadoopConfiguration()).delete(at, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def free(columns, *names: str) -> list[str]:
     """``names``, each lengthened until no column is called so: for columns that a step adds for its own use."""
     taken, out = {c.lower() for c in columns}, []
