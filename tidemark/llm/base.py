@@ -61,7 +61,7 @@ def labelled_sample(docs: DataFrame, label: str, per_class: int, max_chars: int,
     The class sizes are counted over all rows; then rows are kept by a hash of doc_id and text, so the
     sample is the same on every run and its size is bounded by per_class * max_classes whatever the
     input. Texts longer than ``max_chars`` aren't used for fitting (they are scored like any other).
-    The most frequent ``max_classes`` classes take part. Null texts and labels are left out.
+    Equal rows count once. The most frequent ``max_classes`` classes take part. Null texts and labels are left out.
     """
     docs = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
     sizes = docs.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
@@ -70,7 +70,7 @@ def labelled_sample(docs: DataFrame, label: str, per_class: int, max_chars: int,
     share = F.lit(0.0)
     for row in sizes:
         share = F.when(F.col(label) == row[0], F.lit(per_class / row[1])).otherwise(share)
-    rows = docs.filter(uniform("doc_id", "text") < share).select("text", label, "lang" if label != "lang" else F.lit(None).alias("l")).collect()
+    rows = docs.filter(uniform("doc_id", "text") < share).select("text", label, "lang" if label != "lang" else F.lit(None).alias("l")).distinct().collect()
     return sorted(map(tuple, rows), key=lambda r: (r[0], str(r[1]), str(r[2])))
 
 
