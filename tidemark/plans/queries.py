@@ -62,7 +62,7 @@ class Source:
 
 
 def queue_summary(s: Source) -> DataFrame:
-    return replay.queue_state(s.events)
+    return replay.queue_state(cut(s.events))
 
 
 def ack_frontier(s: Source) -> DataFrame:
@@ -78,7 +78,7 @@ def offset_state_fold(s: Source) -> DataFrame:
 
 
 def is_acked_lookup(s: Source) -> DataFrame:
-    st = s.state
+    st = cut(s.state)
     return state.lookup(s.messages.select(*replay.OFFSET), st, s.frontiers(st))
 
 
@@ -107,7 +107,7 @@ def expired_top_k_per_queue(s: Source) -> DataFrame:
 
 
 def next_deliverable(s: Source) -> DataFrame:
-    st = s.state
+    st = cut(s.state)
     sizes = s.messages.groupBy(*QUEUE).agg(F.count("*").alias("n"))
     asked = sizes.select(*QUEUE, F.explode(F.array(F.lit(0).cast("long"), F.floor(F.col("n") / 3), F.floor(F.col("n") / 2))).alias("start"), F.col("n").alias("upper")).distinct()
     return state.next_deliverable(asked, st, s.frontiers(st))
@@ -142,12 +142,12 @@ def settlement_reasons(s: Source) -> DataFrame:
 
 
 def out_of_order_acks(s: Source) -> DataFrame:
-    st = s.state
+    st = cut(s.state)
     return state.out_of_order(st, s.frontiers(st))
 
 
 def ack_bitmap_sizes(s: Source) -> DataFrame:
-    st = replay.offset_state(s.acks)
+    st = cut(replay.offset_state(s.acks))
     bits = state.ack_bitmap(st, s.frontiers(st))
     return bits.groupBy(*QUEUE).agg(F.sum(F.bitmap_count("bits")).cast("long").alias("n_ahead"))
 
@@ -165,13 +165,13 @@ def list_topics(s: Source) -> DataFrame:
 
 
 def validate_violations(s: Source) -> DataFrame:
-    st = s.state
+    st = cut(s.state)
     return state.violations(st, s.frontiers(st))
 
 
 def canonical_dump(s: Source) -> DataFrame:
-    ev = s.events
-    st = replay.offset_state(ev)
+    ev = cut(s.events)
+    st = cut(replay.offset_state(ev))
     image = state.canonical(st, replay.queue_state(ev, st))
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     pairs = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[a].cast("string"), x[b].cast("string"))), ",")
@@ -335,14 +335,18 @@ def crc32c_check(s: Source) -> DataFrame:
 
 def incremental_replay(s: Source) -> DataFrame:
     """State from snapshots in the middle of each queue plus the later events."""
-    ev = s.events
+    return halved(cut(s.events))
+
+
+def halved(ev: DataFrame) -> DataFrame:
     cuts = ev.groupBy(*QUEUE).agg(F.floor((F.max("seq") + 1) / 2).cast("long").alias("upto"))
     return replay.resume(replay.snapshot(ev, cuts), cuts, ev)
 
 
 def incremental_replay_equals_full(s: Source) -> DataFrame:
     """Offsets in which the two differ; there are none."""
-    a, b = incremental_replay(s), s.state
+    ev = cut(s.events)
+    a, b = halved(ev), replay.offset_state(ev)
     return a.exceptAll(b).union(b.exceptAll(a))
 
 
