@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import held_out, labelled_sample, slices
+from tidemark.llm.base import free, held_out, labelled_sample, slices
 from tidemark.llm.words import LETTERS, Shapes, find, numbered, summed
 
 LONGEST = 5
@@ -101,7 +101,7 @@ def identify(docs: DataFrame, model: BackoffModel, keep: list[str]) -> DataFrame
     """Columns ``keep`` of ``docs`` with lang_pred and score, from the whole text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    slim = docs.select(*keep, F.col("text").alias("_text"))
+    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(free(keep, "_text")[0]))
 
     def run(batches):
         for b in slices(batches):
