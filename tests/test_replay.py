@@ -201,3 +201,38 @@ def test_layout_keeps_batches_whole(spark):
     got = scans.layout(df, 1068, 250, 5).orderBy("off").collect()
     assert [g["segment_base"] for g in got] == [o // 10 * 10 for o in range(40)]
     assert [g["file_pos"] for g in got[:3]] == [68, 168, 268] and [g["off"] for g in got if g["indexed"]][:3] == [3, 6, 9]
+
+
+def test_linger_adapts_to_the_batches():
+    assert [batching.adapted_linger(5, n, 1 << 20, 6, p) for n, p in ((1 << 19, False), (600_000, True), (70_000, False), (60_000, False), (60_000, True))] == [6, 6, 5, 4, 5]
+    assert batching.adapted_linger(6, 1 << 20, 1 << 20, 6, False) == 6 and batching.adapted_linger(0, 1, 1 << 20, 6, False) == 0
+
+
+def test_ordered_operators_do_not_depend_on_the_parts(spark):
+    r = random.Random(3)
+    rows = [("t", p, o, r.randrange(1000)) for p in range(3) for o in range(400)]
+    df = spark.createDataFrame(rows, "topic string, part long, off long, clock long")
+    now, sessions = {}, {}
+    for p in range(3):
+        most, last, k = 0, None, 0
+        for _, _, o, c in [x for x in rows if x[1] == p]:
+            most = max(most, c)
+            now[p, o] = most
+            k += last is None or c - last >= 700
+            last = c
+            n, low, high = sessions.get((p, k), (0, c, c))
+            sessions[p, k] = (n + 1, min(low, c), max(high, c))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        assert {(x["part"], x["off"]): x["now"] for x in scans.monotonic(df, "clock", ["topic", "part"], ["off"]).collect()} == now
+        assert {(x["part"], x["session"]): (x["n"], x["first_ms"], x["last_ms"]) for x in batching.linger_sessions(df, ["topic", "part"], "clock", ["off"], 700).collect()} == sessions
+        assert {(x["part"], x["off"]) for x in scans.assign_offsets(df.drop("off").withColumn("at", F.col("clock")), ["at"]).collect()} == set(now)
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_clock_in_milliseconds(spark):
+    from tidemark.functions import scalars
+
+    got = spark.sql("select timestamp'2024-01-01 00:00:00.123Z' as a, timestamp'1950-01-01 00:00:00Z' as b").select(scalars.unix_millis(F.col("a")), scalars.unix_millis(F.col("b")), scalars.unix_millis()).first()
+    assert got[:2] == (1704067200123, 0) and got[2] > 1704067200123
