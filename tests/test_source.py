@@ -319,6 +319,27 @@ def test_streaming_write(source, tmp_path):
     assert read(source, out).count() == 150
 
 
+def test_a_stream_that_brings_a_batch_again_writes_it_once(source, tmp_path):
+    out, commits = str(tmp_path / "log"), tmp_path / "c" / "commits"
+
+    def run(n):
+        new = source.range(n * 10, n * 10 + 10).select(F.lit("t").alias("topic"), F.lit(0).cast("long").alias("part"), F.col("id").alias("offset"), F.lit(b"x").alias("payload"))
+        new.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        again()
+
+    def again():
+        df = source.readStream.schema("topic string, part long, offset long, payload binary").parquet(str(tmp_path / "in"))
+        df.writeStream.format("tidemark").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(60)
+
+    run(0)
+    run(1)
+    for f in ("1", ".1.crc"):  # as if the driver had been lost between its commit and Spark's
+        os.remove(commits / f)
+    again()
+    run(2)
+    assert sorted(r["offset"] for r in read(source, out).collect()) == list(range(30))
+
+
 def test_publish_goes_on_where_the_logs_end(source, tmp_path):
     path = str(tmp_path)
     msgs = lambda a, b: source.range(a, b).select(F.lit("t").alias("topic"), (F.col("id") % 2).alias("part"), F.col("id").cast("string").cast("binary").alias("payload"), F.col("id").alias("arrival"))
