@@ -40,11 +40,12 @@ def with_settlement(events: DataFrame) -> DataFrame:
     """Events with _base and _k of their run, whether they exhaust the retries, and the settlement's seq."""
     kind = F.col("event_type")
     requeues = (kind == "Nack") & F.col("requeue")
-    by_seq = Window.partitionBy(*OFFSET).orderBy("seq")
-    run = F.count_if(kind.isin("Enqueue", "MarkInflight")).over(by_seq)
-    rows = events.withColumn("_run", run).withColumn("_requeues", F.coalesce(requeues, F.lit(False)))
-    in_run = Window.partitionBy(*OFFSET, "_run").orderBy("seq")
-    rows = rows.withColumn("_k", F.count_if("_requeues").over(in_run)).withColumn("_base", F.first(F.when(kind == "Enqueue", F.col("retries"))).over(in_run))
+    # all windows have one order, so an offset's events are sorted once
+    by_seq = Window.partitionBy(*OFFSET).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumn("_requeues", F.coalesce(requeues, F.lit(False))).withColumn("_k", F.count_if("_requeues").over(by_seq))
+    begins = F.when(kind.isin("Enqueue", "MarkInflight"), F.struct(F.col("_k").alias("k"), F.when(kind == "Enqueue", F.col("retries")).alias("base")))
+    rows = rows.withColumn("_run", F.last(begins, ignorenulls=True).over(by_seq))
+    rows = rows.withColumn("_k", F.col("_k") - F.coalesce("_run.k", F.lit(0))).withColumn("_base", F.col("_run.base"))
     rows = rows.withColumn("_exhausts", F.col("_requeues") & (F.coalesce("_base", F.lit(0)) + F.col("_k") - 1 >= MAX_RETRIES))
     settles = kind.isin("Ack", "DeadLetter") | ((kind == "Nack") & ~F.col("_requeues")) | F.col("_exhausts")
     return rows.withColumn("_settles", settles).withColumn("_s", F.min(F.when(F.col("_settles"), F.col("seq"))).over(Window.partitionBy(*OFFSET)))
