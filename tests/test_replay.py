@@ -236,3 +236,12 @@ def test_clock_in_milliseconds(spark):
 
     got = spark.sql("select timestamp'2024-01-01 00:00:00.123Z' as a, timestamp'1950-01-01 00:00:00Z' as b").select(scalars.unix_millis(F.col("a")), scalars.unix_millis(F.col("b")), scalars.unix_millis()).first()
     assert got[:2] == (1704067200123, 0) and got[2] > 1704067200123
+
+
+def test_a_double_flush_loses_nothing():
+    b = batching.Batcher(10, 10, 5, 3)
+    assert b.deadline() is None and b.remaining(0) is None
+    got = list(batching.driven(b, [(0, "a", 1, 1), (10, "b", 1, 9), (11, "c", 1, 1)]))
+    assert got == [("Timeout", ["a"]), ("MaxBytes", ["b"]), ("Shutdown", ["c"])]
+    b.push(20, "d", 1, 1)
+    assert b.deadline() == 23 and b.remaining(21) == 2 and b.remaining(30) == 0

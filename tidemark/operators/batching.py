@@ -43,6 +43,13 @@ class Batcher:
     bytes: int = 0
     last: int = 0
 
+    def deadline(self) -> int | None:
+        """When what is held has to leave; an empty one has no deadline."""
+        return self.last + self.linger if self.held else None
+
+    def remaining(self, now: int) -> int | None:
+        return None if self.deadline() is None else max(0, self.deadline() - now)
+
     def due(self, now: int) -> bool:
         return bool(self.held) and (self.linger == 0 or now >= self.last + self.linger)
 
@@ -64,6 +71,14 @@ class Batcher:
         return out
 
 
+def driven(batcher: Batcher, arrivals):
+    """(reason, items) of each batch of ``arrivals`` (clock, item, records, bytes), both of an arrival that flushes twice, and of what is held at the end."""
+    for now, item, records, size in arrivals:
+        yield from batcher.push(now, item, records, size)
+    if batcher.held:
+        yield "Shutdown", batcher.flush()
+
+
 def adapted_linger(linger: int, size: int, max_bytes: int, most: int, pending: bool) -> int:
     """The next linger after a batch of ``size`` bytes: longer by 1 ms (up to ``most``) after a well-filled one, shorter after a small one that nothing waits behind."""
     if size >= max_bytes // 2:
@@ -81,12 +96,9 @@ def flushes(rows: DataFrame, by: list[str], clock: str, order: str, size: str, m
     kinds = dict(slim.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b, out = Batcher(max_items, max_records, max_bytes, linger), []
         pdf = pdf.sort_values(order)
-        for now, n in zip(pdf[clock].tolist(), pdf[size].tolist(), strict=True):
-            out.extend(b.push(now, (now, n), 1, n))
-        if b.held:
-            out.append(("Shutdown", b.flush()))
+        arrivals = ((now, (now, n), 1, n) for now, n in zip(pdf[clock].tolist(), pdf[size].tolist(), strict=True))
+        out = list(driven(Batcher(max_items, max_records, max_bytes, linger), arrivals))
         made = pd.DataFrame([(i, why, len(items), sum(x[1] for x in items), items[0][0], items[-1][0]) for i, (why, items) in enumerate(out)], columns=["batch", "flush_reason", "n", "bytes", "first_ms", "last_ms"])
         for k, c in enumerate(by):
             made.insert(k, c, pdf[c].iloc[0])
