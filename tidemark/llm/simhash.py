@@ -435,13 +435,14 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Of rows that repeat a kept doc_id the least by a hash of all its columns stays.
     """
     own, order = free(docs.columns, "_own", "_order")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     placed = cut(similar(docs.filter("doc_id is not null"), **options).groupBy("doc_id").agg(F.max("component_id").alias("most"), F.count("*").alias("m")).filter("most <> doc_id or m > 1"))
     gone, again = placed.filter("most <> doc_id").select("doc_id"), placed.filter("most = doc_id and m > 1").select("doc_id")
     sent = lambda ids: F.broadcast(ids) if ids.count() <= SENT_IDS else ids
     stay = docs.withColumn(own, F.col("doc_id").cast("long")).join(sent(gone.toDF(own)), own, "left_anti")
     if again.first() is None:
-        return stay.select(*docs.columns)
+        return stay.select(*columns)
     again = sent(again.toDF(own))
     once = stay.join(again, own, "left_semi").withColumn(order, row_hash(docs))
-    once = once.groupBy(own).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("r")).select("r.*")
-    return stay.join(again, own, "left_anti").select(*docs.columns).unionByName(once)
+    once = once.groupBy(own).agg(F.min_by(F.struct(*columns), order).alias("r")).select("r.*")
+    return stay.join(again, own, "left_anti").select(*columns).unionByName(once)
