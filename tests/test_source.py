@@ -1,6 +1,7 @@
 import os
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -407,6 +408,29 @@ def test_a_stream_that_begins_with_a_snapshot_ends_like_a_full_replay(source, sf
     assert {k: last[k] for k in want if k in last} == want
 
 
+def test_leases_run_out_by_timers(source, tmp_path):
+    path, e, seen = str(tmp_path / "log"), event_rows_of, []
+    items = lambda *offs: source.createDataFrame([("t", 0, o, o) for o in offs], "topic string, part long, off long, at long")
+    e.append_events(e.mark_inflight(items(3, 4), F.col("off")), path, ["at"])
+    e.append_events(e.mark_inflight(items(5), F.lit(1 << 60)), path, ["at"])
+    events = source.readStream.format("tidemark").option("path", path).option("decodeEvents", "true").load()
+    q = stream.queue_state_stream(events, expire=True).writeStream.outputMode("update").foreachBatch(lambda df, batch: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+
+    def wait(done):  # timers make batches without rows, so there is never nothing to do
+        end = time.time() + 30
+        while time.time() < end and not (seen and done(seen[-1])):
+            time.sleep(0.3)
+
+    try:
+        wait(lambda r: r["n_inflight"] == 1)
+        e.append_events(e.ack(items(0)), path, ["at"])
+        wait(lambda r: r["acked_until"] == 1)
+    finally:
+        q.stop()
+    last = seen[-1]
+    assert (last["n_inflight"], last["min_deadline"], last["acked_until"], last["applied_upto"]) == (1, 1 << 60, 1, 4)
+
+
 def test_dead_letters_are_routed_to_topics_of_their_own(source, sf_dir, tmp_path):
     from tidemark.plans import derive
 
