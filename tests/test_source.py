@@ -145,6 +145,22 @@ def test_append_numbers_from_the_end(source, tmp_path):
     assert {(r[0], r[2]) for r in log.ends(source, path).collect()} == {("a/b", 150), ("click", 300)}
 
 
+def test_a_log_with_most_of_the_rows_is_written_by_many_tasks(source, tmp_path):
+    path = str(tmp_path)
+    df = source.range(6000).select(F.when(F.col("id") % 10 == 0, "small").otherwise("big").alias("topic"), F.lit(0).cast("long").alias("part"), F.col("id").cast("string").cast("binary").alias("payload"), (F.col("id") * 7919 % 6007).alias("at"))
+    source.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(tuple(r) for r in log.append(df, path, ["at"]).collect()) == [("big", 0, 0, 5400, 5400), ("small", 0, 0, 600, 600)]
+        assert len(log.bases(*own(path, "big"))) > 1
+        log.append(df, path, ["at"])
+    finally:
+        source.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    got = [(r["offset"], int(bytes(r["payload"]))) for r in read(source, path, topic="big", part="0").orderBy("offset").collect()]
+    want = [r["id"] for r in df.filter("topic = 'big'").select(F.decode("payload", "utf-8").cast("long").alias("id"), "at").orderBy("at").collect()]
+    assert [o for o, _ in got] == list(range(10_800)) and [i for _, i in got] == want * 2
+    assert read(source, path).filter("topic = 'big' and offset = 5399").count() == 1
+
+
 def test_whole_batches_stay_in_a_segment(source, tmp_path):
     write(rows(source, 600, 1), str(tmp_path), segmentBytes=1500, rollBatch=7)
     found = log.bases(*own(str(tmp_path)))

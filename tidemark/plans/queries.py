@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import uuid
 
@@ -354,7 +355,11 @@ COLUMNS = ("topic", "part", "offset", "timestamp_ms", "flags", "payload")
 
 
 def folder(s: Source) -> str:
-    return f"{shared_folder(s.spark)}/log-{uuid.uuid4().hex}"
+    """A folder for a query's log; it goes when the driver ends."""
+    path = f"{shared_folder(s.spark)}/log-{uuid.uuid4().hex}"
+    store = Store(path)
+    atexit.register(store.remove_tree, store.root)
+    return path
 
 
 def stored(s: Source, rows: DataFrame | None = None, path: str | None = None, **options) -> str:
@@ -404,7 +409,7 @@ def log_point_fetch(s: Source) -> DataFrame:
 
 def log_watermarks(s: Source) -> DataFrame:
     """Head, tail and last durable offset, from the files of logs in segments of 50 records."""
-    return log.status(s.spark, stored(s, segmentBytes=100, rollBatch=50)).select(*QUEUE, "head", "tail", "durable", "segments")
+    return log.status(s.spark, stored(s, spread=False, segmentBytes=100, rollBatch=50)).select(*QUEUE, "head", "tail", "durable", "segments")
 
 
 def log_resync(s: Source) -> DataFrame:
@@ -431,7 +436,7 @@ def log_torn_tail(s: Source) -> DataFrame:
 
 def log_cleanup(s: Source) -> DataFrame:
     """Logs in segments of 50 records, truncated before the middle of each: the heads that remain, and what is read."""
-    path = stored(s, segmentBytes=100, rollBatch=50)
+    path = stored(s, spread=False, segmentBytes=100, rollBatch=50)
     middles = s.messages.groupBy(*QUEUE).agg(F.floor(F.count("*") / 2).alias("acked_until"))
     heads = log.cleanup(middles, path).select(*QUEUE, "head")
     return heads.join(read(s, path).groupBy(*QUEUE).agg(F.min("offset").alias("first_read"), F.count("*").alias("n_read")), QUEUE)

@@ -557,17 +557,23 @@ def status(spark: SparkSession, root: str, kind: str = "messages") -> DataFrame:
     return spark.createDataFrame(in_parallel(one, logs(store, kind)), "topic string, part long, head long, tail long, durable long, segments long, bytes long")
 
 
-def append(df: DataFrame, root: str, order: list[str] | None = None, kind: str = "messages", commit_id: str | None = None, **options) -> DataFrame:
+def append(df: DataFrame, root: str, order: list[str] | None = None, kind: str = "messages", commit_id: str | None = None, spread: bool = True, **options) -> DataFrame:
     """Append rows in one commit; (topic, part, first_offset, next_offset, n) of each log once they are on disk.
 
     ``df`` is numbered from the log's end in ``order``, or has offsets already. Called again with the same ``commit_id`` it appends
-    nothing and gives the same answer. Each log's rows go to one task, as they go into one file after another.
+    nothing and gives the same answer. Rows are dealt by ranges of offsets, each laid out as segments of its own, so a log that gets
+    most of the rows is written by many tasks; with ``spread`` off, or without an order, each log is written by one task.
     """
+    from tidemark.operators.scans import assign_offsets
+
     spark, own = df.sparkSession, commit_id or f"append-{uuid.uuid4().hex}"
-    by = ["offset"] if "offset" in df.columns else list(order or [])
     register(spark)
-    writer = df.repartition("topic", "part").sortWithinPartitions("topic", "part", *by).write.format("tidemark").options(path=root, kind=kind, commitId=own, **options)
-    writer.mode("append").save()
+    if "offset" not in df.columns and order:
+        keys = [c for c in order if c not in ("topic", "part")]
+        df = assign_offsets(df, keys, ends(spark, root, kind, commit_id)).withColumnRenamed("off", "offset")
+    by = ["topic", "part", *(["offset"] if "offset" in df.columns else [])]
+    dealt = df.repartitionByRange(*by) if spread and len(by) > 2 else df.repartition("topic", "part")
+    dealt.sortWithinPartitions(*by).write.format("tidemark").options(path=root, kind=kind, commitId=own, **options).mode("append").save()
     store = Store(root)
     found = logs(store, kind)
     known = in_parallel(lambda k: known_commit(store, log_dir(store, kind, *k), own), found)
