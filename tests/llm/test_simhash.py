@@ -92,6 +92,27 @@ def test_edge_cases(spark):
     assert simhash.near_duplicates(docs.filter("false")).count() == 0
 
 
+def test_a_component_counts_its_root(spark):
+    """Near copies whose least doc_id is that of the least fingerprint; odd words, white space and ids among them."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(300)] + ["É", "ünï", "\x1c", "a\x1db", "\x85", "\u2003x", "\0z", "AbC"]
+    rows = []
+    for _ in range(60):
+        base = [r.choice(words) for _ in range(r.choice([1, 2, 3, 40, 400, 600]))]
+        for _ in range(r.randint(1, 4)):
+            text = list(base)
+            text[r.randrange(len(text))] = r.choice(words)
+            rows.append((r.randint(-(10**9), 10**9), r.choice([" ", "\t", "\x0b", "\r\n"]).join(text)))
+    rows = list(dict(rows).items())
+    fps = [plain_fingerprint(t) for _, t in rows]
+    want = components([d for d, _ in rows], fps)
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    near = [i for i in range(len(rows)) if any((fps[i] ^ f).bit_count() in (1, 2) for f in fps)]
+    assert any(want[rows[i][0]] == rows[i][0] and signed[i] == min(signed[j] for j in near if want[rows[j][0]] == want[rows[i][0]]) for i in near)
+    got = sorted(tuple(x) for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((d, f"{fp:016x}", want[d]) for (d, _), fp in zip(rows, fps, strict=True))
+
+
 def test_one_large_group_makes_few_links(spark):
     base = 0x0123456789ABCDEF
     near = sorted({base ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)} | {base})

@@ -156,7 +156,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int | None = None, c
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(node, root): root is the least node reachable. Alternates large-star and small-star.
+    """(node, root) of every node but the roots: root is the least node reachable. Alternates large-star and small-star.
 
     ``edges`` is (a, b). Each round is a pre-aggregated minimum and a join on the node, checkpointed;
     the edge set halves in depth each round and the loop ends when it no longer changes. With ``rounds`` an
@@ -179,11 +179,16 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
+def with_roots(found: DataFrame) -> DataFrame:
+    """The result of components() with a row for each root as well."""
+    return found.union(found.select("root", "root").distinct()).toDF("node", "root")
+
+
 def near_duplicates(docs: DataFrame, size: int = WORDS_IN_SHINGLE, radius: int = RADIUS, parts: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs``."""
     fps = cut(fingerprints(docs, size))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = cut(distinct.join(components(links(distinct, radius, parts)), F.col("fp") == F.col("node")).select("fp", "root", "least"))
+    linked = cut(distinct.join(with_roots(cut(components(links(distinct, radius, parts)))), F.col("fp") == F.col("node")).select("fp", "root", "least"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = linked.join(least, "root").select("fp", "component_id")
     moved = moved.union(distinct.join(linked, "fp", "left_anti").select("fp", "least"))
@@ -419,7 +424,6 @@ def similar(docs: DataFrame, size: int = STAGE_WORDS, similarity: float = SIMILA
     for i in range(STARS if large.first() is not None else 0):
         hubs = large.groupBy("key").agg(F.min_by("node", F.xxhash64(F.lit(i), "node")).alias("hub"))
         edges = edges.union(cut(starred(large.join(hubs, "key").select("node", "hub"))))
-    with_roots = lambda found: found.union(found.select("root", "root").distinct()).toDF("node", "root")
     found = with_roots(cut(components(edges)))
     labels = cut(met.select(*names).join(found, "node", "left").select(*names, F.coalesce("root", "node").alias("label")))
     edges = edges.union(cut(across(shared.select("key", "node"), labels, sets, similarity, piece)))
