@@ -10,6 +10,7 @@ from tidemark.operators.replay import BUCKET
 from tidemark.schemas import QUEUE
 
 SEGMENT_HEAD = 68
+SENT_PARTS = 200_000
 
 
 def fetch(log: DataFrame, topic: str, part: int, off: int) -> DataFrame:
@@ -115,31 +116,42 @@ def seek(asked: DataFrame, entries: DataFrame) -> DataFrame:
     return near.select(*asked.columns, F.coalesce("file_pos", F.lit(SEGMENT_HEAD)).cast("long").alias("start_pos"))
 
 
-def in_parts(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+def in_parts(rows: DataFrame, by: list[str], order: list[str], at: str | None = None) -> DataFrame:
     """``rows`` with _p: dealt by ranges of ``by`` and ``order``, so that a queue of any size is spread over tasks and its parts follow each other by _p.
 
-    Checkpointed, as the ranges come from a sample and must not change between two looks at them.
+    With ``at``, that column is a row's place in its partition. Checkpointed, as the ranges come from a sample and must not change between two looks at them.
     """
     from tidemark.sources.shared import cut
 
-    return cut(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_p", F.spark_partition_id()))
+    dealt = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_p", F.spark_partition_id())
+    # monotonically_increasing_id counts the rows of a partition in its lower 33 bits
+    return cut(dealt if at is None else dealt.withColumn(at, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
 
 
 def assign_offsets(rows: DataFrame, order: list[str], next_offsets: DataFrame | None = None) -> DataFrame:
-    """Dense offsets for new rows of each (topic, part) in ``order``, from ``next_offsets`` (topic, part, next_off) or 0.
+    """Dense offsets for new rows of each (topic, part) in ``order``, from ``next_offsets`` (topic, part, next_off) or 0."""
+    return placed_offsets(rows, order, next_offsets)[0]
 
-    Rows are numbered within parts of their queue; a part begins where the ones before it end, by their counts.
+
+def placed_offsets(rows: DataFrame, order: list[str], next_offsets: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """assign_offsets, and whether the partitions of the result are ranges of (topic, part, off).
+
+    A row's place in its sorted partition is its number; a part begins where the ones before it end, by their counts. A table
+    with a row for each part is all that is joined, and it is sent to all as long as it has at most SENT_PARTS rows, so the rows stay where they are.
     """
-    dealt = in_parts(rows, QUEUE, order)
-    counts = dealt.groupBy(*QUEUE, "_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*QUEUE).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(*QUEUE, "_p", before.alias("_o"))
-    numbered = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy(*QUEUE, "_p").orderBy(*order)) - 1).join(starts, [*QUEUE, "_p"])
-    placed = numbered.withColumn("off", (F.col("_rn") + F.col("_o")).cast("long")).drop("_rn", "_o", "_p")
-    if next_offsets is None:
-        return placed.select(*rows.columns, "off")
-    joined = placed.join(next_offsets.select(*QUEUE, F.col("next_off").alias("_n")), QUEUE, "left")
-    return joined.withColumn("off", F.col("off") + F.coalesce("_n", F.lit(0))).select(*rows.columns, "off")
+    from tidemark.sources.shared import cut
+
+    at, n, first, start, end = "_at", "_n", "_first", "_start", "_end"
+    dealt = in_parts(rows, QUEUE, order, at)
+    counts = dealt.groupBy(*QUEUE, "_p").agg(F.count("*").alias(n), F.min(at).alias(first))
+    before = F.coalesce(F.sum(n).over(Window.partitionBy(*QUEUE).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*QUEUE, "_p", first, before.alias(start))
+    if next_offsets is not None:
+        starts = starts.join(next_offsets.select(*QUEUE, F.col("next_off").alias(end)), QUEUE, "left").withColumn(start, F.col(start) + F.coalesce(end, F.lit(0)))
+    starts = cut(starts.select(*QUEUE, "_p", (F.col(start) - F.col(first)).alias(start)))
+    few = starts.count() <= SENT_PARTS
+    placed = dealt.join(F.broadcast(starts) if few else starts, [*QUEUE, "_p"])
+    return placed.withColumn("off", (F.col(at) + F.col(start)).cast("long")).select(*rows.columns, "off"), few
 
 
 def monotonic(rows: DataFrame, clock: str, by: list[str], order: list[str]) -> DataFrame:

@@ -31,6 +31,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
@@ -47,7 +48,7 @@ SAFE = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ012345678
 ROWS = 8192
 
 
-SPLIT, THREADS = 32 << 20, 16
+SPLIT, OPEN, THREADS = 32 << 20, 64 << 10, 16
 
 
 def component(name: str) -> str:
@@ -124,8 +125,10 @@ def watermarks(store: Store, log: str) -> dict:
 class Piece(InputPartition):
     """Bytes of a segment and the offsets [low, high) wanted of them. Unless ``exact``, the task moves both ends to index entries."""
 
-    def __init__(self, topic: str, part: int, base: int, begin: int, end: int | None, low: int, high: int | None, exact: bool):
+    def __init__(self, topic: str, part: int, base: int, begin: int, end: int | None, low: int, high: int | None, exact: bool, cost: int = 0):
         super().__init__(None)
+        self.cost, self.reached, self.reason = cost, None, None
+        self.whole = begin == 0 and end is None and not exact
         self.topic, self.part, self.base = topic, part, base
         self.begin, self.end, self.low, self.high, self.exact = begin, end, low, high, exact
 
@@ -165,63 +168,117 @@ class Options:
 def read_piece(o: Options, x: Piece) -> Iterator[pa.RecordBatch]:
     store = o.store
     log = log_dir(store, o.kind, x.topic, x.part)
-    path, begin, end, floor = segment_path(log, x.base), x.begin, x.end, x.low
-    if not x.exact:
+    path, begin, end, floor = segment_path(log, x.base), codec.SEGMENT_HEAD if x.whole else x.begin, x.end, 0 if o.corruption == "stop" else x.low
+    if not x.exact and not x.whole:
         starts = index_of(store, log, x.base)
         mine = [s for s in starts if s[1] >= begin and (end is None or s[1] < end)]
         if not mine:
             return
         floor, begin = max(floor, mine[0][0]), mine[0][1]
         end = next((pos for _, pos in starts if end is not None and pos >= end), None)
-    head = store.read(path, 0, codec.SEGMENT_HEAD)
-    if not head:
-        return
-    codec.check_segment(head)
-    rows: list[tuple] = []
-
-    def batch() -> pa.RecordBatch:
-        if o.events:
-            made = [{**codec.decode_event(r[7]), "seq": r[3]} for r in rows]
-            return pa.RecordBatch.from_pylist(made, schema=EVENT_ARROW)
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], ARROW.field(k).type) for k in range(len(COLUMNS))], schema=ARROW)
-
-    for pos, r in codec.scan(store.read(path, begin, end), 0, o.corruption, o.verify, o.payload):
-        if x.high is not None and r.offset >= x.high:
-            break
-        if r.offset < floor:  # before the range, or a repeat behind a repair
-            continue
-        floor = r.offset + 1
-        rows.append((x.topic, x.part, o.kind, r.offset, r.timestamp_ms, r.flags, r.headers, r.payload if o.payload else None, x.base, begin + pos))
-        if len(rows) >= ROWS:
-            yield batch()
-            rows = []
-    if rows:
-        yield batch()
+    buf = store.read(path, 0 if x.whole else begin, end)
+    if x.whole:  # one look at the file
+        if not buf:
+            return
+        codec.check_segment(buf)
+        buf = buf[codec.SEGMENT_HEAD :]
+    else:
+        head = store.read(path, 0, codec.SEGMENT_HEAD)
+        if not head:
+            return
+        codec.check_segment(head)
+    floor = max(floor, x.reached or 0)
+    found = codec.frames(buf, 0, o.corruption, o.verify, ROWS)
+    while True:
+        try:
+            starts, sizes = next(found)
+        except StopIteration as e:
+            x.reached, x.reason = floor, e.value
+            return
+        offsets, *rest = codec.columns(buf, starts, sizes, o.payload)
+        past = np.flatnonzero(offsets >= x.high)[:1] if x.high is not None else []
+        n = int(past[0]) if len(past) else len(offsets)
+        # what lies before the range, or repeats behind a repair, is left out
+        keep = np.flatnonzero(offsets[:n] > np.concatenate(([floor - 1], np.maximum(np.maximum.accumulate(offsets[:n]), floor - 1)[:-1])))
+        if len(keep):
+            floor = int(offsets[keep[-1]]) + 1
+            wanted = keep[offsets[keep] >= x.low]
+            if len(wanted):
+                yield batch_of(o, x, wanted, offsets, begin + starts, *rest)
+        if len(past):
+            x.reached, x.reason = floor, "High"
+            return
+
+
+def batch_of(o: Options, x: Piece, at: np.ndarray, offsets: np.ndarray, places: np.ndarray, times: np.ndarray, flags: np.ndarray, headers: list, payloads: list | None) -> pa.RecordBatch:
+    """The records ``at`` these places of a batch of frames."""
+    n, some = len(at), at.tolist()
+    if o.events:
+        made = codec.decode_events([payloads[i] for i in some])
+        return pa.RecordBatch.from_arrays([pa.array(offsets[at]) if f.name == "seq" else pa.array(made[f.name], f.type) for f in EVENT_ARROW], schema=EVENT_ARROW)
+    same = lambda v, f: pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([v], ARROW.field(f).type)).dictionary_decode()
+    made = [same(x.topic, "topic"), same(x.part, "part"), same(o.kind, "kind"), pa.array(offsets[at]), pa.array(times[at]), pa.array(flags[at]), pa.array([headers[i] for i in some], pa.binary()), pa.array([payloads[i] for i in some], pa.binary()) if o.payload else pa.nulls(n, pa.binary()), same(x.base, "segment_base"), pa.array(places[at])]
+    return pa.RecordBatch.from_arrays(made, schema=ARROW)
 
 
-def pieces(o: Options, topic: str, part: int, low: int, high: int | None) -> list[Piece]:
+@dataclass
+class Chain(InputPartition):
+    """Pieces of one log that a task reads one after the other."""
+
+    def __init__(self, parts: list[Piece]):
+        super().__init__(None)
+        self.parts, self.base, self.begin = parts, parts[0].base, parts[0].begin
+
+
+def read_chain(o: Options, x: Piece | Chain) -> Iterator[pa.RecordBatch]:
+    """All pieces of a chain. Reading that stops at a bad record leaves out what follows in the log, unless the next segment goes on where the good records end."""
+    parts, reached = x.parts if isinstance(x, Chain) else [x], None
+    for i, p in enumerate(parts):
+        p.reached, p.reason = reached, None
+        yield from read_piece(o, p)
+        if o.corruption == "stop":
+            reached = p.reached if p.reached is not None else reached
+            if p.reason and not (i + 1 < len(parts) and parts[i + 1].base == reached):
+                return
+
+
+def packed(o: Options, found: list[Piece]) -> list[Piece | Chain]:
+    """Small pieces of a log go to one task, as many as ``split`` bytes allow, each counted with OPEN bytes more; with 'stop' a log is one chain, as what counts depends on all before."""
+    out, held, size = [], [], 0
+    for p in found:
+        cost = OPEN + p.cost
+        if held and size + cost > o.split and o.corruption != "stop":
+            out.append(held)
+            held, size = [], 0
+        held.append(p)
+        size += cost
+    return [h[0] if len(h) == 1 else Chain(h) for h in ([*out, held] if held else out)]
+
+
+def pieces(o: Options, topic: str, part: int, low: int, high: int | None, from_head: bool = False) -> list[Piece]:
     """Byte ranges that cover the offsets [low, high) of a log.
 
     Names and sizes of segments are all that is needed for those that are wanted as a whole; an index is read here only where a
-    range begins or ends within a segment.
+    range begins or ends within a segment. Where reading stops at a bad record, ``from_head`` has all that comes before the range looked at too.
     """
     store = o.store
     log = log_dir(store, o.kind, topic, part)
     found, out = segments(store, log), []
+    start = 0 if o.corruption == "stop" and from_head else low
     for i, (base, size) in enumerate(found):
         until = found[i + 1][0] if i + 1 < len(found) else None
-        if (until is not None and until <= low) or (high is not None and base >= high):
+        if (until is not None and until <= start) or (high is not None and base >= high):
             continue
         top = min((x for x in (high, until) if x is not None), default=None)
         begin, end, exact = 0, size, False
-        if low > base or (high is not None and (until is None or high < until)):
+        if start > base or (high is not None and (until is None or high < until)):
             starts = index_of(store, log, base)
-            begin = starts[max(0, bisect_right([s[0] for s in starts], low) - 1)][1]
+            begin = starts[max(0, bisect_right([s[0] for s in starts], start) - 1)][1]
             end = next((pos for off, pos in starts if high is not None and off >= high), size)
             exact = end - begin <= o.split
         for at in [begin] if exact else range(begin, end, o.split):
             to = end if exact or at + o.split >= end else at + o.split
-            out.append(Piece(topic, part, base, at, None if to >= size else to, low, top, exact))
+            out.append(Piece(topic, part, base, at, None if to >= size else to, low, top, exact, to - at))
     return out
 
 
@@ -236,12 +293,12 @@ class LogReader(DataSourceReader):
         wanted = [(t, p) for t, p in self.o.chosen() if (self.topics is None or t in self.topics) and (self.parts is None or p in self.parts)]
         if self.high is not None and self.low >= self.high:
             wanted = []
-        found = in_parallel(lambda w: pieces(self.o, *w, self.low, self.high), wanted)
+        found = in_parallel(lambda w: packed(self.o, pieces(self.o, *w, self.low, self.high, True)), wanted)
         return [x for p in found for x in p] or [Piece("", 0, -1, 0, 0, 0, 0, True)]
 
     def read(self, partition):
         if partition.base >= 0:
-            yield from read_piece(self.o, partition)
+            yield from read_chain(self.o, partition)
 
 
 class PushingReader(LogReader):
@@ -310,11 +367,11 @@ class LogStreamReader(DataSourceStreamReader):
             name, part = key.rsplit("/", 1)
             low = start.get(key, 0)
             if high > low:
-                out.extend(pieces(self.o, unquote(name), int(part), low, high))
+                out.extend(packed(self.o, pieces(self.o, unquote(name), int(part), low, high)))
         return out
 
     def read(self, partition):
-        yield from read_piece(self.o, partition)
+        yield from read_chain(self.o, partition)
 
     def commit(self, end: dict) -> None:
         """Nothing to do: the log keeps its records until retention drops them."""
@@ -335,43 +392,67 @@ class Layout:
         self.bases: list[int] = []
         self.first = self.next = None
         self.n, self.size, self.file = 0, 0, None
-        self.waiting: list[codec.Record] = []
+        self.waiting: list[list] = []
 
-    def number(self, n: int) -> list[int]:
+    def number(self, n: int) -> range:
         """Offsets for the next ``n`` records, from the log's end on."""
         at = self.next if self.next is not None else watermarks(self.store, log_dir(self.store, self.o.kind, self.topic, self.part))["tail"]
-        return list(range(at, at + n))
+        return range(at, at + n)
 
     def add(self, records: list[codec.Record]) -> None:
-        for r in records:
-            if self.next is not None and r.offset < self.next:
-                raise Conflict("OutOfOrder", f"{self.topic}/{self.part}: offset {r.offset} after {self.next - 1}")
-            self.first = r.offset if self.first is None else self.first
-            self.next = r.offset + 1
-        self.n += len(records)
-        self.waiting += records
-        whole = len(self.waiting) // self.o.roll * self.o.roll
-        self._lay(self.waiting[:whole])
-        self.waiting = self.waiting[whole:]
-
-    def _lay(self, records: list[codec.Record]) -> None:
-        frames = codec.encode_records(records)
-        for at in range(0, len(records), self.o.roll):
-            together = sum(map(len, frames[at : at + self.o.roll]))
-            if self.file is None or (self.size > codec.SEGMENT_HEAD and self.size + together > self.o.segment_bytes):
-                self._roll(records[at].offset)
-            for r, frame in zip(records[at : at + self.o.roll], frames[at : at + self.o.roll], strict=True):
-                if self.size - self.mark >= self.o.stride:
-                    self.index.add(r.offset, self.size)
-                    self.mark = self.size
-                self.file.write(frame)
-                self.size += len(frame)
-                IO["bytes_written"] += len(frame)
+        self.add_columns(*map(list, zip(*((r.offset, r.timestamp_ms, r.flags, r.headers or b"", r.payload or b"") for r in records), strict=True)))
+
+    def add_columns(self, *columns: list) -> None:
+        """Offsets, timestamps, flags, headers and payloads of the next records."""
+        offsets = columns[0]
+        if not offsets:
+            return
+        for before, r in itertools.pairwise(offsets if self.next is None else [self.next - 1, *offsets]):
+            if r <= before:
+                raise Conflict("OutOfOrder", f"{self.topic}/{self.part}: offset {r} after {before}")
+        self.first = offsets[0] if self.first is None else self.first
+        self.next = offsets[-1] + 1
+        self.n += len(offsets)
+        if self.waiting and self.waiting[0]:
+            columns = [[*w, *c] for w, c in zip(self.waiting, columns, strict=True)]
+        whole = len(columns[0]) // self.o.roll * self.o.roll
+        self._lay(*[c[:whole] for c in columns] if whole < len(columns[0]) else columns)
+        self.waiting = [c[whole:] for c in columns]
+
+    def _lay(self, offsets: list, *columns: list) -> None:
+        """Write records; a segment is as many groups of ``roll`` records as fit, one at least."""
+        n = len(offsets)
+        if not n:
+            return
+        buf, ends = codec.encode_columns(offsets, *columns)
+        view, starts, groups = memoryview(buf), np.concatenate(([0], ends[:-1])), np.append(np.arange(self.o.roll, n, self.o.roll), n)
+        group_ends, g = ends[groups - 1], 0
+        while g < len(groups):
+            i = int(groups[g - 1]) if g else 0
+            begin = int(starts[i])
+            if self.file is None:
+                self._roll(offsets[i])
+            to = int(np.searchsorted(group_ends, begin + self.o.segment_bytes - self.size, side="right"))
+            if to <= g:
+                if self.size > codec.SEGMENT_HEAD:
+                    self._roll(offsets[i])
+                    continue
+                to = g + 1
+            j, shift = int(groups[to - 1]), self.size - begin
+            k = max(i, int(np.searchsorted(starts, self.mark + self.o.stride - shift)))
+            while k < j:
+                self.mark = int(starts[k]) + shift
+                self.index.add(offsets[k], self.mark)
+                k = max(k + 1, int(np.searchsorted(starts, self.mark + self.o.stride - shift)))
+            self.file.write(view[begin : int(ends[j - 1])])
+            self.size += int(ends[j - 1]) - begin
+            IO["bytes_written"] += int(ends[j - 1]) - begin
+            g = to
 
     def _roll(self, base: int) -> None:
         self._seal()
         self.bases.append(base)
-        self.open = self.store.create(segment_path(self.folder, base))
+        self.open = self.store.create(segment_path(self.folder, base), forced=False)
         self.file = self.open.__enter__()
         self.file.write(codec.segment_head(base, self.now))
         self.index, self.size, self.mark = codec.IndexWriter(base, self.now), codec.SEGMENT_HEAD, codec.SEGMENT_HEAD
@@ -379,13 +460,14 @@ class Layout:
     def _seal(self) -> None:
         if self.file is not None:
             self.open.__exit__(None, None, None)
-            with self.store.create(segment_path(self.folder, self.bases[-1], "idx")) as f:
+            with self.store.create(segment_path(self.folder, self.bases[-1], "idx"), forced=False) as f:
                 f.write(self.index.bytes())
 
     def close(self) -> tuple:
         if self.waiting:
-            self._lay(self.waiting)
+            self._lay(*self.waiting)
         self._seal()
+        self.store.force([segment_path(self.folder, base, kind) for base in self.bases for kind in ("log", "idx")])
         return self.topic, self.part, self.folder, self.bases, self.first, self.next, self.n
 
 
@@ -407,26 +489,27 @@ class LogWriter(DataSourceArrowWriter, DataSourceStreamArrowWriter):
     def write(self, iterator) -> Laid:
         store, now, made, current = self.o.store, int(time.time() * 1000), [], None
         own = f"{self.stage}/{uuid.uuid4().hex}"
-        for b in iterator:
-            cols = {c: b.column(i).to_pylist() for i, c in enumerate(b.schema.names) if c in ("topic", "part", "offset", "timestamp_ms", "flags", "headers", "payload")}
-            spare = [None] * b.num_rows
-            get = lambda c, cols=cols, spare=spare: cols.get(c, spare)
-            at = 0
-            for key, run in itertools.groupby(zip(cols["topic"], cols["part"], strict=True)):
-                n = len(list(run))
-                if current is None or (current.topic, current.part) != key:
-                    if current is not None:
-                        made.append(current.close())
-                    current = Layout(self.o, store, f"{own}/{len(made)}", *key, now)
-                part = slice(at, at + n)
-                if "offset" in cols:
-                    offsets = get("offset")[part]
-                elif self.overwrite:
-                    offsets = list(range(current.next or 0, (current.next or 0) + n))
-                else:
-                    offsets = current.number(n)
-                current.add([codec.Record(o, now if t is None else t, f or 0, bytes(h or b""), bytes(p or b"")) for o, t, f, h, p in zip(offsets, get("timestamp_ms")[part], get("flags")[part], get("headers")[part], get("payload")[part], strict=True)])
-                at += n
+        for whole in iterator:
+            for b in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
+                cols = {c: b.column(i) for i, c in enumerate(b.schema.names) if c in ("topic", "part", "offset", "timestamp_ms", "flags", "headers", "payload")}
+                codes, parts = cols["topic"].dictionary_encode().indices.to_numpy(zero_copy_only=False), cols["part"].to_numpy(zero_copy_only=False)
+                edges = [0, *(np.flatnonzero((np.diff(codes) != 0) | (np.diff(parts) != 0)) + 1).tolist(), b.num_rows]
+                cols = {c: v.to_pylist() for c, v in cols.items() if c not in ("topic", "part")} | {c: cols[c] for c in ("topic", "part")}
+                for at, to in itertools.pairwise(edges):
+                    key, n, part = (cols["topic"][at].as_py(), cols["part"][at].as_py()), to - at, slice(at, to)
+                    get = lambda c, spare, cols=cols, part=part, n=n: [spare if v is None else v for v in cols[c][part]] if c in cols else [spare] * n
+                    if current is None or (current.topic, current.part) != key:
+                        if current is not None:
+                            made.append(current.close())
+                        current = Layout(self.o, store, f"{own}/{len(made)}", *key, now)
+                    if "offset" in cols:
+                        offsets = cols["offset"][part]
+                    elif self.overwrite:
+                        offsets = list(range(current.next or 0, (current.next or 0) + n))
+                    else:
+                        offsets = list(current.number(n))
+                    texts = [[x.encode() if isinstance(x, str) else x for x in get(c, b"")] for c in ("headers", "payload")]
+                    current.add_columns(offsets, get("timestamp_ms", now), get("flags", 0), *texts)
         if current is not None:
             made.append(current.close())
         return Laid(made)
@@ -484,7 +567,9 @@ def publish(o: Options, store: Store, made: list[tuple], commit_id: str, batch:
         if group[0][4] < tail:
             raise Conflict("Overlap", f"{topic}/{part}: offsets from {group[0][4]} on, but the log goes to {tail}")
         todo.append((log, group))
-    for log, group in todo:
+
+    def move(x: tuple) -> None:
+        log, group = x
         record = {"batch": batch, "done": False, "bases": [b for x in group for b in x[3]], "first": group[0][4], "next": group[-1][5], "n": sum(x[6] for x in group)}
         store.put(commit_path(log, commit_id), json.dumps(record).encode())
         for _, _, folder, found, *_ in group:
@@ -494,6 +579,8 @@ def publish(o: Options, store: Store, made: list[tuple], commit_id: str, batch:
         store_manifest(o, store, log, group[-1][5])
         store.put(commit_path(log, commit_id), json.dumps({**record, "done": True}).encode())
 
+    in_parallel(move, todo)
+
 
 def store_manifest(o: Options, store: Store, log: str, nxt: int) -> None:
     found, now, old = bases(store, log), int(time.time() * 1000), store.read(f"{log}/manifest.bin")
@@ -528,6 +615,7 @@ def cleanup(frontiers: DataFrame, root: str, kind: str = "messages") -> DataFram
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heads, pa.int64())], names=["topic", "part", "before", "head"])
 
     cutoffs = frontiers.selectExpr("topic", "cast(part as bigint) as part", "cast(acked_until as bigint) as before")
+    cutoffs = cutoffs.repartition(frontiers.sparkSession.sparkContext.defaultParallelism, "topic", "part")  # few rows, each of much work
     return cut(cutoffs.mapInArrow(run, "topic string, part long, before long, head long"))
 
 
@@ -557,23 +645,27 @@ def status(spark: SparkSession, root: str, kind: str = "messages") -> DataFrame:
     return spark.createDataFrame(in_parallel(one, logs(store, kind)), "topic string, part long, head long, tail long, durable long, segments long, bytes long")
 
 
-def append(df: DataFrame, root: str, order: list[str] | None = None, kind: str = "messages", commit_id: str | None = None, spread: bool = True, **options) -> DataFrame:
+def append(df: DataFrame, root: str, order: list[str] | None = None, kind: str = "messages", commit_id: str | None = None, spread: bool = True, prepare=None, **options) -> DataFrame:
     """Append rows in one commit; (topic, part, first_offset, next_offset, n) of each log once they are on disk.
 
     ``df`` is numbered from the log's end in ``order``, or has offsets already. Called again with the same ``commit_id`` it appends
     nothing and gives the same answer. Rows are dealt by ranges of offsets, each laid out as segments of its own, so a log that gets
     most of the rows is written by many tasks; with ``spread`` off, or without an order, each log is written by one task.
+    ``prepare`` makes the payload of rows once they are numbered and dealt; it keeps topic, part and offset.
     """
-    from tidemark.operators.scans import assign_offsets
+    from tidemark.operators.scans import placed_offsets
 
     spark, own = df.sparkSession, commit_id or f"append-{uuid.uuid4().hex}"
     register(spark)
+    prepare, ranges = prepare or (lambda rows: rows), False
     if "offset" not in df.columns and order:
         keys = [c for c in order if c not in ("topic", "part")]
-        df = assign_offsets(df, keys, ends(spark, root, kind, commit_id)).withColumnRenamed("off", "offset")
+        df, ranges = placed_offsets(df, keys, ends(spark, root, kind, commit_id))
+        df = df.withColumnRenamed("off", "offset")
     by = ["topic", "part", *(["offset"] if "offset" in df.columns else [])]
-    dealt = df.repartitionByRange(*by) if spread and len(by) > 2 else df.repartition("topic", "part")
-    dealt.sortWithinPartitions(*by).write.format("tidemark").options(path=root, kind=kind, commitId=own, **options).mode("append").save()
+    # numbered rows lie in ranges of offsets already
+    dealt = df if spread and ranges else df.repartitionByRange(*by) if spread and len(by) > 2 else df.repartition("topic", "part")
+    prepare(dealt).sortWithinPartitions(*by).write.format("tidemark").options(path=root, kind=kind, commitId=own, **options).mode("append").save()
     store = Store(root)
     found = logs(store, kind)
     known = in_parallel(lambda k: known_commit(store, log_dir(store, kind, *k), own), found)

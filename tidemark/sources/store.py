@@ -5,16 +5,19 @@ What is read and written is counted by process in IO, and failures of the system
 
 from __future__ import annotations
 
+import ctypes
 import errno
 import os
 import time
 import uuid
 from collections import Counter
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyarrow import fs
 
 IO: Counter = Counter()
+FEW = 8  # files that are forced out one by one
+SYNCFS = getattr(ctypes.CDLL(None, use_errno=True), "syncfs", None)
 
 
 class LogError(Exception):
@@ -75,16 +78,17 @@ class Store:
         return out
 
     @contextmanager
-    def create(self, path: str):
-        """A new file to write to; on a local disk it is forced out when it is closed."""
+    def create(self, path: str, forced: bool = True):
+        """A new file to write to; on a local disk it is forced out when it is closed, unless the caller does so with force()."""
         self.fs.create_dir(os.path.dirname(path), recursive=True)
         try:
             if self.local:
                 with open(path, "wb") as f:
                     yield f
-                    f.flush()
-                    os.fsync(f.fileno())
-                    IO["syncs"] += 1
+                    if forced:
+                        f.flush()
+                        os.fsync(f.fileno())
+                        IO["syncs"] += 1
             else:
                 with self.fs.open_output_stream(path) as f:
                     yield f
@@ -92,6 +96,25 @@ class Store:
             raise of_system(e) from e
         IO["writes"] += 1
 
+    def force(self, paths: list[str]) -> None:
+        """Force files out that create() has left to the caller; many of them by one call for their file system."""
+        if not self.local or not paths:
+            return
+        many = len(paths) > FEW and SYNCFS is not None
+        try:
+            for path in [os.path.dirname(paths[0])] if many else paths:
+                fd = os.open(path, os.O_RDONLY)
+                try:
+                    if not many:
+                        os.fsync(fd)
+                    elif SYNCFS(fd):
+                        raise OSError(ctypes.get_errno(), "syncfs", path)
+                finally:
+                    os.close(fd)
+                IO["syncs"] += 1
+        except OSError as e:
+            raise of_system(e) from e
+
     def put(self, path: str, data: bytes) -> None:
         """A whole small file, replaced in one step."""
         new = f"{path}.{uuid.uuid4().hex}"
@@ -101,11 +124,17 @@ class Store:
         self.fs.move(new, path)
 
     def move(self, old: str, new: str) -> None:
-        self.fs.create_dir(os.path.dirname(new), recursive=True)
-        self.fs.move(old, new)
+        try:
+            self.fs.move(old, new)
+        except OSError:  # the folder may be missing
+            self.fs.create_dir(os.path.dirname(new), recursive=True)
+            self.fs.move(old, new)
 
     def remove(self, path: str) -> None:
-        if self.exists(path):
+        if self.local:
+            with suppress(FileNotFoundError):
+                os.remove(path)
+        elif self.exists(path):
             self.fs.delete_file(path)
 
     def remove_tree(self, path: str) -> None:
