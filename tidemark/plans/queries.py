@@ -378,12 +378,16 @@ def digested(df: DataFrame) -> DataFrame:
     return df.select(*COLUMNS[:-1], F.md5("payload").alias("payload_md5"))
 
 
-def damaged(s: Source, path: str, at: int, change) -> None:
-    """Change the bytes of each log's record ``at``; change(bytes of the segment, position) gives the new ones."""
+def damaged(s: Source, path: str, at: int, change, ends: bool = False) -> None:
+    """Change the bytes of each log's record ``at``; change(bytes of the segment, position) gives the new ones. A log that ``ends`` there has no segments behind it."""
     store = Store(path)
     for r in read(s, path).filter(F.col("offset") == at).select(*QUEUE, "segment_base", "file_pos").collect():
         file = log.segment_path(log.log_dir(store, "messages", r["topic"], r["part"]), r["segment_base"])
         store.put(file, change(store.read(file), r["file_pos"]))
+        folder = log.log_dir(store, "messages", r["topic"], r["part"])
+        for base in [b for b in log.bases(store, folder) if ends and b > r["segment_base"]]:
+            for kind in ("log", "idx"):
+                store.remove(log.segment_path(folder, base, kind))
 
 
 def log_append_twice(s: Source) -> DataFrame:
@@ -429,7 +433,7 @@ def log_stop(s: Source) -> DataFrame:
 def log_torn_tail(s: Source) -> DataFrame:
     """Each log is torn within record 9; what is appended then goes on at 9."""
     path = stored(s)
-    damaged(s, path, 9, lambda buf, at: buf[: at + 20])
+    damaged(s, path, 9, lambda buf, at: buf[: at + 20], ends=True)
     again = s.messages.filter("off >= 9")
     return digested(read(s, stored(s, again, path)))
 
