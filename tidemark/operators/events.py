@@ -55,7 +55,7 @@ def encoded(events: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             fields = [b.column(b.schema.get_field_index(c)).to_pylist() for c in cols]
-            made = [codec.encode_event(*row) for row in zip(*fields, strict=True)]
+            made = codec.encode_events(zip(*fields, strict=True))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=[*b.schema.names, "payload"])
 
     return events.mapInArrow(run, T.StructType([*events.schema.fields, T.StructField("payload", T.BinaryType())]))
@@ -68,4 +68,5 @@ def append_events(events: DataFrame, root: str, order: list[str], commit_id: str
     """
     from tidemark.sources.log import append
 
-    return append(encoded(events).select(*QUEUE, *order, "payload"), root, order, kind="events", commit_id=commit_id)
+    rows = events.select(*dict.fromkeys((*QUEUE, *order, "event_type", *FIELDS))).withColumnRenamed("off", "event_off")
+    return append(rows, root, order, kind="events", commit_id=commit_id, prepare=lambda dealt: encoded(dealt.withColumnRenamed("event_off", "off")).select(*QUEUE, "offset", "payload"))

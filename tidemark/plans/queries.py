@@ -448,9 +448,9 @@ def log_cleanup(s: Source) -> DataFrame:
 
 def event_log_replay(s: Source) -> DataFrame:
     """Queue state from events that went through the event log's bytes."""
-    path, ev = folder(s), s.events
+    path, ev = folder(s), cut(s.events)
     append_events(ev.withColumn("at", F.col("seq")), path, ["at"])
-    return replay.queue_state(read(s, path, decodeEvents="true"))
+    return replay.queue_state(cut(read(s, path, decodeEvents="true").drop("blob")))
 
 
 def snapshot_recovery(s: Source) -> DataFrame:
