@@ -1,19 +1,24 @@
 """The exact sequential fold of one queue, with the bounded window as an option.
 
 It is needed only where a settlement can land ``ack_window`` or more beyond the frontier and is then to be
-forgotten. A queue is one group here, as its events depend on each other: one task holds a queue's events (some 100 bytes each, so
-ten million take 1 GB); replay.offset_state has no such limit, and snapshots or resets shorten what is folded.
+forgotten. A queue is folded by one task, as its events depend on each other. The task gets them in order, a batch at a time, and holds
+some 20 bytes for each offset of the queue since its last reset; replay.offset_state has no such limit, and snapshots or resets shorten what is folded.
 """
 
 from __future__ import annotations
 
+import itertools
+from array import array
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.schemas import MAX_RETRIES, OFFSET_STATE, QUEUE
 
+ROWS = 8192
+
 
 @dataclass
 class QueueFold:
@@ -90,18 +95,97 @@ class QueueFold:
         return [(o, self.is_settled(o), o in self.leases, self.leases.get(o), o in self.retries, self.retries.get(o)) for o in sorted(self.touched)]
 
 
+PAGE = 64
+ABSENT = -(1 << 63)
+
+
+class Numbers:
+    """A dict of whole numbers by offset, in pages: 8 bytes each where offsets lie close. A value of None is allowed."""
+
+    def __init__(self):
+        self.pages: dict[int, array] = {}
+
+    def get(self, off: int, other: int | None = None) -> int | None:
+        page = self.pages.get(off // PAGE)
+        v = ABSENT if page is None else page[off % PAGE]
+        return other if v == ABSENT else None if v == ABSENT + 1 else v
+
+    def __contains__(self, off: int) -> bool:
+        page = self.pages.get(off // PAGE)
+        return page is not None and page[off % PAGE] != ABSENT
+
+    def __setitem__(self, off: int, value: int | None) -> None:
+        page = self.pages.get(off // PAGE)
+        if page is None:
+            page = self.pages[off // PAGE] = array("q", [ABSENT]) * PAGE
+        page[off % PAGE] = ABSENT + 1 if value is None else value
+
+    def pop(self, off: int, other: int | None = None) -> int | None:
+        page = self.pages.get(off // PAGE)
+        if page is None or page[off % PAGE] == ABSENT:
+            return other
+        v, page[off % PAGE] = page[off % PAGE], ABSENT
+        return None if v == ABSENT + 1 else v
+
+    def clear(self) -> None:
+        self.pages.clear()
+
+
+class Offsets:
+    """A set of offsets, in pages of a bit each."""
+
+    def __init__(self):
+        self.pages: dict[int, int] = {}
+
+    def __contains__(self, off: int) -> bool:
+        return bool(self.pages.get(off // PAGE, 0) >> off % PAGE & 1)
+
+    def add(self, off: int) -> None:
+        self.pages[off // PAGE] = self.pages.get(off // PAGE, 0) | 1 << off % PAGE
+
+    def remove(self, off: int) -> None:
+        left = self.pages[off // PAGE] & ~(1 << off % PAGE)
+        if left:
+            self.pages[off // PAGE] = left
+        else:
+            del self.pages[off // PAGE]
+
+    def __iter__(self):
+        """The offsets, in order."""
+        for p in sorted(self.pages):
+            bits = self.pages[p]
+            yield from (p * PAGE + i for i in range(PAGE) if bits >> i & 1)
+
+    def clear(self) -> None:
+        self.pages.clear()
+
+
 def fold_state(events: DataFrame, ack_window: int | None = None) -> DataFrame:
-    """offset_state by applying each queue's events one after the other."""
+    """offset_state by applying each queue's events one after the other, a batch at a time."""
     names = [x.split()[0] for x in OFFSET_STATE.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = QueueFold(ack_window)
-        pdf = pdf.sort_values("seq")
-        num = lambda v: None if pd.isna(v) else int(v)
-        for kind, off, retries, deadline, requeue in zip(pdf["event_type"], pdf["off"], pdf["retries"], pdf["deadline"], pdf["requeue"], strict=True):
-            q.apply(kind, num(off), num(retries), num(deadline), None if pd.isna(requeue) else bool(requeue))
-        out = pd.DataFrame([(pdf["topic"].iloc[0], int(pdf["part"].iloc[0]), *r) for r in q.rows()], columns=names)
-        return out.astype({"part": "int64", "off": "int64", "deadline": "Int64", "retries": "Int64", "settled": "bool", "inflight": "bool", "enqueued": "bool"})
-
-    cols = [*QUEUE, "seq", "event_type", "off", "retries", "deadline", "requeue"]
-    return events.select(*cols).groupBy(*QUEUE).applyInPandas(run, OFFSET_STATE)
+    kinds = dict(zip(names, (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64()), strict=True))
+
+    def told(topic: str, part: int, q: QueueFold):
+        """Rows of a queue, ROWS of them at a time."""
+        offs = iter(q.touched)
+        while some := list(itertools.islice(offs, ROWS)):
+            rows = ((topic, part, o, q.is_settled(o), o in q.leases, q.leases.get(o), o in q.retries, q.retries.get(o)) for o in some)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+
+    def run(batches):
+        key, q = None, None
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                rows = zip(*(c.to_pylist() for c in b.slice(at, ROWS).columns), strict=True)
+                for topic, part, kind, off, retries, deadline, requeue in rows:
+                    if (topic, part) != key:
+                        if q is not None:
+                            yield from told(*key, q)
+                        key, q = (topic, part), QueueFold(ack_window, 0, Offsets(), Numbers(), Numbers(), Offsets())
+                    q.apply(kind, off, retries, deadline, requeue)
+        if q is not None:
+            yield from told(*key, q)
+
+    cols = [*QUEUE, "event_type", "off", "retries", "deadline", "requeue"]
+    dealt = events.select(*cols, "seq").repartition(*QUEUE).sortWithinPartitions(*QUEUE, "seq")
+    return dealt.select(F.col("topic"), F.col("part").cast("long"), "event_type", *[F.col(c).cast("long") for c in ("off", "retries", "deadline")], "requeue").mapInArrow(run, OFFSET_STATE)
