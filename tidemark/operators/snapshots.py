@@ -55,7 +55,7 @@ def take(events: DataFrame, root: str, every: int = EVERY, keep: int = 2) -> int
     if queues.filter("due").first() is None:
         return None
     fresh = queues.filter("due").select(*QUEUE, F.col("now").alias("upto"))
-    state = recover(events.join(fresh.select(*QUEUE), QUEUE, "left_semi"), root).join(fresh, QUEUE)
+    state = cut(recover(events.join(fresh.select(*QUEUE), QUEUE, "left_semi"), root).join(fresh, QUEUE))  # it is looked at twice
     empty = fresh.join(state.select(*QUEUE).distinct(), QUEUE, "left_anti")
     rows = state.unionByName(empty, allowMissingColumns=True)
     if kept is not None:
